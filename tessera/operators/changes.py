@@ -77,11 +77,11 @@ def newest(log: DataFrame, cols: LogColumns) -> DataFrame:
     """The newest observation of each key: columns key, value (lower case), op, offset.
 
     Rows without a value say nothing unless they are removals and are left out. Equal times go
-    to the greater offset; a missing time is older than any. The aggregate combines on the map
+    to the greater offset; a missing time is older than any; rows without a key are left out. The aggregate combines on the map
     side, so a key holding a third of the log costs each task one row.
     """
     value = F.lower(F.col(cols.value))
-    kept = log.where(F.coalesce(F.col(cols.op) == cols.removed, F.lit(False)) | (F.coalesce(value, F.lit("")) != ""))
+    kept = log.where(F.col(cols.key).isNotNull()).where(F.coalesce(F.col(cols.op) == cols.removed, F.lit(False)) | (F.coalesce(value, F.lit("")) != ""))
     order = F.struct(F.col(cols.time).isNotNull(), F.col(cols.time), F.col(cols.offset))
     return (
         kept.groupBy(F.col(cols.key).alias("key"))
