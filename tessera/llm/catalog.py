@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import tokens
+from tessera.llm import similar, tokens
 
-MODULES = (tokens,)
+MODULES = (similar, tokens)
 
 
 def queries() -> dict:
