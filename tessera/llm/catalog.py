@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import similar, tokens
+from tessera.llm import similar, syntax, tokens
 
-MODULES = (similar, tokens)
+MODULES = (syntax, similar, tokens)
 
 
 def queries() -> dict:
