@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import similar, syntax, tokens
+from tessera.llm import credentials, similar, syntax, tokens
 
-MODULES = (syntax, similar, tokens)
+MODULES = (syntax, similar, credentials, tokens)
 
 
 def queries() -> dict:

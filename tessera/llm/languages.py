@@ -171,7 +171,7 @@ def _python_name(t: str) -> str:
     return "" if c == "\\" and len(t) == 2 else t if t not in "$?`!\\" else BAD
 
 
-_LONG = "(?:[rRbBuUfFtT]{1,2})?(?:" + '"""' + r'(?:[^"\\]++|\\[\s\S]|"(?!""))*+' + '"""' + r"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''|" + f"{DOUBLE}|{SINGLE})"
+_LONG = "(?:[rRbBuUfFtT]{1,2})?(?:" + '"""' + r'(?:[^"\\]++|\\[\s\S]|"(?!""))*+' + '"""' + r"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''|" + f"(?!\"\"\"|''')(?:{DOUBLE}|{SINGLE}))"
 PYTHON_SCANNER = Scanner(
     rf"[ \t\f]*(\n(?:[ \t\f]*+(?:#[^\n]*)?\n)*[ \t\f]*|#[^\n]*|CLOSED|{WORD}|{NUMBER}|\\\n|\*\*=|//=|>>=|<<=|\.\.\.|->|:=|[-+*/%@&|^<>=!]=|\*\*|//|<<|>>|[^ \t\f])",
     "if elif else while for try except finally with def class async await pass break continue return raise from global nonlocal del assert import as in "
