@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import credentials, similar, syntax, tokens
+from tessera.llm import credentials, handwritten, similar, syntax, tokens
 
-MODULES = (syntax, similar, credentials, tokens)
+MODULES = (syntax, similar, credentials, handwritten, tokens)
 
 
 def queries() -> dict:
