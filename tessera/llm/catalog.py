@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import credentials, documented, handwritten, similar, syntax, tokens
+from tessera.llm import areas, credentials, documented, handwritten, similar, syntax, tokens
 
-MODULES = (syntax, similar, credentials, handwritten, documented, tokens)
+MODULES = (syntax, similar, credentials, handwritten, documented, tokens, areas)
 
 
 def queries() -> dict:
