@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import areas, credentials, documented, handwritten, pieces, similar, syntax, tokens
+from tessera.llm import areas, credentials, documented, handwritten, mixing, pieces, similar, syntax, tokens
 
-MODULES = (syntax, similar, credentials, handwritten, pieces, documented, tokens, areas)
+MODULES = (syntax, similar, credentials, handwritten, pieces, documented, tokens, mixing, areas)
 
 
 def queries() -> dict:
