@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import changes
+from tessera.plans import changes, retrieval
 
-MODULES = (changes,)
+MODULES = (changes, retrieval)
 
 
 def queries() -> dict:
