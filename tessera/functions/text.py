@@ -56,10 +56,14 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
+def parted(text: Column) -> Column:
+    """The folded terms of a text, parted at all signs."""
+    return F.filter(F.split(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
+
+
 def index_terms(text: Column) -> Column:
-    """Terms of the full-text index: search tokens, parted at all signs and folded."""
-    joined = F.array_join(search_tokens(F.coalesce(text, F.lit(""))), " ")
-    return F.filter(F.split(F.regexp_replace(fold(joined), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
+    """Terms of the full-text index: those of a text's search tokens."""
+    return parted(F.array_join(search_tokens(F.coalesce(text, F.lit(""))), " "))
 
 
 def record_id(path: Column, content: Column) -> Column:

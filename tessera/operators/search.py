@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.globs import matches_any
-from tessera.functions.text import index_terms, search_tokens, token_estimate
+from tessera.functions.text import index_terms, parted, search_tokens, token_estimate
 
 RRF, K1, B, BLOCK = 60, 1.2, 0.75, 1024
 
@@ -90,7 +90,7 @@ def _blocks(rows: Iterator, size: int) -> Iterator[list]:
 def phrases_of(df: DataFrame, text: str) -> list[list[str]]:
     """The phrases of a query: each search token's index terms, empty ones left out."""
     spark = df.sparkSession
-    row = spark.range(1).select(F.transform(search_tokens(F.lit(text)), index_terms).alias("p")).first()
+    row = spark.range(1).select(F.transform(search_tokens(F.lit(text)), parted).alias("p")).first()
     return [list(p) for p in row["p"] if p]
 
 
