@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with a diacritic and the letter without it, for folding.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēėęěğīįľłńňōőřśşšťūůűųźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeegiillnnoorsssstuuuuzzz"
 #: The short label of a node kind, where it is not the kind itself.
 KIND_LABELS = {
     "function_declaration": "func", "function_definition": "func", "function_item": "func",
@@ -51,21 +48,6 @@ def search_tokens(text: Column) -> Column:
     return F.flatten(F.transform(bare, of))
 
 
-def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
-
-
-def parted(text: Column) -> Column:
-    """The folded terms of a text, parted at all signs."""
-    return F.filter(F.split(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
-
-
-def index_terms(text: Column) -> Column:
-    """Terms of the full-text index: those of a text's search tokens."""
-    return parted(F.array_join(search_tokens(F.coalesce(text, F.lit(""))), " "))
-
-
 def record_id(path: Column, content: Column) -> Column:
     return F.sha2(F.concat(path, F.lit("\0"), content), 256)
 

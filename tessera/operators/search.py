@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.globs import matches_any
-from tessera.functions.text import index_terms, parted, search_tokens, token_estimate
+from tessera.functions.terms import index_terms, occurrences, parted, search_tokens
+from tessera.functions.text import token_estimate
+from tessera.session import checkpointed
 
 RRF, K1, B, BLOCK = 60, 1.2, 0.75, 1024
 
@@ -87,46 +89,49 @@ def _blocks(rows: Iterator, size: int) -> Iterator[list]:
 # ---------------------------------------------------------------- BM25
 
 
-def phrases_of(df: DataFrame, text: str) -> list[list[str]]:
-    """The phrases of a query: each search token's index terms, empty ones left out."""
-    spark = df.sparkSession
-    row = spark.range(1).select(F.transform(search_tokens(F.lit(text)), parted).alias("p")).first()
-    return [list(p) for p in row["p"] if p]
+def phrases_of(text: str) -> list[list[str]]:
+    """The phrases of a query: each search token's terms, empty ones left out."""
+    return [p for p in map(parted, search_tokens(text)) if p]
 
 
-def _occurrences(terms: Column, phrase: list[str]) -> Column:
-    """How often a phrase is in an array of terms, overlaps counted."""
-    if len(phrase) == 1:
-        return F.size(F.filter(terms, lambda t: t == phrase[0]))
-    n = len(phrase)
-    lit = F.array(*map(F.lit, phrase))
-    starts = F.when(F.size(terms) >= n, F.sequence(F.lit(1), F.size(terms) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(terms, i, F.lit(n)) == lit))
+def counted(chunks: DataFrame, phrases: list[list[str]], keep: Column, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """key, keep, dl (terms of all columns), f (occurrences of each phrase) of every row: one pass
+    over the texts, after which only these numbers move."""
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, found = [], []
+            for texts in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                terms = [index_terms(t) for t in texts]
+                length.append(sum(map(len, terms)))
+                found.append([sum(occurrences(t, p) for t in terms) for p in phrases])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(length, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["key", "keep", "dl", "f"])
+
+    rows = chunks.select(F.col(key).alias("key"), F.coalesce(keep, F.lit(False)).alias("keep"), *columns)
+    return rows.mapInArrow(run, f"key {kind}, keep boolean, dl long, f array<int>")
 
 
 def bm25(chunks: DataFrame, text: str, filters: Column | None = None, key: str = "id", columns: tuple[str, ...] = ("content", "name", "parent")) -> DataFrame:
     """Rows that hold every phrase in some column: key, score (less is better).
 
     Statistics are those of all rows, filters or not; idf of a phrase in half of the rows or more
-    is 1e-6. No phrase, no rows. Counting runs within the scan, one row of sums reaches the driver.
+    is 1e-6. No phrase, no rows. The counts are written once to the shared folder; one row of
+    sums reaches the driver.
     """
-    phrases = phrases_of(chunks, text)
+    phrases = phrases_of(text)
     if not phrases:
         return chunks.limit(0).select(key, F.lit(0.0).alias("score"))
-    terms = chunks.select("*", *[index_terms(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
-    held = [f"_t{i}" for i in range(len(columns))]
-    counts = [functools.reduce(lambda a, b: a + b, [_occurrences(F.col(h), p) for h in held]).alias(f"_f{j}") for j, p in enumerate(phrases)]
-    keep = (filters if filters is not None else F.lit(True)).alias("_keep")
-    counted = terms.select(key, keep, functools.reduce(lambda a, b: a + b, [F.size(h) for h in held]).alias("_dl"), *counts)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("_dl").alias("avg"), *[F.count(F.when(F.col(f"_f{j}") > 0, 1)).alias(f"n{j}") for j in range(len(phrases))]).first()
+    rows = checkpointed(counted(chunks, phrases, filters if filters is not None else F.lit(True), key, columns))
+    f = [F.col("f")[j].cast("double") for j in range(len(phrases))]
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count(F.when(x > 0, 1)).alias(f"n{j}") for j, x in enumerate(f)]).first()
     score = F.lit(0.0)
-    for j in range(len(phrases)):
-        f = F.col(f"_f{j}").cast("double")
+    for j, x in enumerate(f):
         idf = float(np.log((stats["n"] - stats[f"n{j}"] + 0.5) / (stats[f"n{j}"] + 0.5)))
         idf = idf if idf > 0 else 1e-6
-        score = score - F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.lit(stats["avg"] or 1.0)))
-    every = functools.reduce(lambda a, b: a & b, [F.col(f"_f{j}") > 0 for j in range(len(phrases))])
-    return counted.where(every & F.coalesce(F.col("_keep"), F.lit(False))).select(key, score.alias("score"))
+        score = score - F.lit(idf) * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avg"] or 1.0)))
+    every = functools.reduce(lambda a, b: a & b, [x > 0 for x in f])
+    return rows.where(every & F.col("keep")).select(F.col("key").alias(key), score.alias("score"))
 
 
 # ---------------------------------------------------------------- fusion

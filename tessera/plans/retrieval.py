@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.functions import terms
 from tessera.functions import text as X
 from tessera.functions.globs import matches_any
 from tessera.operators import graph as G
@@ -75,9 +77,15 @@ def tokenize_identifiers(spark, sf):
 
 @query()
 def tokenize_text(spark, sf):
-    """Search tokens by kind of text: how many, and how many different ones."""
-    tokens = table(spark, sf, "documents").select("source", F.explode(X.search_tokens(F.col("text"))).alias("t"))
-    return tokens.groupBy("source").agg(F.count("*").alias("tokens"), F.countDistinct("t").alias("different"))
+    """Search tokens of all texts by source."""
+
+    def run(batches):
+        for batch in batches:
+            n = [len(terms.search_tokens(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["source", "n"])
+
+    counts = table(spark, sf, "documents").select("source", "text").mapInArrow(run, "source string, n long")
+    return counts.groupBy("source").agg(F.sum("n").alias("tokens"))
 
 
 @query()

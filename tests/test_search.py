@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import terms
 from tessera.functions import text as X
 from tessera.operators import search as S
 
@@ -38,6 +39,15 @@ def test_tokenizer(spark):
     assert {r["t"]: r["got"] for r in df.collect()} == GOLDEN
 
 
+def test_both_tokenizers_agree(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices("aZbQé_9.({ ßÄ\t-x", k=rnd.randrange(30))) for _ in range(800)] + list(GOLDEN)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.search_tokens(F.col("t")).alias("got"))
+    for r in df.collect():
+        assert list(r["got"]) == terms.search_tokens(r["t"]), r["t"]
+    assert terms.search_tokens(None) == [] and terms.index_terms("Naïve_fooBar {}") == ["naive", "foobar", "naive", "foobar", "foo", "bar"]
+
+
 def fts5(rows, query):
     """Scores of sqlite's own full-text index over columns that hold search tokens."""
     db = sqlite3.connect(":memory:")
