@@ -38,6 +38,10 @@ SIGNATURE = {
 }
 STRING = re.compile(r"""\"{3}(?:[^"\\]++|\\[\s\S]|"(?!""))*+\"{3}|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'""")
 DOCSTRING = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*(?:[rRuU]?)(" + STRING.pattern + r")[ \t]*(?:;|#[^\n]*)?(?=\n|$)")
+PARTS = {
+    "hash": re.compile(r"(?P<comment>#[^\n]*)|(?P<blank>\s+)|(?P<code>" + STRING.pattern + r"|[^\s\"'#]++|[\s\S])"),
+    "slash": re.compile(r"(?P<comment>//[^\n]*|/\*(?:[^*]++|\*(?!/))*+\*/)|(?P<blank>\s+)|(?P<code>" + STRING.pattern + r"|`[^`]*`|[^\s\"'`/]++|[\s\S])"),
+}
 SKIP = re.compile(r"[^()\[\]{}\"'`/#]++")
 FAMILY = {"python": ("hash", "python"), "go": ("slash", "go"), "javascript": ("slash", "script"), "typescript": ("slash", "script"), "c": ("slash", "c")}
 
@@ -104,14 +108,19 @@ def comment_above(text: str, kind: str) -> tuple[str, int]:
 
 
 def comment_below(text: str, kind: str) -> str:
-    """The comment that text ends with, from the last blank line or code on."""
-    lines = text.split("\n")
-    for i in range(len(lines)):
-        part = "\n".join(lines[i:])
-        m = COMMENT[kind].match(part)
-        if m and not comment_above(part, kind)[1] < len(part):
-            return comment_above(part, kind)[0]
-    return ""
+    """The comment that text ends with, from the last blank line or code on; read once."""
+    begin, code = None, False
+    for m in PARTS[kind].finditer(text):
+        if m.lastgroup == "comment":
+            if begin is None and not code:
+                begin = m.start()
+        elif m.lastgroup == "blank":
+            breaks = m[0].count("\n")
+            begin = None if breaks > 1 else begin
+            code = code and not breaks
+        else:
+            begin, code = None, True
+    return text[begin:] if begin is not None else ""
 
 
 def islands(text: str, language: str) -> tuple[str, str, str, str]:
