@@ -8,9 +8,11 @@ bucket is compared by the exact distances of the whole vectors.
 
 The number of axes follows the number of vectors, so that buckets stay at about ``target``
 vectors and the work in proportion to the input; the number of tables grows by one with each
-doubling beyond what one level of axes can hold. A bucket holding more than a thousandth of all
-placements is split over tasks by the next level of hashes, so one crowded direction does not
-end in one task; like any hashing this can miss pairs, and is part of the measured recall.
+doubling beyond what one level of axes can hold. A bucket is always compared whole. One holding
+more than ``block`` placements and a thousandth of all vectors is dealt into blocks by vector
+hash, and each pair of blocks is a cell of its own, so one crowded direction does not end in one
+task and loses nothing; its work grows with the square of its size, and each of its rows is moved
+once for each block.
 
 Exact copies are one vector here: they are grouped before and expanded after the search, so
 groups of copies cost nothing and lose no link.
@@ -30,7 +32,6 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 HASHED, TARGET, TABLES, PROBES, BLOCK = 32, 6000, 2, 2, 49_152
-DIGIT = 2 * HASHED
 
 
 # ---------------------------------------------------------------- hashing
@@ -85,8 +86,8 @@ class Hasher:
         more = max(0, math.ceil(math.log2(max(1.0, n / (2 * lead * target)))))
         return cls(mean.astype(np.float32), frame.astype(np.float32), (tables or TABLES + more) if levels else 1, probes, tuple(levels))
 
-    def codes(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each table: its number, codes of the probes (rows x probes), and the next level."""
+    def buckets(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each table: the buckets of the probes (rows x probes), never negative."""
         y = (x - self.mean) @ self.frame
         norm = np.linalg.norm(y, axis=1, keepdims=True)
         y = y / np.where(norm > 0, norm, 1)
@@ -95,8 +96,7 @@ class Hasher:
             for level, dims in enumerate(self.levels):
                 at = axes(pseudo_rotate(y, 1000 * t + level)[:, :dims], min(self.probes, dims) if level == 0 else 1)
                 code = code * (2 * dims) + at
-            deeper = axes(pseudo_rotate(y, 1000 * t + 999), 1)[:, 0]
-            yield t, code, deeper
+            yield code * self.tables + t
 
 
 # ---------------------------------------------------------------- blocks
@@ -134,17 +134,19 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", d, d)
 
 
-def block_pairs(vid: np.ndarray, stored: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (of, near, squared distance) among the rows that met in one bucket."""
-    s, q = np.flatnonzero(stored), np.flatnonzero(~stored)
+def block_pairs(vid: np.ndarray, stored: np.ndarray, side: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (of, near, squared distance) among the rows that met in one bucket.
+
+    Rows of side 0 are compared with each other; those of side 1 with those of side 2 only.
+    """
     found = []
-    i, j = nearest(x[s], x[s], k, True)
-    found.append((s[i], s[j]))
-    if len(q) and len(s):
-        i, j = nearest(x[q], x[s], k, False)
-        found.append((q[i], s[j]))
-        i, j = nearest(x[s], x[q], k, False)
-        found.append((s[i], q[j]))
+    for a, b in ((0, 0), (1, 2), (2, 1)):
+        own = a == b
+        s, t = (np.flatnonzero(stored & (side == z)) for z in (a, b))
+        q, r = (np.flatnonzero(~stored & (side == z)) for z in (a, b))
+        for of, near, same in ((s, t, own), (q, t, False), (s, r, False)):
+            i, j = nearest(x[of], x[near], k, same)
+            found.append((of[i], near[j]))
     of, near = (np.concatenate(z) for z in zip(*found))
     d = exact(x[of], x[near])
     # keep the k best of each row, and what ties with the last of them
@@ -202,55 +204,76 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
 
 
-def _crowded(vectors: DataFrame, hasher: Hasher, n: int, width: int, block: int) -> set[int]:
-    """Buckets (without their last digit) holding more than a block and over a thousandth of all
-    vectors: at most a thousand for each table and probe, and so many rows reach the driver."""
+def _crowded(vectors: DataFrame, hasher: Hasher, n: int, width: int, block: int) -> dict[int, int]:
+    """Buckets holding more than a block and over a thousandth of all vectors, with the number of
+    blocks of each: at most a thousand for each table and probe, and so many rows reach the driver."""
     if n <= block:
-        return set()
+        return {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, code, _ in hasher.codes(_matrix(batch.column(0), width)):
-                bucket, m = np.unique(code * hasher.tables + t, return_counts=True)
+            for at in hasher.buckets(_matrix(batch.column(0), width)):
+                bucket, m = np.unique(at, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(m)], ["bucket", "m"])
 
     rows = vectors.select("x").mapInArrow(run, "bucket long, m long").groupBy("bucket").agg(F.sum("m").alias("m"))
-    return {r["bucket"] for r in rows.where(F.col("m") > max(block, n // 1000)).collect()}
-
-
-def _place(vectors: DataFrame, hasher: Hasher, width: int) -> DataFrame:
-    """A row per vector, table and probe: vid, bucket, stored, x.
-
-    ``bucket`` is (code, table) with the next level's axis as its last digit, so sorting by it
-    puts what is near within a bucket together.
+    return {r["bucket"]: -(-r["m"] // block) for r in rows.where(F.col("m") > max(block, n // 1000)).collect()}
+
+
+def _cells(crowded: dict[int, int], vid: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Where rows are compared, as (rows, cell, side): in their bucket or, if it is crowded, in a
+    negative cell for each pair of their block with one of the bucket, itself included."""
+    keys = np.array(sorted(crowded), np.int64)
+    blocks = np.array([crowded[b] for b in sorted(crowded)], np.int64)
+    begin = np.cumsum(blocks**2) - blocks**2
+    full = np.isin(bucket, keys)
+    plain = np.flatnonzero(~full)
+    yield plain, bucket[plain], np.zeros(len(plain), np.int8)
+    rows = np.flatnonzero(full)
+    if not len(rows):
+        return
+    at = np.searchsorted(keys, bucket[rows])
+    own = vid[rows] % blocks[at]
+    for other in range(blocks[at].max()):
+        some = np.flatnonzero(other < blocks[at])
+        i, c = own[some], at[some]
+        cell = -1 - (begin[c] + np.minimum(i, other) * blocks[c] + np.maximum(i, other))
+        yield rows[some], cell, np.where(i == other, 0, np.where(i < other, 1, 2)).astype(np.int8)
+
+
+def _place(vectors: DataFrame, hasher: Hasher, crowded: dict[int, int], width: int) -> DataFrame:
+    """A row per vector, table, probe and cell: vid, cell (see ``_cells``), role, x.
+
+    ``role`` is twice the side, and one more where the vector is stored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                for t, code, deeper in hasher.codes(_matrix(part.column(1), width)):
-                    for p in range(code.shape[1]):
-                        bucket = (code[:, p] * hasher.tables + t) * DIGIT + deeper
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column(0), pa.array(bucket, pa.int64()), pa.array(np.full(len(bucket), p == 0)), part.column(1)], ["vid", "bucket", "stored", "x"]
-                        )
+                vid = part.column(0).to_numpy()
+                for bucket in hasher.buckets(_matrix(part.column(1), width)):
+                    for p in range(bucket.shape[1]):
+                        for rows, cell, side in _cells(crowded, vid, bucket[:, p]):
+                            some = part.take(pa.array(rows)) if len(rows) < len(vid) else part
+                            role = 2 * side + np.int8(p == 0)
+                            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cell, pa.int64()), pa.array(role, pa.int8()), some.column(1)], ["vid", "cell", "role", "x"])
 
-    return vectors.select("vid", "x").mapInArrow(run, "vid long, bucket long, stored boolean, x array<float>")
+    return vectors.select("vid", "x").mapInArrow(run, "vid long, cell long, role byte, x array<float>")
 
 
-def _compare(placed: DataFrame, crowded: set[int], width: int, k: int, block: int) -> DataFrame:
-    """Candidates of each vector from each bucket: vid, d, near (arrays of equal length)."""
+def _compare(placed: DataFrame, width: int, k: int) -> DataFrame:
+    """Candidates of each vector from each cell: vid, d, near (arrays of equal length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        rows, bucket = 0, None
+        cell = None
 
         def flush():
-            nonlocal held, rows
-            vid, stored, x = (np.concatenate(z) for z in zip(*held))
-            held, rows = [], 0
-            of, near, d = block_pairs(vid, stored, x, k)
+            nonlocal held
+            vid, role, x = (np.concatenate(z) for z in zip(*held))
+            held = []
+            of, near, d = block_pairs(vid, role % 2 == 1, role // 2, x, k)
             if len(of):
                 order = np.argsort(of, kind="stable")
                 of, near, d = of[order], near[order], d[order]
@@ -260,21 +283,18 @@ def _compare(placed: DataFrame, crowded: set[int], width: int, k: int, block: in
                 yield pa.RecordBatch.from_arrays([pa.array(of[begin]), *lists], ["vid", "d", "near"])
 
         for batch in batches:
-            b = batch.column(1).to_numpy(zero_copy_only=False) // DIGIT
-            vid, stored, x = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3), width)
+            b = batch.column(1).to_numpy(zero_copy_only=False)
+            vid, role, x = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3), width)
             cuts = np.r_[0, np.flatnonzero(b[1:] != b[:-1]) + 1, len(b)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if held and (b[lo] != bucket or rows + hi - lo > block):
+                if held and b[lo] != cell:
                     yield from flush()
-                bucket = b[lo]
-                held.append((vid[lo:hi], stored[lo:hi], x[lo:hi]))
-                rows += hi - lo
+                cell = b[lo]
+                held.append((vid[lo:hi], role[lo:hi], x[lo:hi]))
         if held:
             yield from flush()
 
-    whole = F.expr(f"bucket div {DIGIT}")
-    key = F.when(whole.isin(*crowded), F.col("bucket")).otherwise(-1 - whole) if crowded else whole
-    spread = placed.repartition(key).sortWithinPartitions("bucket")
+    spread = placed.repartition("cell").sortWithinPartitions("cell")
     return spread.mapInArrow(run, "vid long, d array<double>, near array<long>")
 
 
@@ -308,7 +328,7 @@ def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int
     vectors = keyed.select(vid.alias("vid"), "x").groupBy("vid").agg(F.first("x").alias("x"))
 
     merged = (
-        _compare(_place(vectors, hasher, width), crowded, width, k, block)
+        _compare(_place(vectors, hasher, crowded, width), width, k)
         .groupBy("vid")
         .agg(F.flatten(F.collect_list("d")).alias("d"), F.flatten(F.collect_list("near")).alias("vids"))
         .select("vid", F.array_sort(F.array_distinct(F.arrays_zip(F.col("d"), F.col("vids").alias("vid")))).alias("near"))

@@ -80,6 +80,42 @@ def test_crowded_bucket_is_split(spark):
     assert len(got & want) / len(want) > 0.5
 
 
+@pytest.fixture
+def as_on_large_tables(spark):
+    """Many tasks and batches, which small tables have not by themselves."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "20"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_crowded_direction_is_compared_whole(spark, as_on_large_tables):
+    x = vectors(600, 64)
+    x[:300] = 5 * x[0] + x[:300]
+    rows = [(f"{i:05d}", v.tolist(), 0) for i, v in enumerate(x)]
+    inside = lambda pairs: {p for p in pairs if p[1] < "00300"}
+    want = inside(brute(rows, 5, 64))
+    for block in (100, 40):
+        got = inside(run(spark, rows, target=200, block=block))
+        print("recall", len(got & want) / len(want))
+        assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
+
+
+def test_blocks_of_a_crowded_bucket_meet_once():
+    vid, bucket = np.arange(-50, 50), np.repeat([7, 9], 50)
+    cells = {}
+    for rows, cell, side in N._cells({9: 3}, vid, bucket):
+        for r, c, z in zip(rows, cell, side):
+            cells.setdefault(int(c), []).append((int(r), int(z)))
+    met = []
+    for rows in cells.values():
+        met += [(a, b) for a, y in rows for b, z in rows if a < b and (y, z) in ((0, 0), (1, 2), (2, 1))]
+    assert len(met) == len(set(met)) == 2 * (50 * 49 // 2)
+
+
 def test_recall_on_chunks(spark):
     from tessera.llm.similar import p2_found
 
