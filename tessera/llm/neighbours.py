@@ -1,6 +1,7 @@
 """Nearest neighbours of every vector by cross-polytope hashing with several probes.
 
-Vectors are centred and turned to their principal axes (both from all rows), and the leading
+Vectors are centred and turned to their principal axes (both from all rows, large groups of copies
+counting once), and the leading
 ``HASHED`` coordinates are hashed: a fast pseudo-rotation (three rounds of random signs and a
 Hadamard transform) and then the nearest signed axis. Each table has its own rotation. A vector
 is stored under its nearest axis and queried under its ``probes`` nearest ones; what meets in a
@@ -72,10 +73,9 @@ class Hasher:
     levels: tuple[int, ...]
 
     @classmethod
-    def plan(cls, n: int, total: np.ndarray, outer: np.ndarray, tables: int | None, probes: int, target: int) -> Hasher:
-        width = len(total)
-        mean = total / max(n, 1)
-        _, vectors = np.linalg.eigh(outer / max(n, 1) - np.outer(mean, mean))
+    def plan(cls, n: int, mean: np.ndarray, outer: np.ndarray, tables: int | None, probes: int, target: int) -> Hasher:
+        width = len(mean)
+        _, vectors = np.linalg.eigh(outer - np.outer(mean, mean))
         lead = 1 << min(int(math.log2(HASHED)), int(math.log2(width)))
         frame = vectors[:, ::-1][:, :lead]
         want, levels = max(1.0, n / target), []
@@ -204,20 +204,56 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
 
 
-def _crowded(vectors: DataFrame, hasher: Hasher, n: int, width: int, block: int) -> dict[int, int]:
-    """Buckets holding more than a block and over a thousandth of all vectors, with the number of
-    blocks of each: at most a thousand for each table and probe, and so many rows reach the driver."""
+def _distinct(keyed: DataFrame, rows: int, total: np.ndarray, outer: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of distinct vectors, and mean and mean outer product with large groups counting once.
+
+    Only hashes are shuffled. Groups of over a thousandth of all rows (so at most a thousand, and
+    so many rows reach the driver) are taken out of the sums but for one vector each; smaller
+    groups count by their rows in the means, but not in the number.
+    """
+    vid, m = F.xxhash64("x").alias("vid"), F.col("count")
+    large = F.collect_list(F.when(m > max(1, rows // 1000), F.struct("vid", m.alias("m"))))
+    got = keyed.select(vid).groupBy("vid").count().agg(F.count("*").alias("n"), large.alias("large")).first()
+    more = {r["vid"]: r["m"] - 1 for r in got["large"]}
+    if more:
+        for r in keyed.select(vid, "x").where(F.col("vid").isin(*more)).groupBy("vid").agg(F.first("x").alias("x")).collect():
+            x = np.array(r["x"], np.float64)
+            total, outer = total - more[r["vid"]] * x, outer - more[r["vid"]] * np.outer(x, x)
+    kept = max(1, rows - sum(more.values()))
+    return got["n"], total / kept, outer / kept
+
+
+def _crowded(keyed: DataFrame, hasher: Hasher, n: int, width: int, block: int) -> dict[int, int]:
+    """Buckets holding more than a block and over a thousandth of all n distinct vectors, with the
+    number of blocks of each: at most a thousand for each table and probe.
+
+    Rows are counted first, which moves a number for each bucket; only in buckets with so many
+    rows are the vectors told apart, by their hashes. Such buckets reach the driver: more than a
+    thousand only where copies outnumber vectors, and no more than there are buckets.
+    """
     if n <= block:
         return {}
+    least = max(block, n // 1000)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in hasher.buckets(_matrix(batch.column(0), width)):
                 bucket, m = np.unique(at, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(m)], ["bucket", "m"])
 
-    rows = vectors.select("x").mapInArrow(run, "bucket long, m long").groupBy("bucket").agg(F.sum("m").alias("m"))
-    return {r["bucket"]: -(-r["m"] // block) for r in rows.where(F.col("m") > max(block, n // 1000)).collect()}
+    rows = keyed.select("x").mapInArrow(count, "bucket long, m long").groupBy("bucket").agg(F.sum("m").alias("m"))
+    full = np.array([r["bucket"] for r in rows.where(F.col("m") > least).collect()], np.int64)
+    if not len(full):
+        return {}
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in hasher.buckets(_matrix(batch.column(1), width)):
+                row, probe = np.nonzero(np.isin(at, full))
+                yield pa.RecordBatch.from_arrays([pa.array(at[row, probe]), batch.column(0).take(pa.array(row))], ["bucket", "vid"])
+
+    placed = keyed.select(F.xxhash64("x").alias("vid"), "x").mapInArrow(tell, "bucket long, vid long").distinct()
+    return {r["bucket"]: -(-r["count"] // block) for r in placed.groupBy("bucket").count().where(F.col("count") > least).collect()}
 
 
 def _cells(crowded: dict[int, int], vid: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -308,7 +344,7 @@ def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int
 
     What the search can miss is the links of vectors that share no bucket under any table: the
     recall against brute force over the test tables is in the README (0.9 or more is asserted by
-    the tests). Up to ``target`` vectors the search is exact.
+    the tests). Up to ``target`` distinct vectors the search is exact.
 
     Skew: copies are counted before they move (at most k + 1 keys of a group are kept in one
     place); keys beyond those of large groups are joined with the group's row, by broadcast where
@@ -317,8 +353,9 @@ def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int
     vid = F.xxhash64("x")
     rows = df.where(usable(df[vector], width) & df[key].isNotNull()).select(df[key].cast("string").alias("id"), df[vector].cast("array<float>").alias("x"))
     keyed = rows.select(pack(F.col("id")).alias("id"), F.transform("x", lambda v: v + F.lit(0.0).cast("float")).alias("x"))
-    n, total, outer = _stats(keyed, width)
-    hasher = Hasher.plan(n, total, outer, tables, probes, target)
+    count, total, outer = _stats(keyed, width)
+    n, mean, outer = _distinct(keyed, count, total, outer)
+    hasher = Hasher.plan(n, mean, outer, tables, probes, target)
     crowded = _crowded(keyed, hasher, n, width, block)
 
     members = keyed.groupBy("id").agg(F.min(vid).alias("vid"))
@@ -374,7 +411,7 @@ def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int
     ).select("p.a", "p.b")
     large = members.groupBy("vid").agg(F.count("*").alias("m")).where(F.col("m") > k + 1)
     heads = large.join(groups, "vid").select("vid", "m", F.slice("ids", 1, k).alias("ids"))
-    hot = F.col("m") > max(1000, n // 1000)
+    hot = F.col("m") > max(1000, count // 1000)
     later = [
         members.join(F.broadcast(heads.where(hot)), "vid"),
         members.join(heads.where(~hot), "vid"),

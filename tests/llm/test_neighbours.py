@@ -116,6 +116,21 @@ def test_blocks_of_a_crowded_bucket_meet_once():
     assert len(met) == len(set(met)) == 2 * (50 * 49 // 2)
 
 
+def test_copies_count_once(spark, monkeypatch):
+    """Copies neither take the search beyond its exact size nor crowd a bucket."""
+    x = vectors(200, 64)
+    rows = [(f"{i:05d}", v.tolist(), 0) for i, v in enumerate(x)] + [(f"c{i:04d}", x[0].tolist(), 0) for i in range(300)]
+    assert run(spark, rows, target=250) == brute(rows, 5, 64)
+    plans, full = [], []
+    plan, crowded = N.Hasher.plan, N._crowded
+    monkeypatch.setattr(N.Hasher, "plan", lambda n, mean, *rest: plans.append((n, mean)) or plan(n, mean, *rest))
+    monkeypatch.setattr(N, "_crowded", lambda *a: full.append(crowded(*a)) or full[-1])
+    run(spark, rows, target=100, block=190)
+    assert plans[0][0] == 200 and np.allclose(plans[0][1], x.mean(0), atol=1e-5) and full == [{}]
+    run(spark, rows, target=250, block=60)
+    assert full[1] == {0: 4}
+
+
 def test_recall_on_chunks(spark):
     from tessera.llm.similar import p2_found
 
