@@ -6,11 +6,13 @@ through three steps:
 
 1. its *plan* - from which offset to which, per partition - is written ahead and never changed,
 2. the slice of the log between those offsets is compacted to the newest observation of each
-   key, compared with the stored state, and what differs is written to the sink,
+   key, earlier batches included, and compared with the stored state; the verdict on each key of
+   the slice is kept, and what differs is written to the sink,
 3. a *commit* marks the plan as done.
 
 A run that finds a plan without commit replays exactly that plan, so no row is skipped; its
-sink folder is replaced and the sink is read deduplicated by key and offset, so none is repeated.
+folders are replaced and the sink is read by the last verdict on each key, so none is repeated.
+Over an unchanged state the sink is the same however the log was cut into batches.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ def log_slice(log: DataFrame, cols: LogColumns, start: dict[int, int], end: dict
 
 
 def newest(log: DataFrame, cols: LogColumns) -> DataFrame:
-    """The newest observation of each key: columns key, value (lower case), op, offset.
+    """The newest observation of each key: columns key, value (lower case), op, offset, time.
 
     Rows without a value say nothing unless they are removals and are left out. Equal times go
     to the greater offset; a missing time is older than any; rows without a key are left out. The aggregate combines on the map
@@ -82,12 +84,13 @@ def newest(log: DataFrame, cols: LogColumns) -> DataFrame:
     """
     value = F.lower(F.col(cols.value))
     kept = log.where(F.col(cols.key).isNotNull()).where(F.coalesce(F.col(cols.op) == cols.removed, F.lit(False)) | (F.coalesce(value, F.lit("")) != ""))
-    order = F.struct(F.col(cols.time).isNotNull(), F.col(cols.time), F.col(cols.offset))
-    return (
-        kept.groupBy(F.col(cols.key).alias("key"))
-        .agg(F.max_by(F.struct(value.alias("value"), F.col(cols.op).alias("op"), F.col(cols.offset).alias("offset")), order).alias("o"))
-        .select("key", "o.value", "o.op", "o.offset")
-    )
+    return latest(kept.select(F.col(cols.key).alias("key"), value.alias("value"), F.col(cols.op).alias("op"), F.col(cols.offset).alias("offset"), F.col(cols.time).alias("time")))
+
+
+def latest(seen: DataFrame) -> DataFrame:
+    """Of observations (key, value, op, offset, time) the newest of each key."""
+    order = F.struct(F.col("time").isNotNull(), F.col("time"), F.col("offset"))
+    return seen.groupBy("key").agg(F.max_by(F.struct("value", "op", "offset", "time"), order).alias("o")).select("key", "o.*")
 
 
 def current_state(state: DataFrame, key: str = "path", value: str = "content_hash", version: str = "indexed_at") -> DataFrame:
@@ -101,25 +104,29 @@ def current_state(state: DataFrame, key: str = "path", value: str = "content_has
     )
 
 
-def pending(log: DataFrame, state: DataFrame, cols: LogColumns = LogColumns()) -> DataFrame:
-    """Keys whose newest observation differs from the stored state: key, value, offset.
+def judged(seen: DataFrame, state: DataFrame, cols: LogColumns) -> DataFrame:
+    """Observations with a column open: whether they differ from the stored state.
 
     Removals are not pending work here. A key that was never stored, or stored without a value,
     differs from any observation.
     """
-    seen = newest(log, cols).where(~F.coalesce(F.col("op") == cols.removed, F.lit(False)))
-    return (
-        seen.join(current_state(state), "key", "left")
-        .where(F.col("known").isNull() | ~F.col("value").eqNullSafe(F.col("stored")))
-        .select("key", "value", "offset")
-    )
+    removed = F.coalesce(F.col("op") == cols.removed, F.lit(False))
+    differs = F.col("known").isNull() | ~F.col("value").eqNullSafe(F.col("stored"))
+    return seen.join(current_state(state), "key", "left").select(*seen.columns, (~removed & differs).alias("open"))
+
+
+def pending(log: DataFrame, state: DataFrame, cols: LogColumns = LogColumns()) -> DataFrame:
+    """Keys whose newest observation differs from the stored state (see ``judged``): key, value, offset."""
+    return judged(newest(log, cols), state, cols).where("open").select("key", "value", "offset")
 
 
 class ChangeCapture:
     """Batches over a log with plans, commits and a sink in one shared folder.
 
     ``process(df)`` gets the pending rows (key, value, offset) and returns what the sink holds;
-    its result must keep the columns key and offset. Empty logs give no batch.
+    its result must keep the columns key and offset. Empty logs give no batch. The folder
+    ``seen`` has the verdict of each batch on each key of its slice; removals and keys that agree
+    with the state again are there too, so they take earlier rows out of the sink.
     """
 
     def __init__(self, spark: SparkSession, root: str, cols: LogColumns = LogColumns(), partitions: int = PARTITIONS):
@@ -180,16 +187,35 @@ class ChangeCapture:
         if plan is None:
             return None
         part = log_slice(log, self.cols, plan["start"], plan["end"], plan["partitions"])
-        process(pending(part, state, self.cols)).write.mode("overwrite").parquet(f"{self.root}/sink/batch={plan['batch']}")
+        seen = newest(part, self.cols)
+        if plan["batch"] > 0:
+            before = self._rows("seen").where(F.col("batch") < plan["batch"]).select(seen.columns)
+            seen = latest(seen.unionByName(before.join(seen.select("key"), "key", "left_semi")))
+        verdicts = f"{self.root}/seen/batch={plan['batch']}"
+        judged(seen, state, self.cols).write.mode("overwrite").parquet(verdicts)
+        todo = self.spark.read.parquet(verdicts).where("open").select("key", "value", "offset")
+        process(todo).write.mode("overwrite").parquet(f"{self.root}/sink/batch={plan['batch']}")
         self._write(f"commits/{plan['batch']}", {"batch": plan["batch"]})
         return plan["batch"]
 
+    def _rows(self, folder: str) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{folder}")
+
     def sink(self) -> DataFrame:
-        """What all batches wrote, one row per key: that of the greatest offset."""
-        rows = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/sink")
+        """What the committed batches wrote, one row per key: that of the last verdict, if open.
+
+        The last verdict is that on the newest observation (time, then offset), and of several on
+        the same one that of the latest batch.
+        """
+        done = F.col("batch") <= self._last("commits")
+        order = F.struct(F.col("time").isNotNull(), F.col("time"), F.col("offset"), F.col("batch"))
+        last = self._rows("seen").where(done).groupBy("key").agg(F.max_by(F.struct("batch", "open"), order).alias("s"))
+        last = last.where("s.open").select("key", F.col("s.batch").alias("batch"))
+        rows = self._rows("sink").where(done)
         rest = [c for c in rows.columns if c not in ("key", "batch")]
         return (
-            rows.groupBy("key")
-            .agg(F.max_by(F.struct(*rest), F.struct("offset", "batch")).alias("r"))
+            rows.join(last, ["key", "batch"])
+            .groupBy("key")
+            .agg(F.max_by(F.struct(*rest), F.col("offset")).alias("r"))
             .select("key", "r.*")
         )

@@ -77,3 +77,31 @@ def test_slice_bounds(spark):
     end = C.end_offsets(log, cols, 8)
     part = C.log_slice(log, cols, {p: o - 5 for p, o in end.items()}, end, 8)
     assert {r["scan_id"] for r in part.collect()} == {15, 16, 17, 18, 19}
+
+
+def test_batches_agree_with_one_slice(spark, tmp_path):
+    rows = [
+        (1, "late", "new", "write", at(5), 0), (2, "late", "old", "write", at(1), 0),
+        (3, "gone", "h", "write", at(1), 0), (4, "gone", None, "remove", at(2), 0),
+        (5, "back", "h", "write", at(1), 0), (6, "back", "stored", "write", at(2), 0),
+        (7, "late removal", "h", "write", at(3), 0), (8, "late removal", None, "remove", at(1), 0),
+        (9, "unread", "h", "write", at(1), 0), (10, "unread", None, "write", at(2), 0),
+        (11, "no time", "h", "write", at(1), 0), (12, "no time", "x", "write", None, 0),
+        (13, "gone late", None, "remove", at(4), 0), (14, "gone late", "h", "write", at(2), 0),
+    ]
+    log, state = frames(spark, rows, [("back", "stored", 1, "x")])
+    run = C.ChangeCapture(spark, f"file://{tmp_path}/cdc", partitions=2)
+    for end in (1, 3, 6, 9, 11, 13, 14):
+        part = log.where(log.scan_id <= end)
+        run.run(part, state)
+        assert found(run.sink()) == found(C.pending(part, state))
+    assert found(run.sink()) == {("late", "new"), ("late removal", "h"), ("unread", "h"), ("no time", "h")}
+
+
+def test_file_scans_in_ten_batches(spark, tmp_path):
+    log, state = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("file_scans", "files"))
+    run = C.ChangeCapture(spark, f"file://{tmp_path}/cdc", partitions=4)
+    ends = log.selectExpr("percentile(scan_id, array(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0))").first()[0]
+    for end in ends:
+        run.run(log.where(log.scan_id <= end), state)
+    assert found(run.sink()) == found(C.pending(log, state))
