@@ -6,6 +6,8 @@ A literal is a credential if that identifier is credential-named and the value i
 reference, digest with its algorithm, or plain word. Values that carry their kind with them
 (addresses with a password, authorization headers, connection strings, private keys, signed
 tokens, tokens with an issuer's prefix) are found under any name, in comments and prose too.
+Length does not tell, but for seeds: data saved under a credential's name is known by its first
+bytes, and a name that ends in ``seed`` holds data where the value is longer than any seed.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ REFERENCE = re.compile(
 UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 SIGNED = re.compile(r"^[\w-]{16,}\.[\w-]{16,}\.[\w-]{8,}$")
 ISSUED = re.compile(r"^(?=.{16,120}$)[A-Za-z][A-Za-z0-9]{1,7}(?:[-_](?:[a-z]{2,4}|[a-z]?\d))?[-_.][A-Za-z0-9]{14,}(?:[-_][A-Za-z0-9]+)*$")
-LONGEST = 300
+#: Greatest length of a seed; the first bytes, in base64, of images, documents, archives, fonts and markup.
+SEED = 300
+DATA = re.compile(r"^(?:iVBORw0|/9j/|R0lGOD|UklGR|JVBER|UEsDB|H4sI|AAEAAA|d09G|T1RUTw|PHN2Zy|PD94bW)")
 
 _STRING = (
     r"(?P<q>" + '"""' + r'(?:[^"\\]++|\\[\s\S]|"(?!""))*+' + '"""' + r"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''|"
@@ -57,19 +61,19 @@ FALLBACK = re.compile(r"(?i)(?:(?:get_?env|env\w*\.get|env_?or\w*|lookup_?env\w*
 PASSED = re.compile(r"([A-Za-z_][\w.]*)\s*\(\s*([^()\n]{0,200},)?\s*$")
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\\)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?(?=[\"'`])")
 
-ADDRESS = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://[^\s:/@\"'`<>]{1,80}:([^\s@/\"'`<>]{3,200})@[\w.\-\[]")
-HEADER = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?\s*[:=,]\s*[\"']?(basic|bearer|token|digest|apikey)\s+([^\s\"'`,;\\]{6,2000})")
-KEYED_HEADER = re.compile(r"(?i)\bx-(?:api-key|auth-token|access-token|secret|vault-token)[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;\\]{6,300})")
-CONNECTION = re.compile(r"(?i)(?:[;?&\"'`]|^)\s*(?:pwd|password|accountkey|sharedaccesskey|access_token|api_key|apikey|auth_token|sig|secret)\s*=\s*([^\s;&\"'`]{4,300})")
+ADDRESS = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://[^\s:/@\"'`<>]{1,80}:([^\s@/\"'`<>]{3,})@[\w.\-\[]")
+HEADER = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?\s*[:=,]\s*[\"']?(basic|bearer|token|digest|apikey)\s+([^\s\"'`,;\\]{6,})")
+KEYED_HEADER = re.compile(r"(?i)\bx-(?:api-key|auth-token|access-token|secret|vault-token)[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;\\]{6,})")
+CONNECTION = re.compile(r"(?i)(?:[;?&\"'`]|^)\s*(?:pwd|password|accountkey|sharedaccesskey|access_token|api_key|apikey|auth_token|sig|secret)\s*=\s*([^\s;&\"'`]{4,})")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:[A-Za-z0-9+/=\s,:\-\\\"']|\\[nr])*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)")
 PROSE = re.compile(
     r"(?i)\b(?:log-?in|password|passwd|passphrase|pw|pwd|passcode|api[ -]?key|(?:access |auth |api |service |bearer )?token|secret(?: key)?|credentials?|kennwort|passwort|contrase(?:ñ|n)a|clave)\b"
-    r"(?:\s+(?:is|ist|es|for [\w.-]+ is|to [\w.-]+ is))?\s*(?:[:=]|\bis\b|\bist\b|->)\s*(?:[\w.@-]+\s*(?:/|:)\s+)?[\"'`]?([^\s\"'`,;()<>]{6,300})"
+    r"(?:\s+(?:is|ist|es|for [\w.-]+ is|to [\w.-]+ is))?\s*(?:[:=]|\bis\b|\bist\b|->)\s*(?:[\w.@-]+\s*(?:/|:)\s+)?[\"'`]?([^\s\"'`,;()<>]{6,})"
 )
 PAIR = re.compile(r"(?<![\w/.])[\w.@+-]{2,40}[ \t]+/[ \t]+([^\s\"'`,;()<>/]{6,100})")
-EXPORTED = re.compile(r"^[ \t$>]*(?:export\s+|set\s+|setx\s+|ENV\s+|ARG\s+)?([A-Za-z_][A-Za-z0-9_]*)=(?![=\s])([^\s\"'`;#]{4,300})", re.M)
+EXPORTED = re.compile(r"^[ \t$>]*(?:export\s+|set\s+|setx\s+|ENV\s+|ARG\s+)?([A-Za-z_][A-Za-z0-9_]*)=(?![=\s])([^\s\"'`;#]{4,})", re.M)
 PLAIN_ENTRY = re.compile(r"^[ \t-]*([A-Za-z_][\w.\-]*)[ \t]*:[ \t]+([^\s\"'#|>&*\[{][^\n#]*?)[ \t]*(?:#.*)?$", re.M)
-FLAG = re.compile(r"(?<![\w-])--?(?:password|passwd|token|secret|api-?key|auth-token)[= ]([^\s\"'`;|<>]{6,300})")
+FLAG = re.compile(r"(?<![\w-])--?(?:password|passwd|token|secret|api-?key|auth-token)[= ]([^\s\"'`;|<>]{6,})")
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])")
 
 
@@ -82,6 +86,11 @@ def names_secret(name: str) -> bool:
     return not any(w in ABOUT_WORDS for w in words[at + 1 :]) and "public" not in words[:at]
 
 
+def secret(name: str, value: str) -> bool:
+    """Whether a value under this name is a credential."""
+    return names_secret(name) and opaque(value) and not (len(value) > SEED and name.lower().rstrip("_").endswith("seed"))
+
+
 def mixed(value: str) -> bool:
     """Letters of both cases and digits, as random text over an alphabet has."""
     return any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)
@@ -89,13 +98,13 @@ def mixed(value: str) -> bool:
 
 def opaque(value: str) -> bool:
     """A value that reads like a secret: no stand-in, no reference, no words alone."""
-    if not 6 <= len(value) <= LONGEST or any(c.isspace() for c in value) or STAND_IN.match(value) or REFERENCE.search(value) or UUID.match(value):
+    if len(value) < 6 or any(c.isspace() for c in value) or DATA.match(value) or STAND_IN.match(value) or REFERENCE.search(value) or UUID.match(value):
         return False
     if len(set(value)) < 4 or "|" in value and value.count("|") > 2:
         return False
     digit, letter = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
     odd = any(not c.isalnum() and c not in "-_./: " for c in value)
-    cases = any(c.islower() for c in value) and sum(c.isupper() for c in value) >= 2 and len(value) >= 12 and not re.fullmatch(r"(?:[A-Z]?[a-z]+[-_.]?)+", value)
+    cases = any(c.islower() for c in value) and sum(c.isupper() for c in value) >= 2 and len(value) >= 12 and not re.fullmatch(r"(?:[A-Z]?[a-z]++[-_.]?)+", value)
     return letter and (digit or odd or cases)
 
 
@@ -170,7 +179,7 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
     hidden = sorted(spans)
     if language in ("markdown", "yaml", None):
         for m in EXPORTED.finditer(text):
-            if names_secret(m[1]) and opaque(m[2]):
+            if secret(m[1], m[2]):
                 spans.add(m.span(2))
         if language != "yaml":
             spans.update(_prose(text, 0))
@@ -180,7 +189,7 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
             spans.add(m.span(1))
     if language == "yaml":
         for m in PLAIN_ENTRY.finditer(text):
-            if names_secret(m[1]) and opaque(m[2]):
+            if secret(m[1], m[2]):
                 spans.add(m.span(2))
     tokens = [m for m in LEXERS["hash" if language in ("python", "yaml") else "slash"].finditer(text) if m.lastgroup] if any(q in text for q in "\"'`#/") else []
     joined = 0
@@ -190,7 +199,7 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
                 spans.update(_prose(m[0], m.start()))
                 spans.update(_pairs(m[0], m.start()))
                 for e in re.finditer(r"([A-Za-z_]\w*)\s*(?::=|=|:)\s*[\"'`]([^\"'`\n]+)[\"'`]", m[0]):
-                    if names_secret(e[1]) and opaque(e[2]):
+                    if secret(e[1], e[2]):
                         spans.add((m.start() + e.start(2), m.start() + e.end(2)))
             continue
         if i < joined:
@@ -198,7 +207,7 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
         lo, hi = inner_span(m[0])
         begin, end, value = m.start() + lo, m.start() + hi, m[0][lo:hi]
         last = i
-        while last + 1 < len(tokens) and tokens[last + 1].lastgroup == "q" and language not in ("json", "yaml", "markdown") and len(value) <= LONGEST:
+        while last + 1 < len(tokens) and tokens[last + 1].lastgroup == "q" and language not in ("json", "yaml", "markdown"):
             gap = JOIN.match(text, tokens[last].end())
             if not gap or gap.end() != tokens[last + 1].start():
                 break
@@ -207,7 +216,7 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
             value += tokens[last][0][a:b]
             end = tokens[last].start() + b
         joined = last + 1
-        if not 6 <= len(value) <= LONGEST or value[:1].isspace():
+        if len(value) < 6 or value[:1].isspace():
             continue
         if any(a < end and begin < b for a, b in hidden):
             continue
@@ -224,9 +233,9 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
         if known := FALLBACK.search(before):
             named = next(g for g in known.groups() if g)
             left = re.search(r"([A-Za-z_$][\w$]*)\s*(?::\s*[\w\[\]<>|*.? ]{1,40})?(?::=|=|:)[^=\n]*$", before[: known.start()].rpartition("\n")[2] or before[: known.start()])
-            found = (names_secret(named) or bool(left) and names_secret(left[1])) and opaque(value)
+            found = secret(named, value) or bool(left) and secret(left[1], value)
         elif known := DEFINED.search(before) or ASSIGNED.search(before):
-            found = names_secret(known[1]) and opaque(value)
+            found = secret(known[1], value)
         elif known := PASSED.search(line):
             callee, earlier = known[1].rpartition(".")[2], known[2]
             if LOGIN_CALLS.search(callee) and (earlier is not None or re.search(r"(?i)password|token|secret|key|credential|bearer", callee)):

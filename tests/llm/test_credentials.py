@@ -65,3 +65,27 @@ def test_rows(spark):
     got = {r["id"]: list(r["lines"]) for r in C.credentials(df).collect()}
     assert got == {"1": [11, 13], "4": [1]}
     assert C.credentials(df.limit(0)).count() == 0
+
+
+LONG = "".join("aZ3kQ9xW7mB2vT5r"[(i * i + i // 16) % 16] for i in range(700))
+
+
+@pytest.mark.parametrize(
+    "path, text, value",
+    [
+        ("a.py", f'token = "{LONG}"', LONG),
+        ("a.js", f'const x = "{LONG[:40]}.{LONG}.{LONG[:43]}";', f"{LONG[:40]}.{LONG}.{LONG[:43]}"),
+        ("a.json", f'{{"client_secret": "{LONG}=="}}', f"{LONG}=="),
+        ("a.md", f"export SERVICE_TOKEN={LONG}\n", LONG),
+        ("a.yaml", f"db_password: {LONG}\n", LONG),
+        ("a.py", f'dsn = "postgres://app:{LONG}@db.host/x"', LONG),
+        ("a.py", f"# token: {LONG}\n", LONG),
+    ],
+)
+def test_long_values_are_found_whole(path, text, value):
+    test_found_and_blanked(path, text, value)
+
+
+def test_long_data_is_no_credential():
+    for text in (f'token = "iVBORw0KGgo{LONG}"', f'logo = "{LONG}"', f'secret_image = "{LONG}"', f'secret_seed = "{LONG}"', f'SecretSeed = "{LONG}"'):
+        assert C.find(text, "a.py") == []
