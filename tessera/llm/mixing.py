@@ -1,6 +1,7 @@
 """Sources mixed to target weights (problem 9), by iterative proportional fitting.
 
-Tokens are summed by cell (source, language, topic). Raking scales the cells in turn to the
+Tokens are summed by cell (source, language, topic), where the topic of a document is the set of
+all its areas; holding each set's share holds that of every area too. Raking scales the cells in turn to the
 marginals by topic, language and source until they settle; the source step comes last and keeps
 every cell below its cap of repeats, handing what is cut off to the source's other cells. A
 cell's weight over its tokens is the number of times each of its documents is drawn: the whole
@@ -96,7 +97,8 @@ def draw(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = No
     Documents without tokens (null or empty text), without a source, or of a source without a
     target are not drawn; of a target given more than once the least cap and share hold. The
     same seed gives the same draw. Only sums by cell reach the driver: languages below a
-    thousandth of the tokens are one, so there are at most sources x 1000 x subjects of them.
+    thousandth of the tokens are one, so there are at most sources x 1000 x sets of subjects that
+    occur (of ten subjects at most 1024, of which few do).
 
     Sampling runs within strata of about ``STRATUM`` documents by hash, so no source, however
     large, is one task's.
@@ -105,8 +107,8 @@ def draw(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = No
     named = documents.select("doc_id", source_name(F.col("source")).alias("source"), language_name(F.col("lang")).alias("lang")).where(F.col("source").isNotNull())
     docs = named.join(sizes, "doc_id")
     if topics is not None:
-        first = topics.groupBy("doc_id").agg(F.min("subject").alias("topic"))
-        docs = docs.join(first, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("none")))
+        sets = topics.where(F.col("subject").isNotNull()).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("subject")), "+").alias("topic"))
+        docs = docs.join(sets, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("none")))
     else:
         docs = docs.withColumn("topic", F.lit("none"))
     docs = checkpointed(docs)

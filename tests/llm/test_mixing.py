@@ -49,3 +49,15 @@ def test_shares_of_the_table(spark):
     for r in M.p9_shares(spark, "/root/testdata/sf0.01").collect():
         if r["documents"]:
             assert abs(r["reached_share"] - r["target_share"]) < 0.03
+
+
+def test_every_area_of_a_document_counts(spark):
+    """Documents of "art" and "transport" at once, and of "art" alone, lie in different sources."""
+    rows = [(i, "word " * 20, "a" if i % 2 else "b", "en", 0) for i in range(2000)]
+    areas = [(i, "art") for i in range(2000)] + [(i, "transport") for i in range(2000) if i % 2 and i % 5 < 4 or i % 2 == 0 and i % 5 == 0]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("a", 0.2, 1, "x"), ("b", 0.8, 1, "x")], TARGETS)
+    topics = spark.createDataFrame(areas, "doc_id long, subject string")
+    drawn = {r["doc_id"]: r["copies"] for r in M.draw(docs, targets, topics, total=10_000.0).collect()}
+    transport = {i for i, s in areas if s == "transport"}
+    assert abs(sum(n for i, n in drawn.items() if i in transport) / sum(drawn.values()) - len(transport) / 2000) < 0.03
