@@ -40,14 +40,15 @@ def kind_summary(named: DataFrame, least: int = 5) -> DataFrame:
     return each.where(F.col("symbols") >= least).select("file_path", "symbols", F.array_join(F.transform("k", lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["label"])), ", ").alias("summary"))
 
 
-def common_root(paths: DataFrame, path: str = "path") -> DataFrame:
+def common_root(paths: DataFrame, path: str = "path", by: str | None = None) -> DataFrame:
     """One row, root: the longest folder all paths are below; empty if there is none. The least
-    and greatest path, part by part, have it in common."""
+    and greatest path, part by part, have it in common. With ``by`` a row for each of its values."""
+    keys = [by] if by else []
     parts = F.split(package_of(F.col(path)), "/")
-    ends = paths.where(F.col(path).isNotNull()).agg(F.min(parts).alias("a"), F.max(parts).alias("b"))
+    ends = paths.where(F.col(path).isNotNull()).groupBy(*keys).agg(F.min(parts).alias("a"), F.max(parts).alias("b"))
     same = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("a"), F.size("b")))), lambda i: F.slice("a", F.lit(1), i) == F.slice("b", F.lit(1), i))
     n = F.coalesce(F.array_max(same), F.lit(0))
-    return ends.select(F.coalesce(F.array_join(F.slice("a", F.lit(1), n), "/"), F.lit("")).alias("root"))
+    return ends.select(*keys, F.coalesce(F.array_join(F.slice("a", F.lit(1), n), "/"), F.lit("")).alias("root"))
 
 
 def nested(named: DataFrame) -> DataFrame:

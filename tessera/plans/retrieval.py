@@ -206,8 +206,9 @@ def repo_map_budget(spark, sf):
 
 @query()
 def common_root(spark, sf):
-    by = table(spark, sf, "files").where(F.col("path").startswith("fernhollow/src/"))
-    return M.common_root(by)
+    """The common folder of each repository's files."""
+    files = table(spark, sf, "files").where(F.col("path").isNotNull())
+    return M.common_root(files.withColumn("repo", F.split("path", "/")[0]), by="repo")
 
 
 @query(

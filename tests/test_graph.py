@@ -96,3 +96,20 @@ def test_formatted(spark):
     e = edges(spark, ("1", "main.go", "Run", "call", "Helper", "", 5), ("1", "main.go", "Run", "call", "Println", "fmt", 6))
     got = {r["line_text"] for r in G.formatted(G.callees(e, c, none(spark))).select(F.col("line_text")).collect()}
     assert got == {"Helper [call] helper.go:3 at main.go:5", "fmt.Println [call] (external) at main.go:6"}
+
+
+def test_common_root_of_every_repository(spark):
+    from tessera.plans.retrieval import common_root
+
+    sf = "/root/testdata/sf0.01"
+    below: dict = {}
+    for r in spark.read.parquet(f"{sf}/files.parquet").where("path IS NOT NULL").select("path").collect():
+        below.setdefault(r["path"].split("/")[0], []).append(r["path"].rpartition("/")[0] or ".")
+    want = {}
+    for repo, folders in below.items():
+        a, b = min(f.split("/") for f in folders), max(f.split("/") for f in folders)
+        same = [x for x, y in zip(a, b)]
+        while same != b[: len(same)]:
+            same.pop()
+        want[repo] = "/".join(same)
+    assert len(want) > 1 and {r["repo"]: r["root"] for r in common_root(spark, sf).collect()} == want
