@@ -1,19 +1,26 @@
 """Nearest neighbours of every vector by cross-polytope hashing with several probes.
 
-Vectors are centred and turned to their principal axes (both from all rows, large groups of copies
-counting once), and the leading
-``HASHED`` coordinates are hashed: a fast pseudo-rotation (three rounds of random signs and a
-Hadamard transform) and then the nearest signed axis. Each table has its own rotation. A vector
-is stored under its nearest axis and queried under its ``probes`` nearest ones; what meets in a
-bucket is compared by the exact distances of the whole vectors.
-
-The number of axes follows the number of vectors, so that buckets stay at about ``target``
-vectors and the work in proportion to the input; the number of tables grows by one with each
-doubling beyond what one level of axes can hold. A bucket is always compared whole. One holding
-more than ``block`` placements and a thousandth of all vectors is dealt into blocks by vector
-hash, and each pair of blocks is a cell of its own, so one crowded direction does not end in one
-task and loses nothing; its work grows with the square of its size, and each of its rows is moved
-once for each block.
+A bounded sample of the distinct vectors (``SAMPLE``, those of least hash) gives the mean, the
+principal axes and the plan; every vector is indexed. A vector is centred and turned to the
+principal axes. Its code has one digit for each level: the level's block of leading axes goes through
+a fast pseudo-rotation (three rounds of random signs and a Hadamard transform), and the digit is
+the nearest signed axis of the block's full cross-polytope. Each table has rotations of its own. A vector is stored under its
+nearest code and meets what is stored under its ``probes`` nearest ones; of two vectors it is
+enough that one finds the other's bucket.
+
+Levels, tables and probes are planned, not set: for ``QUERIES`` vectors of the sample the true
+neighbours among all rows are found by one pass, and the cheapest plan is taken under which so
+many of those pairs meet that the true share is above ``recall`` with 95 % confidence. Probes can
+go up to all buckets, which is exact, so there always is such a plan, and small tables come out exact.
+
+What moves is small: a placement carries its vector in 16 bits a component with the scale, from
+which distances follow within a proven bound. Candidates that the bound cannot tell
+apart at the cut, and equal distances, are ranked again by the exact vectors and the ids; the
+others need not be.
+
+A bucket of more than ``block`` placements is dealt into blocks by vector hash, and each pair of
+blocks is a cell of its own, so one crowded direction does not end in one task and loses nothing;
+its work grows with the square of its size, and each of its rows is moved once for each block.
 
 Exact copies are one vector here: they are grouped before and expanded after the search, so
 groups of copies cost nothing and lose no link.
@@ -29,10 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-HASHED, TARGET, TABLES, PROBES, BLOCK = 32, 6000, 2, 2, 49_152
+#: Distinct vectors the index is fitted on, and how many of them are searched to measure recall.
+SAMPLE, QUERIES, RECALL = 4096, 400, 0.97
+#: Greatest number of probes a table with several levels may have, and of tables.
+PROBES, TABLES = 64, 12
+#: Placements of a crowded bucket in one block, and comparisons that cost as much as moving a placement.
+BLOCK, MOVE = 49_152, 6000
 
 
 # ---------------------------------------------------------------- hashing
@@ -55,11 +66,13 @@ def pseudo_rotate(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def axes(y: np.ndarray, count: int) -> np.ndarray:
-    """The ``count`` nearest signed axes of each row, nearest first: 2 * axis + (positive)."""
-    a = np.abs(y)
-    near = np.argsort(-a, axis=1, kind="stable")[:, :count]
-    return near * 2 + (np.take_along_axis(y, near, 1) > 0)
+def ladder(width: int) -> list[tuple[int, ...]]:
+    """Levels to choose from, by number of buckets: one polytope of up to 32 axes, then two, then three."""
+    lead = 1 << int(math.log2(width))
+    one = [(d,) for d in (1, 2, 4, 8, 16, 32) if d <= lead]
+    one = [d for d in one if d[0] >= 8] or one[-1:]
+    two = [(one[-1][0], d) for d in (2, 4, 8, 16, 32) if d <= one[-1][0]]
+    return one + two + [(*two[-1], d[0]) for d in one if two]
 
 
 @dataclass
@@ -68,97 +81,196 @@ class Hasher:
 
     mean: np.ndarray
     frame: np.ndarray
-    tables: int
-    probes: int
     levels: tuple[int, ...]
+    tables: int = 1
+    probes: int = 1
 
-    @classmethod
-    def plan(cls, n: int, mean: np.ndarray, outer: np.ndarray, tables: int | None, probes: int, target: int) -> Hasher:
-        width = len(mean)
-        _, vectors = np.linalg.eigh(outer - np.outer(mean, mean))
-        lead = 1 << min(int(math.log2(HASHED)), int(math.log2(width)))
-        frame = vectors[:, ::-1][:, :lead]
-        want, levels = max(1.0, n / target), []
-        while want > 1:
-            dims = min(lead, max(1, round(want / 2)))
-            levels.append(dims)
-            want /= 2 * dims
-        more = max(0, math.ceil(math.log2(max(1.0, n / (2 * lead * target)))))
-        return cls(mean.astype(np.float32), frame.astype(np.float32), (tables or TABLES + more) if levels else 1, probes, tuple(levels))
-
-    def buckets(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        """For each table: the buckets of the probes (rows x probes), never negative."""
+    @property
+    def buckets(self) -> int:
+        return math.prod(2 * d for d in self.levels)
+
+    def codes(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each table the ``probes`` nearest buckets (rows x probes, nearest first), never negative."""
         y = (x - self.mean) @ self.frame
         norm = np.linalg.norm(y, axis=1, keepdims=True)
         y = y / np.where(norm > 0, norm, 1)
+        most = min(self.probes, self.buckets)
         for t in range(self.tables):
-            code = np.zeros((len(y), 1), np.int64)
+            code, loss = np.zeros((len(y), 1), np.int64), np.zeros((len(y), 1), np.float32)
             for level, dims in enumerate(self.levels):
-                at = axes(pseudo_rotate(y, 1000 * t + level)[:, :dims], min(self.probes, dims) if level == 0 else 1)
-                code = code * (2 * dims) + at
+                r = pseudo_rotate(y[:, :dims], 1000 * t + level)
+                v = np.concatenate([-r, r], axis=1)  # digit: axis, plus dims where positive
+                near = np.argsort(-v, axis=1, kind="stable")[:, : min(most, 2 * dims)]
+                v = np.take_along_axis(v, near, 1)
+                lost = (loss[:, :, None] + ((v[:, :1] - v) ** 2)[:, None, :]).reshape(len(y), -1)
+                both = (code[:, :, None] * (2 * dims) + near[:, None, :]).reshape(len(y), -1)
+                if level:
+                    best = np.argpartition(lost, min(most, lost.shape[1]) - 1, axis=1)[:, :most]
+                    best = np.take_along_axis(best, np.argsort(np.take_along_axis(lost, best, 1), axis=1, kind="stable"), 1)
+                    both, lost = np.take_along_axis(both, best, 1), np.take_along_axis(lost, best, 1)
+                code, loss = both, lost
             yield code * self.tables + t
 
+    @classmethod
+    def fit(cls, sample: np.ndarray) -> Hasher:
+        """Mean and principal axes of a sample."""
+        mean = sample.mean(0, dtype=np.float64)
+        centred = sample.astype(np.float64) - mean
+        _, axes = np.linalg.eigh(centred.T @ centred)
+        return cls(mean.astype(np.float32), axes[:, ::-1].astype(np.float32), (1,))
+
+    def plan(self, n: int, sample: np.ndarray, queries: np.ndarray, q: np.ndarray, near: np.ndarray, recall: float) -> Hasher:
+        """The cheapest levels, tables and probes under which the pairs (queries[q], near) meet often enough.
+
+        The cost of a plan is its placements, each with the moves and the comparisons it causes.
+        Without a pair everything is one's neighbour, and all buckets are probed.
+        """
+        best, least = self._with(ladder(len(self.mean))[0]), math.inf
+        best.probes = best.buckets
+        for levels in ladder(len(self.mean)) if len(q) else ():
+            stored, wide = self._with(levels, TABLES), self._with(levels, TABLES)
+            wide.probes = min(wide.buckets, PROBES) if len(levels) > 1 else wide.buckets
+            if wide.buckets > max(4 * n, 4 * levels[0]):
+                break
+            first = np.full(len(q), wide.probes, np.int64)
+            for t, (a, b, own) in enumerate(zip(wide.codes(queries), wide.codes(near), stored.codes(sample)), 1):
+                _, share = np.unique(own[:, 0], return_counts=True)
+                crowd = n * float(((share / len(sample)) ** 2).sum())
+                if t * (1 + crowd / MOVE) >= least:
+                    break
+                a, last = a[q], np.ones((len(q), 1), bool)
+                hit, back = (np.concatenate([z, last], 1).argmax(1) for z in (b[:, :1] == a, a[:, :1] == b))
+                first = np.minimum(first, np.minimum(hit, back))
+                met = np.cumsum(np.bincount(first, minlength=wide.probes + 1)[: wide.probes]) / len(q)
+                good = np.flatnonzero(met - 1.645 * np.sqrt(met * (1 - met) / len(q)) >= recall)
+                if len(good) and t * (good[0] + 1) * (1 + crowd / MOVE) < least:
+                    least, best = t * (good[0] + 1) * (1 + crowd / MOVE), self._with(levels, t, int(good[0]) + 1)
+        return best
+
+    def _with(self, levels: tuple[int, ...], tables: int = 1, probes: int = 1) -> Hasher:
+        return Hasher(self.mean, self.frame, levels, tables, probes)
+
+
+# ---------------------------------------------------------------- rounded vectors
+
+
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit components and the scale of each row; no component is off by more than half a scale."""
+    scale = (np.abs(x).max(1) / 32767).astype(np.float32)
+    safe = np.where(scale > 0, scale, 1)[:, None]
+    return np.rint(x.astype(np.float64) / safe).clip(-32767, 32767).astype(np.int16), scale
+
+
+def off_by(scale: np.ndarray, width: int) -> np.ndarray:
+    """Greatest distance of a vector from its rounded one."""
+    return scale.astype(np.float64) * (0.503 * math.sqrt(width))
+
 
 # ---------------------------------------------------------------- blocks
 
 
-def nearest(a: np.ndarray, b: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a its k nearest rows of b (fewer if b is small), with all ties at the cut.
+def _within(d: np.ndarray, k: int, slack: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Places of each row's squared distances up to the k-th least, a slack (of distances) and
+    the noise (of the squares) beyond.
 
-    Gives pairs (row of a, row of b). Distances are screened in single precision with a margin
-    and then taken exactly by the caller.
+    The bound comes from the least of every few columns, so it is the k-th least or a little more.
     """
-    if not len(a) or not len(b) - own:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sq = np.einsum("ij,ij->i", b, b)
-    out_a, out_b = [], []
-    step = max(1, 4_000_000 // len(b))
-    for i in range(0, len(a), step):
-        part = a[i : i + step]
-        d = sq[None, :] - 2 * (part @ b.T)
-        if own:
-            r = np.arange(len(part))
-            d[r, r + i] = np.inf
-        kk = min(k, len(b) - own)
-        cut = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        cut = cut + 4e-6 * (np.einsum("ij,ij->i", part, part) + np.abs(cut) + 1e-12)
-        r, c = np.nonzero(d <= cut[:, None])
-        out_a.append(r + i)
-        out_b.append(c)
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of paired rows in double precision."""
-    d = x.astype(np.float64) - y.astype(np.float64)
-    return np.einsum("ij,ij->i", d, d)
-
-
-def block_pairs(vid: np.ndarray, stored: np.ndarray, side: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (of, near, squared distance) among the rows that met in one bucket.
-
-    Rows of side 0 are compared with each other; those of side 1 with those of side 2 only.
+    r, c = d.shape
+    cells = max(1, min(8, c // (4 * k)))
+    least = d[:, : c - c % cells].reshape(r, -1, cells).min(axis=2)
+    kk = min(k, least.shape[1])
+    cut = np.partition(least, kk - 1, axis=1)[:, kk - 1] if c > k else d.max(axis=1)
+    bound = (np.sqrt(np.maximum(cut + noise, 0)) + slack) ** 2 + noise
+    return np.flatnonzero(d <= np.minimum(bound, 3e38).astype(np.float32)[:, None])  # never what is set infinite
+
+
+def block_pairs(vid: np.ndarray, stored: np.ndarray, side: np.ndarray, x: np.ndarray, err: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (row of, row near, distance of the rounded vectors) among what met in one cell.
+
+    Stored rows meet all others, rows that probe meet the stored ones. Rows of side 0 meet each
+    other; those of side 1 meet those of side 2 only. Of each row those are kept that may be among its k nearest here.
     """
-    found = []
-    for a, b in ((0, 0), (1, 2), (2, 1)):
-        own = a == b
-        s, t = (np.flatnonzero(stored & (side == z)) for z in (a, b))
-        q, r = (np.flatnonzero(~stored & (side == z)) for z in (a, b))
-        for of, near, same in ((s, t, own), (q, t, False), (s, r, False)):
-            i, j = nearest(x[of], x[near], k, same)
-            found.append((of[i], near[j]))
-    of, near = (np.concatenate(z) for z in zip(*found))
-    d = exact(x[of], x[near])
-    # keep the k best of each row, and what ties with the last of them
+    sq = np.einsum("ij,ij->i", x, x)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def cross(a: np.ndarray, b: np.ndarray, own: bool) -> None:
+        if not len(a) or not len(b):
+            return
+        step = max(1, 4_000_000 // len(b))
+        y, widest = x[b], err[b].max()  # squares are in single precision
+        for lo in range(0, len(a), step):
+            part = a[lo : lo + step]
+            d = x[part] @ y.T
+            d *= -2
+            d += sq[b][None, :]
+            d += sq[part][:, None]
+            if own:
+                d[np.arange(len(part)), np.arange(lo, lo + len(part))] = np.inf
+            at = _within(d, k, 2 * (err[part] + widest), 4e-6 * (sq[part] + sq[b].max()))
+            found.append((part[at // len(b)], b[at % len(b)]))
+            if not own:
+                at = _within(np.ascontiguousarray(d.T), k, 2 * (err[b] + err[part].max()), 4e-6 * (sq[b] + sq[part].max()))
+                found.append((b[at // len(part)], part[at % len(part)]))
+
+    for a, b in ((0, 0), (1, 2)):
+        s, q = np.flatnonzero(stored & (side == a)), np.flatnonzero(~stored & (side == a))
+        if a == b:
+            cross(s, s, True)
+            cross(s, q, False)
+        else:
+            t, r = np.flatnonzero(stored & (side == b)), np.flatnonzero(~stored & (side == b))
+            cross(s, t, False)
+            cross(s, r, False)
+            cross(t, q, False)
+    of, near = (np.concatenate([np.zeros(0, np.int64), *z]) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    if not len(of):
+        return of, near, np.zeros(0)
+    diff = x[of].astype(np.float64) - x[near]
+    d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
     order = np.lexsort((d, of))
     of, near, d = of[order], near[order], d[order]
-    if len(of):
-        begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        size = np.diff(np.r_[begin, len(of)])
-        last = np.repeat(d[begin + np.minimum(k, size) - 1], size)
-        keep = d <= last
-        of, near, d = of[keep], near[keep], d[keep]
-    return vid[of], vid[near], d
+    begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    size = np.diff(np.r_[begin, len(of)])
+    e = err[of] + err[near]
+    rank = np.arange(len(of)) - np.repeat(begin, size)
+    top = np.where(rank < k, d + e, -np.inf)
+    high = np.repeat(np.maximum.reduceat(top, begin), size)
+    keep = (d - e <= high) | np.repeat(size <= k, size)
+    return of[keep], near[keep], d[keep]
+
+
+# ---------------------------------------------------------------- decision
+
+
+def decide(row: np.ndarray, need: np.ndarray, d: np.ndarray, err: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is certain of candidates sorted by row: (taken ids of each, -1 where open; still needed of each row).
+
+    ``need`` is how many ids each row looks for, ``size`` how many ids a candidate has, and its
+    true distance is within ``err`` of d.
+    """
+    take = np.zeros(len(d), np.int64)
+    left = need.astype(np.int64).copy()
+    if not len(d):
+        return take, left
+    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    count = np.diff(np.r_[begin, len(row)])
+    lo, hi = d - err, d + err
+    # rows of about the same length at once
+    for longest in sorted(set((1 << np.ceil(np.log2(count)).astype(int)).tolist())):
+        some = np.flatnonzero((count <= longest) & (count > longest // 2))
+        per = max(1, 4_000_000 // longest**2)
+        for i in range(0, len(some), per):
+            part = some[i : i + per]
+            at = np.minimum(begin[part][:, None] + np.arange(longest)[None, :], len(d) - 1)
+            real = np.arange(longest)[None, :] < count[part][:, None]
+            l, h, s = np.where(real, lo[at], np.inf), np.where(real, hi[at], np.inf), np.where(real, size[at], 0)
+            n = need[row[begin[part]]][:, None]
+            surely = ((h[:, None, :] < l[:, :, None]) * s[:, None, :]).sum(2)
+            maybe = ((l[:, None, :] <= h[:, :, None]) * s[:, None, :]).sum(2) - s
+            got = np.where(n - maybe >= s, s, np.where(surely >= n, 0, np.where(surely == maybe, n - surely, -1)))
+            take[at[real]] = got[real]
+            left[row[begin[part]]] = n[:, 0] - np.where(real, np.maximum(got, 0), 0).sum(1)
+    return take, left
 
 
 # ---------------------------------------------------------------- the operator
@@ -182,78 +294,74 @@ def unpack(value: Column) -> Column:
     return F.when(F.substring(value, 1, 1) == F.lit(b"\1"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
 
 
-def _stats(vectors: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, sum and sum of outer products of all vectors; one row per task reaches the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, outer = 0, np.zeros(width), np.zeros((width, width))
-        for batch in batches:
-            x = _matrix(batch.column(0), width).astype(np.float64)
-            n, total, outer = n + len(x), total + x.sum(0), outer + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.r_[n, total, outer.ravel()].tolist()])], ["g", "s"])
-
-    parts = vectors.select("x").mapInArrow(run, "g long, s array<double>")
-    summed = (
-        parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-    ).first()["s"]
-    flat = np.array([r["v"] for r in summed] or np.zeros(1 + width + width * width))
-    return int(round(flat[0])), flat[1 : 1 + width], flat[1 + width :].reshape(width, width)
-
-
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
 
 
-def _distinct(keyed: DataFrame, rows: int, total: np.ndarray, outer: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of distinct vectors, and mean and mean outer product with large groups counting once.
+def _sample(keyed: DataFrame, n: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vids, vectors) of about ``sample`` distinct vectors, all of them if there are no more."""
+    least = min(2**63 - 1, -(2**63) + int(min(1.0, sample / max(1, n)) * 2**64))
+    some = keyed.select(F.xxhash64("x").alias("vid"), "x").where(F.xxhash64("vid", F.lit(5)) <= F.lit(least).cast("long"))
+    rows = some.groupBy("vid").agg(F.first("x").alias("x")).orderBy(F.xxhash64("vid", F.lit(5)), "vid").limit(2 * sample).collect()
+    return np.array([r["vid"] for r in rows], np.int64), np.array([r["x"] for r in rows], np.float32)
+
+
+def _truth(keyed: DataFrame, vids: np.ndarray, x: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place of a given vector, near): each with its k nearest other vectors of all rows.
 
-    Only hashes are shuffled. Groups of over a thousandth of all rows (so at most a thousand, and
-    so many rows reach the driver) are taken out of the sums but for one vector each; smaller
-    groups count by their rows in the means, but not in the number.
+    A task keeps k candidates of a vector; what reaches the driver is k vectors for each.
     """
-    vid, m = F.xxhash64("x").alias("vid"), F.col("count")
-    large = F.collect_list(F.when(m > max(1, rows // 1000), F.struct("vid", m.alias("m"))))
-    got = keyed.select(vid).groupBy("vid").count().agg(F.count("*").alias("n"), large.alias("large")).first()
-    more = {r["vid"]: r["m"] - 1 for r in got["large"]}
-    if more:
-        for r in keyed.select(vid, "x").where(F.col("vid").isin(*more)).groupBy("vid").agg(F.first("x").alias("x")).collect():
-            x = np.array(r["x"], np.float64)
-            total, outer = total - more[r["vid"]] * x, outer - more[r["vid"]] * np.outer(x, x)
-    kept = max(1, rows - sum(more.values()))
-    return got["n"], total / kept, outer / kept
-
-
-def _crowded(keyed: DataFrame, hasher: Hasher, n: int, width: int, block: int) -> dict[int, int]:
-    """Buckets holding more than a block and over a thousandth of all n distinct vectors, with the
-    number of blocks of each: at most a thousand for each table and probe.
-
-    Rows are counted first, which moves a number for each bucket; only in buckets with so many
-    rows are the vectors told apart, by their hashes. Such buckets reach the driver: more than a
-    thousand only where copies outnumber vectors, and no more than there are buckets.
+    sq = np.einsum("ij,ij->i", x, x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, dict[int, tuple[float, bytes]]] = {i: {} for i in range(len(x))}
+        last = np.full(len(x), np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vid, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            y = _matrix(batch.column(1), width)[first]
+            for lo in range(0, len(y), 4096):
+                z, v = y[lo : lo + 4096], vid[lo : lo + 4096]
+                d = sq[:, None] + np.einsum("ij,ij->i", z, z)[None] - 2 * x @ z.T
+                d[vids[:, None] == v[None, :]] = np.inf
+                kk = min(k, d.shape[1])
+                cut = np.minimum(np.partition(d, kk - 1, axis=1)[:, kk - 1], last)
+                for i, j in zip(*np.nonzero((d <= cut[:, None]) & np.isfinite(d))):
+                    best[i][int(v[j])] = (float(d[i, j]), z[j].tobytes())
+                for i, found in best.items():
+                    if len(found) > k:
+                        best[i] = dict(sorted(found.items(), key=lambda f: f[1][0])[:k])
+                    if len(best[i]) >= k:
+                        last[i] = max(f[0] for f in best[i].values())
+        rows = [(i, v, d, z) for i, found in best.items() for v, (d, z) in found.items()]
+        cols = list(zip(*rows)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.binary()))], ["q", "vid", "d", "x"])
+
+    found = keyed.select(F.xxhash64("x").alias("vid"), "x").mapInArrow(run, "q int, vid long, d double, x binary").groupBy("q", "vid").agg(F.min("d").alias("d"), F.min("x").alias("x"))
+    rows = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "vid"))).where(F.col("r") <= k).select("q", "x").collect()
+    return np.array([r["q"] for r in rows], np.int64), np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, width)
+
+
+def _crowded(vectors: DataFrame, hasher: Hasher, n: int, width: int, block: int) -> dict[int, int]:
+    """Buckets of more than a block, with the number of blocks of each.
+
+    A vector has one placement in a bucket, so up to ``block`` vectors there are none. Rows are
+    counted within a task and then by bucket; copies that are in one batch count once, others
+    make blocks smaller than they need be. At most placements / block counts reach the driver.
     """
     if n <= block:
         return {}
-    least = max(block, n // 1000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in hasher.buckets(_matrix(batch.column(0), width)):
+            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            for at in hasher.codes(_matrix(batch.column(1), width)[first]):
                 bucket, m = np.unique(at, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(m)], ["bucket", "m"])
 
-    rows = keyed.select("x").mapInArrow(count, "bucket long, m long").groupBy("bucket").agg(F.sum("m").alias("m"))
-    full = np.array([r["bucket"] for r in rows.where(F.col("m") > least).collect()], np.int64)
-    if not len(full):
-        return {}
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in hasher.buckets(_matrix(batch.column(1), width)):
-                row, probe = np.nonzero(np.isin(at, full))
-                yield pa.RecordBatch.from_arrays([pa.array(at[row, probe]), batch.column(0).take(pa.array(row))], ["bucket", "vid"])
-
-    placed = keyed.select(F.xxhash64("x").alias("vid"), "x").mapInArrow(tell, "bucket long, vid long").distinct()
-    return {r["bucket"]: -(-r["count"] // block) for r in placed.groupBy("bucket").count().where(F.col("count") > least).collect()}
+    rows = vectors.mapInArrow(count, "bucket long, m long").groupBy("bucket").agg(F.sum("m").alias("m"))
+    return {r["bucket"]: -(-r["m"] // block) for r in rows.where(F.col("m") > block).collect()}
 
 
 def _cells(crowded: dict[int, int], vid: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -277,64 +385,126 @@ def _cells(crowded: dict[int, int], vid: np.ndarray, bucket: np.ndarray) -> Iter
         yield rows[some], cell, np.where(i == other, 0, np.where(i < other, 1, 2)).astype(np.int8)
 
 
-def _place(vectors: DataFrame, hasher: Hasher, crowded: dict[int, int], width: int) -> DataFrame:
-    """A row per vector, table, probe and cell: vid, cell (see ``_cells``), role, x.
+def _record(width: int) -> np.dtype:
+    """What a placement carries: ``role`` is twice the side, and one more where it is stored."""
+    return np.dtype([("vid", "<i8"), ("scale", "<f4"), ("own", "i1"), ("role", "i1"), ("x", "<i2", (width,))])
 
-    ``role`` is twice the side, and one more where the vector is stored.
-    """
+
+def _place(vectors: DataFrame, hasher: Hasher, crowded: dict[int, int], width: int) -> DataFrame:
+    """A row for each vector, table, probe and cell: cell (see ``_cells``) and the record."""
+    kind = _record(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                vid = part.column(0).to_numpy()
-                for bucket in hasher.buckets(_matrix(part.column(1), width)):
-                    for p in range(bucket.shape[1]):
-                        for rows, cell, side in _cells(crowded, vid, bucket[:, p]):
-                            some = part.take(pa.array(rows)) if len(rows) < len(vid) else part
-                            role = 2 * side + np.int8(p == 0)
-                            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cell, pa.int64()), pa.array(role, pa.int8()), some.column(1)], ["vid", "cell", "role", "x"])
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                vid, x = part.column(0).to_numpy(), _matrix(part.column(1), width)
+                whole = np.zeros(len(vid), kind)
+                whole["vid"], whole["own"] = vid, part.column(2).to_numpy()
+                whole["x"], whole["scale"] = rounded(x)
+                for code in hasher.codes(x):
+                    for p in range(code.shape[1]):
+                        for rows, cell, side in _cells(crowded, vid, code[:, p]):
+                            if not len(rows):
+                                continue
+                            some = whole[rows]
+                            some["role"] = 2 * side + (p == 0)
+                            data = pa.py_buffer(some.tobytes())
+                            at = pa.py_buffer(np.arange(0, (len(some) + 1) * kind.itemsize, kind.itemsize, dtype=np.int32).tobytes())
+                            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, at, data])], ["cell", "v"])
+
+    return vectors.select("vid", "x", "own").mapInArrow(run, "cell long, v binary")
 
-    return vectors.select("vid", "x").mapInArrow(run, "vid long, cell long, role byte, x array<float>")
+
+_FOUND = np.dtype([("vid", "<i8"), ("d", "<f4"), ("err", "<f4"), ("own", "i1")])
 
 
 def _compare(placed: DataFrame, width: int, k: int) -> DataFrame:
-    """Candidates of each vector from each cell: vid, d, near (arrays of equal length)."""
+    """Candidates of each vector from each cell: vid, own, found (records of ``_FOUND``, packed)."""
+    kind = _record(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[np.ndarray] = []
         cell = None
 
         def flush():
-            nonlocal held
-            vid, role, x = (np.concatenate(z) for z in zip(*held))
-            held = []
-            of, near, d = block_pairs(vid, role % 2 == 1, role // 2, x, k)
+            rec = np.concatenate(held)
+            held.clear()
+            x = rec["x"].astype(np.float32) * rec["scale"][:, None]
+            err = off_by(rec["scale"], width)
+            of, near, d = block_pairs(rec["vid"], rec["role"] % 2 == 1, rec["role"] // 2, x, err, k)
             if len(of):
-                order = np.argsort(of, kind="stable")
-                of, near, d = of[order], near[order], d[order]
+                out = np.zeros(len(of), _FOUND)
+                out["vid"], out["d"], out["own"] = rec["vid"][near], d, rec["own"][near]
+                out["err"] = (err[of] + err[near]) * 1.0001 + 2e-7 * d
                 begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                at = pa.array(np.r_[begin, len(of)], pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(z)) for z in (d, near)]
-                yield pa.RecordBatch.from_arrays([pa.array(of[begin]), *lists], ["vid", "d", "near"])
+                data = out.tobytes()
+                at = np.r_[begin, len(of)].astype(np.int32) * _FOUND.itemsize
+                lists = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(rec["vid"][of[begin]]), pa.array(rec["own"][of[begin]]), lists], ["vid", "own", "found"])
 
         for batch in batches:
-            b = batch.column(1).to_numpy(zero_copy_only=False)
-            vid, role, x = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3), width)
+            if not batch.num_rows:
+                continue
+            b = batch.column(0).to_numpy(zero_copy_only=False)
+            column = batch.column(1)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            rec = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
             cuts = np.r_[0, np.flatnonzero(b[1:] != b[:-1]) + 1, len(b)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if held and b[lo] != cell:
                     yield from flush()
                 cell = b[lo]
-                held.append((vid[lo:hi], role[lo:hi], x[lo:hi]))
+                held.append(rec[lo:hi].copy())
         if held:
             yield from flush()
 
     spread = placed.repartition("cell").sortWithinPartitions("cell")
-    return spread.mapInArrow(run, "vid long, d array<double>, near array<long>")
+    return spread.mapInArrow(run, "vid long, own byte, found binary")
+
+
+_EDGES = "vid long, other long, take int, need int"
 
 
-def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int = 5, width: int = 64, tables: int | None = None, probes: int = PROBES, target: int = TARGET, block: int = BLOCK) -> DataFrame:
+def _ranked(candidates: DataFrame, k: int) -> DataFrame:
+    """vid, other, take (how many ids of the other are linked), need: where take is -1 the bound
+    does not tell, and ``need`` ids are to be taken from all such candidates of the vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vid, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = [b"".join(x) for x in batch.column(2).to_pylist()]
+            rec = np.frombuffer(b"".join(parts), _FOUND)
+            row = np.repeat(np.arange(len(vid)), [len(p) // _FOUND.itemsize for p in parts])
+            order = np.lexsort((rec["vid"], row))
+            rec, row = rec[order], row[order]
+            first = np.r_[True, (rec["vid"][1:] != rec["vid"][:-1]) | (row[1:] != row[:-1])][: len(rec)]
+            rec, row = rec[first], row[first]
+            d, err, size = rec["d"].astype(np.float64), rec["err"].astype(np.float64), rec["own"].astype(np.int64)
+            order = np.lexsort((d + err, row))
+            rec, row, d, err, size = rec[order], row[order], d[order], err[order], size[order]
+            need = np.maximum(0, k + 1 - own)
+            # beyond the upper bounds that already hold enough ids nothing can be near enough
+            begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+            count = np.diff(np.r_[begin, len(row)])
+            total = np.cumsum(size) - size
+            before = total - np.repeat(total[begin], count)
+            high = np.full(len(vid), -np.inf)
+            inside = before < need[row]
+            np.maximum.at(high, row[inside], (d + err)[inside])
+            keep = (d - err <= high[row]) & (need[row] > 0)
+            rec, row, d, err, size = rec[keep], row[keep], d[keep], err[keep], size[keep]
+            take, left = decide(row, need, d, err, size)
+            some = take != 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(vid[row[some]]), pa.array(rec["vid"][some]), pa.array(take[some], pa.int32()), pa.array(np.where(take < 0, left[row], 0)[some], pa.int32())], ["vid", "other", "take", "need"]
+            )
+
+    merged = candidates.groupBy("vid").agg(F.first("own").alias("own"), F.collect_list("found").alias("found"))
+    return merged.mapInArrow(run, _EDGES)
+
+
+def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int = 5, width: int = 64, recall: float = RECALL, sample: int = SAMPLE, queries: int = QUERIES, block: int = BLOCK, plans: list | None = None) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of which one is among the k nearest of the other.
 
     Distance is Euclidean, ties go to the smaller id. A key takes part once, with its least
@@ -342,9 +512,10 @@ def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int
     in a group of more than k such keys the neighbours of each are the smallest others of its
     group. Fewer than k + 1 keys give all pairs; an empty table gives none. Pairs are distinct.
 
-    What the search can miss is the links of vectors that share no bucket under any table: the
-    recall against brute force over the test tables is in the README (0.9 or more is asserted by
-    the tests). Up to ``target`` distinct vectors the search is exact.
+    What the search can miss is the links of vectors that share no bucket under any table. The
+    plan is made so that on the sample more than ``recall`` of the links are found, with 95 %
+    confidence, whatever the size of the table; if the sample is the whole table nothing is missed.
+    ``plans`` (a list) is given the plan.
 
     Skew: copies are counted before they move (at most k + 1 keys of a group are kept in one
     place); keys beyond those of large groups are joined with the group's row, by broadcast where
@@ -353,53 +524,44 @@ def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int
     vid = F.xxhash64("x")
     rows = df.where(usable(df[vector], width) & df[key].isNotNull()).select(df[key].cast("string").alias("id"), df[vector].cast("array<float>").alias("x"))
     keyed = rows.select(pack(F.col("id")).alias("id"), F.transform("x", lambda v: v + F.lit(0.0).cast("float")).alias("x"))
-    count, total, outer = _stats(keyed, width)
-    n, mean, outer = _distinct(keyed, count, total, outer)
-    hasher = Hasher.plan(n, mean, outer, tables, probes, target)
-    crowded = _crowded(keyed, hasher, n, width, block)
+    n, count = keyed.agg(F.approx_count_distinct(vid, 0.02), F.count("*")).first()
+    vids, fitted = _sample(keyed, n, sample)
+    if not len(vids):
+        return df.sparkSession.createDataFrame([], "id_a string, id_b string")
+    some = min(len(vids), queries)
+    hasher = Hasher.fit(fitted)
+    q, near = _truth(keyed, vids[:some], fitted[:some], k, width)
+    hasher = hasher.plan(n, fitted, fitted[:some], q, near, recall if len(vids) > some else 1.0)
+    if plans is not None:
+        plans.append(hasher)
+    crowded = _crowded(keyed.select(vid.alias("vid"), "x"), hasher, n, width, block)
 
     members = keyed.groupBy("id").agg(F.min(vid).alias("vid"))
     order = W.partitionBy("vid").orderBy(unpack(F.col("id")))
     first = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     groups = first.groupBy("vid").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda s: s["id"]).alias("ids"))
     vectors = keyed.select(vid.alias("vid"), "x").groupBy("vid").agg(F.first("x").alias("x"))
+    whole = vectors.join(groups.select("vid", F.size("ids").cast("byte").alias("own")), "vid")
 
-    merged = (
-        _compare(_place(vectors, hasher, crowded, width), width, k)
-        .groupBy("vid")
-        .agg(F.flatten(F.collect_list("d")).alias("d"), F.flatten(F.collect_list("near")).alias("vids"))
-        .select("vid", F.array_sort(F.array_distinct(F.arrays_zip(F.col("d"), F.col("vids").alias("vid")))).alias("near"))
-    )
-    cut = F.get(F.col("near"), F.least(F.lit(k), F.size("near")) - 1)["d"]
-    best = merged.select("vid", F.explode(F.filter("near", lambda c: c["d"] <= cut)).alias("c")).select("vid", "c.d", F.col("c.vid").alias("other"))
-
-    # of each vector the first ids of its list, after the copies of the vector itself
-    there = groups.select(F.col("vid").alias("other"), "ids")
-    lists = best.join(there, "other").groupBy("vid").agg(F.collect_list(F.struct("d", "other", "ids")).alias("near"))
-    ranked = F.array_sort(F.flatten(F.transform("near", lambda c: F.transform(c["ids"], lambda i: F.struct(c["d"].alias("d"), unpack(i).alias("id"), c["other"].alias("other"))))))
-    own = groups.select("vid", F.size("ids").alias("own"))
-    edges = (
-        lists.join(own, "vid")
-        .where(F.col("own") <= k)
-        .select("vid", F.explode(F.slice(ranked, F.lit(1), F.lit(k + 1) - F.col("own"))).alias("c"))
-        .select("vid", F.col("c.other").alias("other"))
-    )
+    ranked = _ranked(_compare(_place(whole, hasher, crowded, width), width, k), k)
+    edges = ranked.where(F.col("take") > 0).select("vid", "other", "take")
+    edges = edges.unionByName(_settled(ranked.where(F.col("take") < 0), vectors, groups))
     up = F.col("vid") < F.col("other")
     linked = edges.groupBy(F.least("vid", "other").alias("lo"), F.greatest("vid", "other").alias("hi")).agg(
-        F.count(F.when(up, 1)).cast("int").alias("of_hi"), F.count(F.when(~up, 1)).cast("int").alias("of_lo")
+        F.coalesce(F.max(F.when(up, F.col("take"))), F.lit(0)).alias("of_hi"), F.coalesce(F.max(F.when(~up, F.col("take"))), F.lit(0)).alias("of_lo")
     )
     ends = linked.join(groups.select(F.col("vid").alias("lo"), F.col("ids").alias("lo_ids")), "lo").join(groups.select(F.col("vid").alias("hi"), F.col("ids").alias("hi_ids")), "hi")
 
     def product(a: Column, b: Column) -> Column:
         return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(x.alias("a"), y.alias("b")))))
 
-    some = lambda ids, m: F.slice(ids, 1, m)
+    some_of = lambda ids, m: F.slice(ids, 1, m)
     lo, hi = F.col("lo_ids"), F.col("hi_ids")
     between = ends.select(
         F.explode(
             F.array_union(
-                F.when(F.col("of_hi") > 0, product(lo, some(hi, F.col("of_hi")))).otherwise(F.array().cast("array<struct<a: binary, b: binary>>")),
-                F.when(F.col("of_lo") > 0, product(some(lo, F.col("of_lo")), hi)).otherwise(F.array().cast("array<struct<a: binary, b: binary>>")),
+                F.when(F.col("of_hi") > 0, product(lo, some_of(hi, F.col("of_hi")))).otherwise(F.array().cast("array<struct<a: binary, b: binary>>")),
+                F.when(F.col("of_lo") > 0, product(some_of(lo, F.col("of_lo")), hi)).otherwise(F.array().cast("array<struct<a: binary, b: binary>>")),
             )
         ).alias("p")
     ).select("p.a", "p.b")
@@ -423,3 +585,13 @@ def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int
 
     a, b = unpack(F.col("a")), unpack(F.col("b"))
     return between.unionByName(among).unionByName(beyond).select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
+
+
+def _settled(open_: DataFrame, vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """Open candidates ranked by exact distances and ids: vid, other, take."""
+    there = vectors.join(groups, "vid").select(F.col("vid").alias("other"), F.col("x").alias("y"), "ids")
+    both = open_.join(there, "other").join(vectors, "vid")
+    d = F.aggregate(F.zip_with("x", "y", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    flat = both.select("vid", "other", "need", d.alias("d"), F.explode(F.transform("ids", unpack)).alias("id"))
+    best = flat.withColumn("r", F.row_number().over(W.partitionBy("vid").orderBy("d", "id"))).where(F.col("r") <= F.col("need"))
+    return best.groupBy("vid", "other").agg(F.count("*").cast("int").alias("take"))
