@@ -42,8 +42,9 @@ from pyspark.sql import Window as W
 SAMPLE, QUERIES, RECALL = 4096, 400, 0.97
 #: Greatest number of probes a table with several levels may have, and of tables.
 PROBES, TABLES = 64, 12
-#: Placements of a crowded bucket in one block, and comparisons that cost as much as moving a placement.
-BLOCK, MOVE = 49_152, 6000
+#: Placements of a crowded bucket in one block, comparisons that cost as much as moving a
+#: placement, and rows and columns compared at once.
+BLOCK, MOVE, TILE = 131_072, 6000, 2048
 
 
 # ---------------------------------------------------------------- hashing
@@ -125,13 +126,14 @@ class Hasher:
         The cost of a plan is its placements, each with the moves and the comparisons it causes.
         Without a pair everything is one's neighbour, and all buckets are probed.
         """
-        best, least = self._with(ladder(len(self.mean))[0]), math.inf
+        best, least, worse = self._with(ladder(len(self.mean))[0]), math.inf, 0
         best.probes = best.buckets
         for levels in ladder(len(self.mean)) if len(q) else ():
+            before, worse = least, worse + 1
             stored, wide = self._with(levels, TABLES), self._with(levels, TABLES)
             wide.probes = min(wide.buckets, PROBES) if len(levels) > 1 else wide.buckets
-            if wide.buckets > max(4 * n, 4 * levels[0]):
-                break
+            if worse > 2 or wide.buckets > max(4 * n, 4 * levels[0]):
+                break  # twice no better, or hardly a vector in a bucket
             first = np.full(len(q), wide.probes, np.int64)
             for t, (a, b, own) in enumerate(zip(wide.codes(queries), wide.codes(near), stored.codes(sample)), 1):
                 _, share = np.unique(own[:, 0], return_counts=True)
@@ -145,6 +147,7 @@ class Hasher:
                 good = np.flatnonzero(met - 1.645 * np.sqrt(met * (1 - met) / len(q)) >= recall)
                 if len(good) and t * (good[0] + 1) * (1 + crowd / MOVE) < least:
                     least, best = t * (good[0] + 1) * (1 + crowd / MOVE), self._with(levels, t, int(good[0]) + 1)
+            worse = worse if least == before else 0
         return best
 
     def _with(self, levels: tuple[int, ...], tables: int = 1, probes: int = 1) -> Hasher:
@@ -169,72 +172,87 @@ def off_by(scale: np.ndarray, width: int) -> np.ndarray:
 # ---------------------------------------------------------------- blocks
 
 
-def _within(d: np.ndarray, k: int, slack: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """Places of each row's squared distances up to the k-th least, a slack (of distances) and
-    the noise (of the squares) beyond.
+def _kth(d: np.ndarray, k: int) -> np.ndarray:
+    """For each column its k-th least entry or a little more, infinite where it has fewer.
 
-    The bound comes from the least of every few columns, so it is the k-th least or a little more.
+    The least of every few rows stand for their rows.
     """
     r, c = d.shape
+    if r < k:
+        return np.full(c, np.inf, np.float32)
+    cells = max(1, min(8, r // (4 * k)))
+    least = d[: r - r % cells].reshape(cells, -1, c).min(axis=0) if cells > 1 else d
+    return np.partition(np.ascontiguousarray(least.T), k - 1, axis=1)[:, k - 1]
+
+
+def _kth_of_rows(d: np.ndarray, k: int) -> np.ndarray:
+    """The same for each row."""
+    r, c = d.shape
+    if c < k:
+        return np.full(r, np.inf, np.float32)
     cells = max(1, min(8, c // (4 * k)))
-    least = d[:, : c - c % cells].reshape(r, -1, cells).min(axis=2)
-    kk = min(k, least.shape[1])
-    cut = np.partition(least, kk - 1, axis=1)[:, kk - 1] if c > k else d.max(axis=1)
-    bound = (np.sqrt(np.maximum(cut + noise, 0)) + slack) ** 2 + noise
-    return np.flatnonzero(d <= np.minimum(bound, 3e38).astype(np.float32)[:, None])  # never what is set infinite
+    least = d[:, : c - c % cells].reshape(r, cells, -1).min(axis=1) if cells > 1 else d
+    return np.partition(least, k - 1, axis=1)[:, k - 1]
 
 
 def block_pairs(vid: np.ndarray, stored: np.ndarray, side: np.ndarray, x: np.ndarray, err: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates (row of, row near, distance of the rounded vectors) among what met in one cell.
 
     Stored rows meet all others, rows that probe meet the stored ones. Rows of side 0 meet each
-    other; those of side 1 meet those of side 2 only. Of each row those are kept that may be among its k nearest here.
+    other; those of side 1 meet those of side 2 only. Of each row those are kept that may be
+    among its k nearest here, by its bound and the others'.
     """
     sq = np.einsum("ij,ij->i", x, x)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    ones = np.ones((len(x), 1), np.float32)
+    left, right = np.hstack([x, ones, sq[:, None]]), np.hstack([-2 * x, sq[:, None], ones])  # their product is the squares
+    cut = np.full(len(x), np.inf, np.float32)  # no less than the k-th least square, by what was seen
+    slack = 2 * (err + err.max(initial=0))
+    noise = 8e-6 * (sq + sq.max(initial=0))  # squares are in single precision
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def bound(rows: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            high = (np.sqrt(np.maximum(cut[rows] + noise[rows], 0)) + slack[rows]) ** 2 + noise[rows]
+        return np.minimum(high, 3e38).astype(np.float32)  # what is set infinite is never within
 
     def cross(a: np.ndarray, b: np.ndarray, own: bool) -> None:
-        if not len(a) or not len(b):
-            return
-        step = max(1, 4_000_000 // len(b))
-        y, widest = x[b], err[b].max()  # squares are in single precision
-        for lo in range(0, len(a), step):
-            part = a[lo : lo + step]
-            d = x[part] @ y.T
-            d *= -2
-            d += sq[b][None, :]
-            d += sq[part][:, None]
-            if own:
-                d[np.arange(len(part)), np.arange(lo, lo + len(part))] = np.inf
-            at = _within(d, k, 2 * (err[part] + widest), 4e-6 * (sq[part] + sq[b].max()))
-            found.append((part[at // len(b)], b[at % len(b)]))
-            if not own:
-                at = _within(np.ascontiguousarray(d.T), k, 2 * (err[b] + err[part].max()), 4e-6 * (sq[b] + sq[part].max()))
-                found.append((b[at // len(part)], part[at % len(part)]))
-
-    for a, b in ((0, 0), (1, 2)):
-        s, q = np.flatnonzero(stored & (side == a)), np.flatnonzero(~stored & (side == a))
-        if a == b:
-            cross(s, s, True)
-            cross(s, q, False)
-        else:
-            t, r = np.flatnonzero(stored & (side == b)), np.flatnonzero(~stored & (side == b))
-            cross(s, t, False)
-            cross(s, r, False)
-            cross(t, q, False)
-    of, near = (np.concatenate([np.zeros(0, np.int64), *z]) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        for j in range(0, len(b), TILE):
+            near = b[j : j + TILE]
+            y = np.ascontiguousarray(right[near].T)
+            for i in range(0, len(a), TILE):
+                of = a[i : i + TILE]
+                d = left[of] @ y
+                if own and i == j:
+                    np.fill_diagonal(d, np.inf)
+                cut[of] = np.minimum(cut[of], _kth_of_rows(d, k))
+                at = np.flatnonzero(d <= bound(of)[:, None])
+                found.append((of[at // len(near)], near[at % len(near)], d.ravel()[at]))
+                if not own:
+                    cut[near] = np.minimum(cut[near], _kth(d, k))
+                    at = np.flatnonzero(d <= bound(near)[None, :])
+                    found.append((near[at % len(near)], of[at // len(near)], d.ravel()[at]))
+
+    at = lambda keep, z: np.flatnonzero(keep & (side == z))
+    cross(at(stored, 0), at(stored, 0), True)
+    cross(at(stored, 0), at(~stored, 0), False)
+    for a, b in ((at(stored, 1), at(stored, 2)), (at(stored, 1), at(~stored, 2)), (at(~stored, 1), at(stored, 2))):
+        cross(a, b, False)
+    of, near, d = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    good = d <= bound(of)
+    of, near = of[good], near[good]
     if not len(of):
         return of, near, np.zeros(0)
-    diff = x[of].astype(np.float64) - x[near]
-    d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    d = np.empty(len(of))
+    for i in range(0, len(of), 100_000):
+        diff = x[of[i : i + 100_000]].astype(np.float64) - x[near[i : i + 100_000]]
+        d[i : i + 100_000] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
     order = np.lexsort((d, of))
     of, near, d = of[order], near[order], d[order]
     begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     size = np.diff(np.r_[begin, len(of)])
     e = err[of] + err[near]
     rank = np.arange(len(of)) - np.repeat(begin, size)
-    top = np.where(rank < k, d + e, -np.inf)
-    high = np.repeat(np.maximum.reduceat(top, begin), size)
+    high = np.repeat(np.maximum.reduceat(np.where(rank < k, d + e, -np.inf), begin), size)
     keep = (d - e <= high) | np.repeat(size <= k, size)
     return of[keep], near[keep], d[keep]
 
@@ -277,9 +295,13 @@ def decide(row: np.ndarray, need: np.ndarray, d: np.ndarray, err: np.ndarray, si
 
 
 def usable(e: Column, width: int) -> Column:
-    """A vector takes part if it has the width and neither nulls, NaN nor infinities."""
-    inf = F.lit(float("inf")).cast("float")
-    return F.coalesce((F.size(e) == width) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < inf)), F.lit(False))
+    """A vector takes part if it has the width and neither nulls, NaN nor infinities.
+
+    No function of a lambda is used, as those are interpreted: a search for NaN gives null where
+    an array has nulls.
+    """
+    nan, inf = F.lit(float("nan")).cast("float"), F.lit(float("inf")).cast("float")
+    return F.coalesce((F.size(e) == width) & ~F.array_contains(e, nan) & (F.array_max(e) < inf) & (F.array_min(e) > -inf), F.lit(False))
 
 
 def pack(value: Column) -> Column:
@@ -298,12 +320,20 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
 
 
-def _sample(keyed: DataFrame, n: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vids, vectors) of about ``sample`` distinct vectors, all of them if there are no more."""
-    least = min(2**63 - 1, -(2**63) + int(min(1.0, sample / max(1, n)) * 2**64))
-    some = keyed.select(F.xxhash64("x").alias("vid"), "x").where(F.xxhash64("vid", F.lit(5)) <= F.lit(least).cast("long"))
-    rows = some.groupBy("vid").agg(F.first("x").alias("x")).orderBy(F.xxhash64("vid", F.lit(5)), "vid").limit(2 * sample).collect()
-    return np.array([r["vid"] for r in rows], np.int64), np.array([r["x"] for r in rows], np.float32)
+def _sample(keyed: DataFrame, rows: int, sample: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(vids, vectors, number of distinct vectors) of about ``sample`` distinct vectors, all of them if there are no more.
+
+    The share of hashes that is read says how many there are. Where copies leave less than an
+    eighth of the sample, a greater share is read.
+    """
+    share = min(1.0, sample / max(1, rows))
+    while True:
+        least = min(2**63 - 1, -(2**63) + int(share * 2**64))
+        some = keyed.select(F.xxhash64("x").alias("vid"), "x").where(F.xxhash64("vid", F.lit(5)) <= F.lit(least).cast("long"))
+        got = some.groupBy("vid").agg(F.first("x").alias("x")).orderBy(F.xxhash64("vid", F.lit(5)), "vid").limit(2 * sample).collect()
+        if share == 1 or 8 * len(got) >= sample:
+            return np.array([r["vid"] for r in got], np.int64), np.array([r["x"] for r in got], np.float32), round(len(got) / share)
+        share = min(1.0, share * min(1024, sample / (len(got) + 1)))
 
 
 def _truth(keyed: DataFrame, vids: np.ndarray, x: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +353,7 @@ def _truth(keyed: DataFrame, vids: np.ndarray, x: np.ndarray, k: int, width: int
             y = _matrix(batch.column(1), width)[first]
             for lo in range(0, len(y), 4096):
                 z, v = y[lo : lo + 4096], vid[lo : lo + 4096]
-                d = sq[:, None] + np.einsum("ij,ij->i", z, z)[None] - 2 * x @ z.T
+                d = sq[:, None] + np.einsum("ij,ij->i", z, z)[None] - 2 * (x @ z.T)
                 d[vids[:, None] == v[None, :]] = np.inf
                 kk = min(k, d.shape[1])
                 cut = np.minimum(np.partition(d, kk - 1, axis=1)[:, kk - 1], last)
@@ -523,9 +553,9 @@ def knn_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", k: int
     """
     vid = F.xxhash64("x")
     rows = df.where(usable(df[vector], width) & df[key].isNotNull()).select(df[key].cast("string").alias("id"), df[vector].cast("array<float>").alias("x"))
-    keyed = rows.select(pack(F.col("id")).alias("id"), F.transform("x", lambda v: v + F.lit(0.0).cast("float")).alias("x"))
-    n, count = keyed.agg(F.approx_count_distinct(vid, 0.02), F.count("*")).first()
-    vids, fitted = _sample(keyed, n, sample)
+    keyed = rows.select(pack(F.col("id")).alias("id"), "x")
+    count = df.count()
+    vids, fitted, n = _sample(keyed, count, sample)
     if not len(vids):
         return df.sparkSession.createDataFrame([], "id_a string, id_b string")
     some = min(len(vids), queries)
