@@ -44,8 +44,7 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "map":
         print(engine.map(a.tokens))
     elif a.command in ("callers", "callees", "impact"):
-        for r in getattr(engine, a.command)(a.symbol, limit=a.limit):
-            print(json.dumps(r))
+        print(getattr(engine, a.command)(a.symbol, limit=a.limit).text, end="")
     else:
         print(json.dumps(getattr(engine, a.command)() or {}))
 

@@ -26,6 +26,14 @@ def symbol(text: str, limit: int = 50) -> tuple[str, int]:
     return name, 50 if limit <= 0 else min(limit, 100)
 
 
+class References(list):
+    """References as rows; ``truncated`` if there are more than the limit, ``text`` to print."""
+
+    def __init__(self, rows: list[dict], truncated: bool, text: str):
+        super().__init__(rows)
+        self.truncated, self.text = truncated, text
+
+
 class Engine:
     """All operations over one index."""
 
@@ -142,25 +150,30 @@ class Engine:
         named = M.mapped_symbols(self.tables()["chunks"], code_only, self.config.non_code)
         return M.render(named, self.config.map_tokens if max_tokens is None else max_tokens)
 
-    def callers(self, name: str, limit: int = 50) -> list[dict]:
+    def _refs(self, rows: DataFrame, name: str, limit: int, order: list, relation: str, **how) -> References:
+        got = [r.asDict() for r in G.formatted(rows, **how).orderBy(*order).limit(limit + 1).collect()]
+        lines = [r.pop("line_text") for r in got]
+        return References(got[:limit], len(got) > limit, G.listing(lines, relation, name, limit))
+
+    def callers(self, name: str, limit: int = 50) -> References:
         name, limit = symbol(name, limit)
         t = self.tables()
         G.require_graph(t["edges"])
-        return [r.asDict() for r in G.callers(t["edges"].where(F.col("dst_name") == name), t["chunks"]).orderBy("ref_file", "line").limit(limit).collect()]
+        return self._refs(G.callers(t["edges"].where(F.col("dst_name") == name), t["chunks"]), name, limit, ["ref_file", "line", "name"], "callers of", at_reference=True)
 
-    def callees(self, name: str, limit: int = 50) -> list[dict]:
+    def callees(self, name: str, limit: int = 50) -> References:
         name, limit = symbol(name, limit)
         t = self.tables()
         G.require_graph(t["edges"])
         ids = G.symbols(t["chunks"]).where(F.col("name") == name).select(F.col("id").alias("src_id"))
-        mine = t["edges"].join(F.broadcast(ids), "src_id", "left_semi")
-        return [r.asDict() for r in G.callees(mine, t["chunks"], t["imports"]).orderBy("ref_file", "line", "name").limit(limit).collect()]
+        mine = t["edges"].join(ids, "src_id", "left_semi")
+        return self._refs(G.callees(mine, t["chunks"], t["imports"]), name, limit, ["ref_file", "line", "name"], "callees of")
 
-    def impact(self, name: str, depth: int = G.DEPTH, limit: int = 50) -> list[dict]:
+    def impact(self, name: str, depth: int = G.DEPTH, limit: int = 50) -> References:
         name, limit = symbol(name, limit)
         t = self.tables()
         G.require_graph(t["edges"])
-        return [r.asDict() for r in G.impact(t["edges"], t["chunks"], name, depth).orderBy("depth", "name").limit(limit).collect()]
+        return self._refs(G.impact(t["edges"], t["chunks"], name, depth), name, limit, ["depth", "ref_file", "line", "name"], "impact of", at_reference=True, show_depth=True)
 
     def stats(self) -> dict:
         t = self.tables()

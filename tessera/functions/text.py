@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 #: The short label of a node kind, where it is not the kind itself.
 KIND_LABELS = {
-    "function_declaration": "func", "function_definition": "func", "function_item": "func",
-    "method_declaration": "method", "method_definition": "method",
-    "class_declaration": "class", "class_definition": "class",
-    "type_declaration": "type", "interface_declaration": "interface",
-    "struct_item": "struct", "enum_declaration": "enum", "export_statement": "export",
+    "function_declaration": "func", "function_definition": "func", "method_declaration": "func", "method_definition": "func",
+    "type_declaration": "type", "type_spec": "type", "class_declaration": "class", "class_definition": "class",
+    "interface_declaration": "interface", "interface_type": "interface", "struct_type": "struct", "export_statement": "export",
 }
 
 

@@ -205,8 +205,10 @@ class ChangeCapture:
         """What the committed batches wrote, one row per key: that of the last verdict, if open.
 
         The last verdict is that on the newest observation (time, then offset), and of several on
-        the same one that of the latest batch.
+        the same one that of the latest batch. Before the first commit there are none.
         """
+        if self._last("commits") < 0:
+            return self.spark.createDataFrame([], "key string, value string, offset bigint")
         done = F.col("batch") <= self._last("commits")
         order = F.struct(F.col("time").isNotNull(), F.col("time"), F.col("offset"), F.col("batch"))
         last = self._rows("seen").where(done).groupBy("key").agg(F.max_by(F.struct("batch", "open"), order).alias("s"))

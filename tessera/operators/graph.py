@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import line_range, package_of
+from tessera.functions.text import package_of
 from tessera.session import checkpointed
 
-DEPTH, DEEPEST = 2, 10
+DEPTH, DEEPEST, SALTS = 2, 10, 8
 
 
 class GraphNotBuilt(LookupError):
@@ -70,13 +72,15 @@ def resolve(refs: DataFrame, defs: DataFrame, imports: DataFrame | None, name: s
     file, else one in a folder the qualifier's import names, else the first by place.
 
     Three joins with one row per key on the right side take the place of a join with all
-    definitions of a name, so a name defined everywhere costs no more than others.
+    definitions of a name, so a name defined everywhere costs no more than others. A name may be
+    that of a third of the references: joins by the name alone are salted by the referring file.
     """
     place = F.struct(*[F.col(c) for c in ("file_path", "start_line", "id", "node_kind", "parent", "end_line")])
     keyed = defs.select("name", "file_path", place.alias("place"))
     here = keyed.groupBy(F.col("name").alias("_n"), F.col("file_path").alias("_f")).agg(F.min("place").alias("_here"))
-    first = keyed.groupBy(F.col("name").alias("_n2")).agg(F.min("place").alias("_first"))
-    out = refs.join(here, (refs[name] == F.col("_n")) & (refs[file] == F.col("_f")), "left").join(first, refs[name] == F.col("_n2"), "left")
+    first = keyed.groupBy(F.col("name").alias("_n2")).agg(F.min("place").alias("_first")).withColumn("_s2", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salt = F.pmod(F.xxhash64(refs[file]), F.lit(SALTS)).cast("int")
+    out = refs.join(here, (refs[name] == F.col("_n")) & (refs[file] == F.col("_f")), "left").join(first, (refs[name] == F.col("_n2")) & (salt == F.col("_s2")), "left")
     imported = F.lit(None).cast(T.StructType(keyed.schema["place"].dataType.fields))
     if imports is not None and qualifier is not None:
         modules = qualifier_modules(imports).select(F.col("file_path").alias("_mf"), F.col("qualifier").alias("_q"), F.col("module").alias("_m"))
@@ -89,9 +93,13 @@ def resolve(refs: DataFrame, defs: DataFrame, imports: DataFrame | None, name: s
     return out.withColumn("target", F.coalesce("_here", imported, "_first")).select(*[refs[c] for c in refs.columns], "target")
 
 
+def _place(field: str, default: object) -> Column:
+    return F.coalesce(F.col(f"target.{field}"), F.lit(default)).alias(field)
+
+
 def callees(edges: DataFrame, chunks: DataFrame, imports: DataFrame) -> DataFrame:
-    """What each definition refers to: src_id, name, qualifier, kind, resolved, file_path (of the
-    target, or empty), start_line (or 0), line, ref_file.
+    """What each definition refers to: src_id, name, qualifier, kind, resolved, the target's
+    file_path, node_kind, parent, start_line, end_line (empty or 0 where unresolved), line, ref_file.
 
     A reference that resolves to nothing is dropped, a call or inheritance kept. Repeated
     references of one line count once.
@@ -100,55 +108,75 @@ def callees(edges: DataFrame, chunks: DataFrame, imports: DataFrame) -> DataFram
     got = resolve(refs, symbols(chunks), imports)
     return got.where(F.col("target").isNotNull() | (F.col("kind") != "reference")).select(
         "src_id", F.col("dst_name").alias("name"), F.col("dst_qualifier").alias("qualifier"), "kind", F.col("target").isNotNull().alias("resolved"),
-        F.coalesce("target.file_path", F.lit("")).alias("file_path"), F.coalesce("target.start_line", F.lit(0)).alias("start_line"), "line", F.col("file_path").alias("ref_file"),
+        _place("file_path", ""), _place("node_kind", ""), _place("parent", ""), _place("start_line", 0), _place("end_line", 0), "line", F.col("file_path").alias("ref_file"),
     )
 
 
-def callers(edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Who refers to each name: target, name, file_path, start_line, line, ref_file.
+#: What is told of a caller, in the order in which one of several references is chosen.
+CALLER = ("ref_file", "line", "start_line", "qualifier", "kind", "node_kind", "parent", "end_line")
+
+
+def references(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every reference with the definition it is in: target, name, file_path and ``CALLER``.
 
     The caller's name is the edge's source name, else its chunk's; without either the edge is
-    left out. Its place is that of the name, else of the chunk, else of the reference. A caller
-    with one place counts once for a target, by its first reference (ref_file, line).
+    left out. Its place is that of the name, else of the chunk, else of the reference. Edges
+    without a chunk, which may be a third of all, don't go through the join by chunk.
     """
-    defs = symbols(chunks)
-    byid = defs.select(F.col("id").alias("src_id"), F.col("name").alias("_cn"))
-    spans = chunks.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("src_id")).agg(F.min("file_path").alias("_cf"), F.min("start_line").alias("_cl"))
-    refs = edges.where(F.col("dst_name").isNotNull()).join(byid, "src_id", "left").join(spans, "src_id", "left")
-    refs = refs.withColumn("caller", F.when(F.coalesce(F.col("src_name"), F.lit("")) != "", F.col("src_name")).otherwise(F.col("_cn"))).where(F.coalesce(F.col("caller"), F.lit("")) != "")
-    got = resolve(refs, defs, None, name="caller", qualifier=None)
-    placed = got.select(
-        F.col("dst_name").alias("target_name"), F.col("caller").alias("name"), F.coalesce("target.file_path", "_cf", "file_path").alias("at"),
-        F.coalesce("target.start_line", "_cl", "line").alias("start_line"), "line", F.col("file_path").alias("ref_file"),
-    )
-    return (
-        placed.groupBy("target_name", "name", F.col("at").alias("file_path"))
-        .agg(F.min(F.struct("ref_file", "line", "start_line")).alias("r"))
-        .select(F.col("target_name").alias("target"), "name", "file_path", "r.start_line", "r.line", "r.ref_file")
-    )
+    kept = edges.where(F.col("dst_name").isNotNull())
+    sourced = F.coalesce(F.col("src_id"), F.lit("")) != ""
+    place = F.struct("name", *[F.coalesce(c, F.lit("")).alias(c) for c in ("file_path", "node_kind", "parent")], "start_line", "end_line")
+    byid = chunks.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("src_id")).agg(F.min(place).alias("_c"))
+    refs = kept.where(sourced).join(byid, "src_id", "left").unionByName(kept.where(~sourced).withColumn("_c", F.lit(None).cast(byid.schema["_c"].dataType)))
+    refs = refs.withColumn("caller", F.when(F.coalesce(F.col("src_name"), F.lit("")) != "", F.col("src_name")).otherwise(F.col("_c.name"))).where(F.coalesce(F.col("caller"), F.lit("")) != "")
+    got = resolve(refs, symbols(chunks), None, name="caller", qualifier=None)
+    known, blank = F.coalesce(F.col("target.id").isNotNull(), F.lit(False)), lambda c: F.coalesce(c, F.lit(""))
+    pick = lambda c, last: F.when(known, F.col(f"target.{c}")).when(F.col("_c").isNotNull(), F.col(f"_c.{c}")).otherwise(last).alias(c)
+    return got.select(
+        F.col("dst_name").alias("target_name"), F.col("caller").alias("name"), pick("file_path", F.col("file_path")), F.col("file_path").alias("ref_file"), "line",
+        pick("start_line", F.col("line")), blank(F.col("dst_qualifier")).alias("qualifier"), "kind", blank(pick("node_kind", F.lit(""))).alias("node_kind"), blank(pick("parent", F.lit(""))).alias("parent"),
+        pick("end_line", F.lit(0)),
+    ).withColumnRenamed("target_name", "target")
+
+
+def callers(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Who refers to each name: target, name, file_path and ``CALLER``.
+
+    A caller with one place counts once for a target, by its first reference (ref_file, line).
+    """
+    by = ["target", "name", "file_path"]
+    return references(edges, chunks).groupBy(*by).agg(F.min(F.struct(*CALLER)).alias("r")).select(*by, *[f"r.{c}" for c in CALLER])
 
 
 def impact(edges: DataFrame, chunks: DataFrame, name: str, depth: int = DEPTH) -> DataFrame:
-    """Names that reach ``name`` over callers: name, depth (of the first discovery).
+    """Names that reach ``name`` over callers, each by its first discovery: name, depth, file_path
+    and ``CALLER``.
 
-    Breadth first over names, at most ten levels; each level is one join, and its result is
-    written to the shared folder, so a lost executor costs no more than a level.
+    Breadth first over names, at most ten levels. Of one level a name is found from the caller
+    found first, by its first reference. Each level is one join, and its result is written to the
+    shared folder, so a lost executor costs no more than a level.
     """
     depth = DEPTH if depth <= 0 else min(depth, DEEPEST)
-    links = edges.select(F.col("dst_name").alias("to"), "src_id", "src_name").where(F.col("to").isNotNull())
-    byid = symbols(chunks).select(F.col("id").alias("src_id"), F.col("name").alias("_cn"))
-    links = links.join(byid, "src_id", "left").select("to", F.when(F.coalesce(F.col("src_name"), F.lit("")) != "", F.col("src_name")).otherwise(F.col("_cn")).alias("name"))
-    links = checkpointed(links.where(F.coalesce(F.col("name"), F.lit("")) != "").distinct())
+    links = references(edges, chunks).groupBy("target", "name").agg(F.min(F.struct(*CALLER[:2], "file_path", *CALLER[2:])).alias("r"))
+    links = checkpointed(links)
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(name, 0)], "name string, depth int")
-    frontier = seen
+    step = "ref_file string, line int, name string"
+    seen = spark.createDataFrame([(name,)], "name string")
+    frontier = spark.createDataFrame([(name, [])], f"name string, way array<struct<{step.replace(' ', ': ').replace(',:', ',')}>>")
+    levels = []
     for level in range(1, depth + 1):
-        found = links.join(frontier.select(F.col("name").alias("to")), "to", "left_semi").select("name").distinct()
-        frontier = checkpointed(found.join(seen, "name", "left_anti").select("name", F.lit(level).alias("depth")))
-        if frontier.isEmpty():
+        new = links.join(seen, "name", "left_anti").join(frontier.select(F.col("name").alias("target"), F.col("way").alias("before")), "target")
+        way = F.concat("before", F.array(F.struct(F.col("r.ref_file").alias("ref_file"), F.col("r.line").alias("line"), F.col("name"))))
+        first = new.select("name", F.struct(way.alias("way"), F.col("r").alias("r")).alias("o")).groupBy("name").agg(F.min("o").alias("o"))
+        found = checkpointed(first.select("name", F.lit(level).alias("depth"), F.col("o.way").alias("way"), "o.r.*"))
+        if found.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen.where(F.col("depth") > 0)
+        levels.append(found)
+        frontier, seen = found.select("name", "way"), seen.unionByName(found.select("name"))
+    out = ["name", "depth", "file_path", *CALLER]
+    if not levels:
+        return links.select("name", F.lit(0).alias("depth"), "r.*").select(*out).limit(0)
+    return functools.reduce(DataFrame.unionByName, levels).select(*out)
 
 
 def require_graph(edges: DataFrame) -> None:
@@ -156,8 +184,29 @@ def require_graph(edges: DataFrame) -> None:
         raise GraphNotBuilt("graph not built: index the project with its graph first")
 
 
-def formatted(refs: DataFrame) -> DataFrame:
-    """References as lines of text: ``line_text``."""
-    place = F.when(F.col("resolved"), F.concat("file_path", F.lit(":"), F.col("start_line").cast("string"))).otherwise(F.lit("(external)"))
-    full = F.when(F.col("qualifier") != "", F.concat("qualifier", F.lit("."), "name")).otherwise(F.col("name"))
-    return refs.withColumn("line_text", F.concat(full, F.lit(" ["), "kind", F.lit("] "), place, F.lit(" at "), "ref_file", line_range(F.col("line"), F.col("line"))))
+def formatted(refs: DataFrame, at_reference: bool = False, show_depth: bool = False) -> DataFrame:
+    """References as lines of text, ``line_text``: place and name, with what contains it, the kind
+    unless it is a call, and the depth if wanted. The place is the definition's or, for callers
+    and impact, that of the reference; what is unresolved is external."""
+    have = lambda c, other: F.col(c) if c in refs.columns else F.lit(other)
+    resolved, parent = have("resolved", True), F.coalesce(have("parent", ""), F.lit(""))
+    file = F.when(resolved & F.lit(not at_reference), F.col("file_path")).otherwise(F.col("ref_file"))
+    line = F.when(resolved & F.lit(not at_reference), F.col("start_line")).otherwise(F.col("line"))
+    before = F.when(resolved, parent).otherwise(F.coalesce(have("qualifier", ""), F.lit("")))
+    name = F.when(before != "", F.concat(before, F.lit("."), "name")).otherwise(F.col("name"))
+    text = F.concat(F.lit("  "), file, F.lit(":"), line.cast("string"), F.lit(" "), name, F.when(resolved, "").otherwise(" (external)"))
+    text = F.concat(text, F.when(F.coalesce(F.col("kind"), F.lit("")).isin("", "call"), "").otherwise(F.concat(F.lit(" ("), "kind", F.lit(")"))))
+    if show_depth:
+        text = F.concat(text, F.lit(" depth="), F.col("depth").cast("string"))
+    return refs.withColumn("line_text", text)
+
+
+def listing(lines: list[str], relation: str, symbol: str, limit: int = 0) -> str:
+    """The text of a list of references (lines of ``formatted``), with its heading; it says so if
+    it was cut at the limit."""
+    if not lines:
+        return f"No {relation} {symbol} found.\n"
+    cut = 0 < limit < len(lines)
+    lines = lines[:limit] if cut else lines
+    end = f"\n(truncated to {limit}; raise the limit to see more)\n" if cut else ""
+    return "\n".join([f"{len(lines)} {relation} {symbol}:", *lines]) + "\n" + end

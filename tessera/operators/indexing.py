@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -78,12 +78,13 @@ def delete(stored: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return stored.join(keys.select(key), key, "left_anti")
 
 
-def replace_by_files(tables: dict[str, DataFrame], new: dict[str, DataFrame], width: int | None = None) -> dict[str, DataFrame]:
+def replace_by_files(tables: dict[str, DataFrame], new: dict[str, DataFrame], width: int | None = None, gone: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables with the rows of the new files in place of the old; one vector of another width
-    rejects everything. Keys are ``path`` in files and ``file_path`` elsewhere."""
+    rejects everything. Keys are ``path`` in files and ``file_path`` elsewhere. ``gone`` (path) are
+    the files whose old rows go, by default those of the new ones."""
     if width is not None and "chunks" in new and not new["chunks"].where(F.col("embedding").isNotNull() & (F.size("embedding") != width)).isEmpty():
         raise BadWidth(f"a vector is not of width {width}")
-    gone = new["files"].select("path").distinct()
+    gone = (new["files"] if gone is None else gone).select("path").distinct()
     out = {}
     for name, rows in tables.items():
         key = "path" if name == "files" else "file_path"
@@ -123,12 +124,13 @@ def length_bucket(tokens, longest: int = 512):
     return F.least(F.lit(longest), (8 * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col(tokens) / 8.0)).cast("double")))).cast("int"))
 
 
-def bucketize(rows: DataFrame, tokens: str, key: str, most: int = 32, longest: int = 512) -> DataFrame:
+def bucketize(rows: DataFrame, tokens: str, key: str, most: int = 32, longest: int = 512, spread: Column | None = None) -> DataFrame:
     """key, bucket, batch: rows of one padded length in batches of ``most``, every row once.
 
-    Batches are counted within spreads of a bucket by hash, as a bucket may hold most rows.
+    Batches are counted within spreads of a bucket, by default by hash, as a bucket may hold most rows.
     """
-    bucketed = rows.select(key, length_bucket(tokens, longest).alias("bucket"), F.pmod(F.xxhash64(key), F.lit(64)).alias("part"))
+    part = F.pmod(F.xxhash64(key), F.lit(64)) if spread is None else spread
+    bucketed = rows.select(key, length_bucket(tokens, longest).alias("bucket"), part.alias("part"))
     order = W.partitionBy("bucket", "part").orderBy(key)
     return bucketed.withColumn("batch", F.concat(F.col("part").cast("string"), F.lit("-"), F.floor((F.row_number().over(order) - 1) / most).cast("string"))).select(key, "bucket", "batch")
 

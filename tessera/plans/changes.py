@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import changes as C
+from tessera.session import shared_dir
 from tessera.sources.tables import table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths the next run must process, with the hash seen last.
 
-    The batch is planned as the first of a consumer that has committed nothing: all offsets up
-    to the present end of each log partition.
+    The log is consumed in two batches of a new consumer: what had arrived before the last
+    successful run of ``index_runs`` began, and the rest, late rows included. Each batch is
+    planned, written to the sink in the shared folder and committed; the result is the sink. Runs
+    that failed or still run commit nothing and so don't move the bound; what they wrote is in ``files``.
     """
-    log, cols = table(spark, sf_dir, "file_scans"), C.LogColumns()
-    part = C.log_slice(log, cols, {}, C.end_offsets(log, cols))
-    return C.pending(part, table(spark, sf_dir, "files"), cols).select(
-        F.col("key").alias("path"), F.col("value").alias("content_hash")
-    )
+    log, files, cols = table(spark, sf_dir, "file_scans"), table(spark, sf_dir, "files"), C.LogColumns()
+    capture = C.ChangeCapture(spark, f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}", cols)
+    begun = table(spark, sf_dir, "index_runs").where(F.lower("status") == "ok").agg(F.max("started_at").alias("t")).first()["t"]
+    if begun is not None:
+        late = log.where(F.col("arrived_at").isNull() | (F.col("arrived_at") > F.lit(begun)))
+        first = late.agg(F.min(cols.offset).alias("o")).first()["o"]
+        capture.run(log if first is None else log.where(F.col(cols.offset) < first), files)
+    capture.run(log, files)
+    return capture.sink().select(F.col("key").alias("path"), F.col("value").alias("content_hash"))
 
 
 QUERIES = {"p5_found": p5_found}

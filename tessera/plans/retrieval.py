@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +35,24 @@ def query(sql: str | None = None):
     return register
 
 
+#: Repeated rows of an id are told apart by these, greatest first, and then by having a vector.
+_ORDER = [f"coalesce({c}, '')" for c in ("language", "name", "parent", "file_path", "node_kind")] + ["coalesce(start_line, 0)", "coalesce(end_line, 0)"]
+
+
+def plain(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """One row per chunk id, the first by ``_ORDER``: language in lower case, and null for the empty
+    strings of language, name and parent. Of content, hash and vector only those asked for are
+    read and shuffled."""
+    rows = table(spark, sf, "chunks").where(F.col("id").isNotNull())
+    own = ("file_path", "language", "node_kind", "name", "parent", "start_line", "end_line", *columns)
+    order = F.expr(f"struct({', '.join(_ORDER + (['embedding IS NOT NULL'] if 'embedding' in columns else []))})")
+    one = rows.groupBy("id").agg(F.max_by(F.struct(*own), order).alias("r")).select("id", "r.*")
+    blank = lambda c: F.when(F.col(c) != "", F.col(c))
+    return one.select("id", "file_path", F.lower(blank("language")).alias("language"), "node_kind", blank("name").alias("name"), blank("parent").alias("parent"), "start_line", "end_line", *columns)
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per chunk id; of repeated rows one with a vector, if there is one."""
-    rows = table(spark, sf, "chunks")
-    rest = [c for c in rows.columns if c != "id"]
-    return rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(F.col("embedding").isNotNull(), F.coalesce("language", F.lit("")), F.coalesce("name", F.lit("")), F.coalesce("parent", F.lit(""))), ).alias("r")).select("id", "r.*")
+    return plain(spark, sf, "content", "content_hash", "embedding")
 
 
 def _knn_sql(where: str) -> str:
@@ -127,14 +142,8 @@ def path_glob_filter(spark, sf):
     return table(spark, sf, "files").select("path").distinct().where(matches_any(F.col("path"), GLOBS))
 
 
-_ONE = "c AS (SELECT id, min(file_path) AS file_path, min(content) AS content, min(content_hash) AS content_hash, min(node_kind) AS node_kind, min(nullif(name, '')) AS name, min(nullif(parent, '')) AS parent, min(start_line) AS start_line, min(end_line) AS end_line, max(lower(language)) AS language FROM chunks WHERE id IS NOT NULL GROUP BY id)"
-
-
-def plain(spark, sf) -> DataFrame:
-    """One row per id, each column at its least value; no vectors."""
-    blank = lambda c: F.min(F.when(F.col(c) != "", F.col(c))).alias(c)
-    rows = table(spark, sf, "chunks").where(F.col("id").isNotNull())
-    return rows.groupBy("id").agg(*[F.min(c).alias(c) for c in ("file_path", "content", "content_hash", "node_kind", "start_line", "end_line")], blank("name"), blank("parent"), F.max(F.lower("language")).alias("language"))
+_ONE = f"""c AS (SELECT id, file_path, lower(nullif(language, '')) AS language, content, content_hash, node_kind, nullif(name, '') AS name, nullif(parent, '') AS parent, start_line, end_line, embedding
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(f'{o} DESC' for o in _ORDER)}, (embedding IS NOT NULL) DESC) AS one FROM chunks WHERE id IS NOT NULL) t WHERE one = 1)"""
 
 
 @query(
@@ -147,7 +156,7 @@ def token_budget(spark, sf):
     """The leading chunks of each repository that fit 4000 tokens."""
     repo = F.split("file_path", "/")[0]
     order = W.partitionBy("repo").orderBy("file_path", "start_line", "id")
-    ranked = plain(spark, sf).withColumn("repo", repo).withColumn("rn", F.row_number().over(order))
+    ranked = plain(spark, sf, "content").withColumn("repo", repo).withColumn("rn", F.row_number().over(order))
     return S.within_budget(ranked, 4000, "repo").select("repo", "rn", "id")
 
 
@@ -181,10 +190,10 @@ def list_symbols(spark, sf):
 
 
 _PKG = r"CASE WHEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) = '' THEN '.' ELSE regexp_extract(file_path, '^(.*)/[^/]*$', 1) END"
-_LABELS = "CASE node_kind WHEN 'function_declaration' THEN 'func' WHEN 'function_definition' THEN 'func' WHEN 'method_declaration' THEN 'method' WHEN 'method_definition' THEN 'method' WHEN 'class_declaration' THEN 'class' WHEN 'class_definition' THEN 'class' WHEN 'type_declaration' THEN 'type' ELSE node_kind END"
+_LABELS = "CASE WHEN node_kind IN ('function_declaration', 'function_definition', 'method_declaration', 'method_definition') THEN 'func' WHEN node_kind IN ('type_declaration', 'type_spec') THEN 'type' WHEN node_kind IN ('class_declaration', 'class_definition') THEN 'class' WHEN node_kind IN ('interface_declaration', 'interface_type') THEN 'interface' WHEN node_kind = 'struct_type' THEN 'struct' WHEN node_kind = 'export_statement' THEN 'export' ELSE node_kind END"
 _MAP = f"""{_ONE}, s AS (SELECT * FROM c WHERE name IS NOT NULL),
 f AS (SELECT file_path, arg_min(coalesce(language, ''), (start_line, id)) AS first FROM s GROUP BY file_path),
-m AS (SELECT s.*, {_PKG.replace('file_path', 's.file_path')} AS package, {_LABELS.replace('node_kind', 's.node_kind')} AS label FROM s JOIN f USING (file_path) WHERE f.first NOT IN ('markdown', 'json', 'yaml', 'toml', 'html', 'css', 'xml'))"""
+m AS (SELECT s.*, f.first, {_PKG.replace('file_path', 's.file_path')} AS package, {_LABELS.replace('node_kind', 's.node_kind')} AS label FROM s JOIN f USING (file_path) WHERE f.first NOT IN ('markdown', 'json', 'yaml'))"""
 
 
 @query(f"WITH {_MAP} SELECT package, symbols, files, row_number() OVER (ORDER BY symbols DESC, package) AS rn FROM (SELECT package, count(*) AS symbols, count(DISTINCT file_path) AS files FROM m GROUP BY package) t")
@@ -192,19 +201,46 @@ def package_rank(spark, sf):
     return M.package_ranks(M.mapped_symbols(plain(spark, sf)))
 
 
-@query(
-    f"WITH {_MAP}, k AS (SELECT file_path, label, count(*) AS n FROM m GROUP BY ALL) SELECT file_path, sum(n)::BIGINT AS symbols, string_agg(n || ' ' || label, ', ' ORDER BY label) AS summary FROM k GROUP BY file_path HAVING sum(n) >= 5"
-)
+_KINDS = "k AS (SELECT file_path, label, count(*) AS n FROM m GROUP BY ALL), ks AS (SELECT file_path, sum(n)::BIGINT AS symbols, '(' || string_agg(n || ' ' || label, ', ' ORDER BY label) || ')' AS summary FROM k GROUP BY file_path HAVING sum(n) >= 5)"
+
+
+@query(f"WITH {_MAP}, {_KINDS} SELECT file_path, symbols, summary FROM ks")
 def kind_summary(spark, sf):
     return M.kind_summary(M.mapped_symbols(plain(spark, sf)))
 
 
-@query()
+_MARK = "CASE WHEN {l} = 'go' THEN CASE WHEN regexp_matches({n}, '^\\p{{Lu}}') THEN '+ ' ELSE '- ' END WHEN {l} IN ('python', 'ruby') THEN CASE WHEN starts_with({n}, '_') THEN '- ' ELSE '+ ' END WHEN {l} IN ('javascript', 'typescript', 'tsx') THEN CASE WHEN {k} = 'export_statement' THEN '+ ' ELSE '- ' END ELSE '' END"
+_BLOCKS = f"""{_MAP}, {_KINDS}, sl AS (SELECT *, {_MARK.format(l='first', n='name', k='node_kind')} || label || ' ' || name || CASE WHEN start_line = end_line THEN ':' || start_line ELSE ':' || start_line || '-' || end_line END AS line FROM m),
+tp AS (SELECT file_path, name, start_line, id FROM sl WHERE parent IS NULL),
+ln AS (SELECT package, file_path, id, 0 AS part, start_line AS a1, id AS a2, 0 AS level, start_line, '  ' || line || chr(10) AS t FROM sl WHERE parent IS NULL UNION ALL
+  SELECT sl.package, sl.file_path, sl.id, CASE WHEN tp.id IS NULL THEN 1 ELSE 0 END, coalesce(tp.start_line, sl.start_line), coalesce(tp.id, sl.id), CASE WHEN tp.id IS NULL THEN 0 ELSE 1 END, sl.start_line, CASE WHEN tp.id IS NULL THEN '  ' ELSE '    ' END || sl.line || chr(10)
+  FROM sl LEFT JOIN tp ON tp.file_path = sl.file_path AND tp.name = sl.parent WHERE sl.parent IS NOT NULL),
+fb AS (SELECT ln.package, ln.file_path, count(DISTINCT ln.id) AS symbols, ln.file_path || coalesce(' ' || any_value(ks.summary), '') || chr(10) || string_agg(t, '' ORDER BY part, a1, a2, level, ln.start_line, ln.id) || chr(10) AS text FROM ln LEFT JOIN ks ON ks.file_path = ln.file_path GROUP BY ln.package, ln.file_path),
+pr AS (SELECT package, count(*) AS n, count(DISTINCT file_path) AS files FROM m GROUP BY package),
+bl AS (SELECT package, n, -1 AS less, NULL AS file_path, n AS symbols, '# package: ' || package || ' (' || files || ' files, ' || n || ' symbols)' || chr(10) || chr(10) AS text FROM pr UNION ALL
+  SELECT fb.package, pr.n, 0, fb.file_path, fb.symbols, fb.text FROM fb JOIN pr USING (package)),
+od AS (SELECT *, row_number() OVER w AS rn, sum(octet_length(encode(text))) OVER w AS spent FROM bl WINDOW w AS (ORDER BY n DESC, package, less, symbols DESC, file_path NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"WITH {_BLOCKS} SELECT rn, package, file_path, symbols, text FROM od WHERE rn <= 2 OR spent <= 8000")
 def repo_map_budget(spark, sf):
+    """The map of the whole corpus under 2000 tokens."""
     return M.budgeted(M.mapped_symbols(plain(spark, sf)), 2000)
 
 
-@query()
+@query(f"WITH {_BLOCKS} SELECT rn, package, file_path, symbols, text FROM od")
+def repo_map(spark, sf):
+    """The whole map, without a bound."""
+    return M.budgeted(M.mapped_symbols(plain(spark, sf)), 0)
+
+
+@query(
+    r"""
+WITH f AS (SELECT DISTINCT split_part(path, '/', 1) AS repo, string_split(CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END, '/') AS p FROM files WHERE path IS NOT NULL),
+n AS (SELECT repo, i, count(DISTINCT p[:i]) AS kinds, count(*) FILTER (WHERE len(p) >= i) AS deep, count(*) AS al, min(p[:i]) AS head FROM f, (SELECT unnest(range(1, 64)) AS i) GROUP BY repo, i)
+SELECT repo, coalesce(array_to_string(max_by(head, i) FILTER (WHERE kinds = 1 AND deep = al), '/'), '') AS root FROM n GROUP BY repo
+"""
+)
 def common_root(spark, sf):
     """The common folder of each repository's files."""
     files = table(spark, sf, "files").where(F.col("path").isNotNull())
@@ -219,9 +255,7 @@ def visibility_labels(spark, sf):
     return c.select("id", X.visibility(F.col("language"), F.col("name"), F.col("node_kind")).alias("mark"), X.line_range(F.col("start_line"), F.col("end_line")).alias("lines"))
 
 
-@query(
-    f"WITH {_ONE}, p AS (SELECT DISTINCT file_path, name AS parent FROM c WHERE name IS NOT NULL) SELECT c.id, CASE WHEN p.parent IS NULL THEN 0 ELSE 1 END AS level FROM c LEFT JOIN p ON c.file_path = p.file_path AND c.parent = p.parent WHERE c.name IS NOT NULL"
-)
+@query(f"WITH {_ONE}, p AS (SELECT DISTINCT file_path, name AS parent FROM c WHERE name IS NOT NULL AND parent IS NULL) SELECT c.id, CASE WHEN p.parent IS NULL THEN 0 ELSE 1 END AS level FROM c LEFT JOIN p ON c.file_path = p.file_path AND c.parent = p.parent WHERE c.name IS NOT NULL")
 def parent_nesting(spark, sf):
     return M.nested(plain(spark, sf).where(F.col("name").isNotNull()))
 
@@ -255,32 +289,42 @@ def resolve_ranked(spark, sf):
     return G.resolve(refs, G.symbols(plain(spark, sf)), table(spark, sf, "imports")).select("file_path", "dst_name", "dst_qualifier", F.col("target.id").alias("target"))
 
 
-@query(
-    f"WITH {_GRAPH}, {_RES}, d AS (SELECT DISTINCT src_id, dst_name, coalesce(dst_qualifier, '') AS q, kind, file_path, line FROM edges WHERE coalesce(src_id, '') <> '')"
-    " SELECT d.src_id, d.dst_name AS name, d.kind, res.p IS NOT NULL AS resolved, coalesce(res.p[1], '') AS file_path, coalesce(res.p[2], 0) AS start_line, d.line FROM d JOIN res ON res.file_path = d.file_path AND res.dst_name = d.dst_name AND res.q = d.q WHERE res.p IS NOT NULL OR d.kind <> 'reference'"
-)
+_CALLEES = """d AS (SELECT DISTINCT src_id, dst_name, coalesce(dst_qualifier, '') AS q, kind, file_path, line FROM edges WHERE coalesce(src_id, '') <> ''),
+ce AS (SELECT d.src_id, d.dst_name AS name, d.q AS qualifier, d.kind, res.p IS NOT NULL AS resolved, coalesce(res.p[1], '') AS file_path, coalesce(t.node_kind, '') AS node_kind, coalesce(t.parent, '') AS parent, coalesce(res.p[2], 0) AS start_line, coalesce(t.end_line, 0) AS end_line, d.line, d.file_path AS ref_file
+  FROM d JOIN res ON res.file_path = d.file_path AND res.dst_name = d.dst_name AND res.q = d.q LEFT JOIN c t ON t.id = res.p[3] WHERE res.p IS NOT NULL OR d.kind <> 'reference')"""
+
+
+@query(f"WITH {_GRAPH}, {_RES}, {_CALLEES} SELECT * FROM ce")
 def callees(spark, sf):
-    got = G.callees(table(spark, sf, "edges"), plain(spark, sf), table(spark, sf, "imports"))
-    return got.select("src_id", "name", "kind", "resolved", "file_path", "start_line", "line")
+    return G.callees(table(spark, sf, "edges"), plain(spark, sf), table(spark, sf, "imports"))
 
 
-_CALLS = "cl AS (SELECT e.dst_name AS target, coalesce(nullif(e.src_name, ''), c.name) AS name, e.file_path AS ref_file, e.line, c.file_path AS cf, c.start_line AS cl FROM edges e LEFT JOIN c ON c.id = e.src_id WHERE e.dst_name IS NOT NULL)"
+_CALLS = """cl AS (SELECT e.dst_name AS target, coalesce(nullif(e.src_name, ''), c.name) AS name, e.file_path AS ref_file, e.line, coalesce(e.dst_qualifier, '') AS qualifier, e.kind, c.id AS cid, c.file_path AS cf, c.start_line AS cs, c.end_line AS ce, c.node_kind AS ck, c.parent AS cp FROM edges e LEFT JOIN c ON c.id = e.src_id WHERE e.dst_name IS NOT NULL),
+dd AS (SELECT cl.*, coalesce(here.p, fst.p) AS p FROM cl LEFT JOIN here ON here.name = cl.name AND here.file_path = cl.ref_file LEFT JOIN fst ON fst.name = cl.name WHERE coalesce(cl.name, '') <> ''),
+rf AS (SELECT dd.target, dd.name, CASE WHEN p IS NOT NULL THEN p[1] WHEN cid IS NOT NULL THEN cf ELSE ref_file END AS file_path, ref_file, dd.line, CASE WHEN p IS NOT NULL THEN p[2] WHEN cid IS NOT NULL THEN cs ELSE dd.line END AS start_line, dd.qualifier, dd.kind,
+  coalesce(CASE WHEN p IS NOT NULL THEN t.node_kind WHEN cid IS NOT NULL THEN ck END, '') AS node_kind, coalesce(CASE WHEN p IS NOT NULL THEN t.parent WHEN cid IS NOT NULL THEN cp END, '') AS parent, CASE WHEN p IS NOT NULL THEN t.end_line WHEN cid IS NOT NULL THEN ce ELSE 0 END AS end_line FROM dd LEFT JOIN c t ON t.id = p[3])"""
+_CALLER = "ref_file, line, start_line, qualifier, kind, node_kind, parent, end_line"
 
 
-@query(
-    f"WITH {_GRAPH}, {_CALLS}, pl AS (SELECT cl.target, cl.name, coalesce(here.p[1], fst.p[1], cl.cf, cl.ref_file) AS file_path, coalesce(here.p[2], fst.p[2], cl.cl, cl.line) AS start_line, cl.ref_file, cl.line FROM cl LEFT JOIN here ON here.name = cl.name AND here.file_path = cl.ref_file LEFT JOIN fst ON fst.name = cl.name WHERE coalesce(cl.name, '') <> '')"
-    " SELECT target, name, file_path, r[3] AS start_line, r[2] AS line, r[1] AS ref_file FROM (SELECT target, name, file_path, min((ref_file, line, start_line)) AS r FROM pl GROUP BY ALL) t"
-)
+@query(f"WITH {_GRAPH}, {_CALLS} SELECT target, name, file_path, {_CALLER} FROM (SELECT *, row_number() OVER (PARTITION BY target, name, file_path ORDER BY {_CALLER}) AS rn FROM rf) t WHERE rn = 1")
 def callers(spark, sf):
     return G.callers(table(spark, sf, "edges"), plain(spark, sf))
 
 
+def _level(n: int) -> str:
+    """SQL of the names found at level n of the breadth-first search, with their place in its order."""
+    seen = " UNION ALL ".join(f"SELECT name FROM l{i}" for i in range(n))
+    return f"""l{n} AS (SELECT *, row_number() OVER (ORDER BY o, ref_file, line, name) AS ord FROM (SELECT f.ord AS o, k.*, row_number() OVER (PARTITION BY k.name ORDER BY f.ord, k.ref_file, k.line, k.file_path, k.start_line, k.qualifier, k.kind, k.node_kind, k.parent, k.end_line) AS rn
+FROM lk k JOIN l{n - 1} f ON f.name = k.target WHERE k.name NOT IN ({seen})) t WHERE rn = 1)"""
+
+
 @query(
-    f"WITH RECURSIVE {_ONE}, {_CALLS}, o AS (SELECT dst_name AS n FROM edges WHERE dst_name IS NOT NULL GROUP BY dst_name ORDER BY count(*) DESC, dst_name LIMIT 1), l AS (SELECT DISTINCT target, name FROM cl WHERE coalesce(name, '') <> ''),"
-    " r AS (SELECT n AS name, 0 AS depth FROM o UNION SELECT l.name, r.depth + 1 FROM r JOIN l ON l.target = r.name WHERE r.depth < 3) SELECT name, min(depth) AS depth FROM r GROUP BY name HAVING min(depth) > 0"
+    f"WITH {_GRAPH}, {_CALLS}, lk AS (SELECT target, name, file_path, {_CALLER} FROM (SELECT *, row_number() OVER (PARTITION BY target, name ORDER BY ref_file, line, file_path, start_line, qualifier, kind, node_kind, parent, end_line) AS rn FROM rf) t WHERE rn = 1),"
+    f" l0 AS (SELECT dst_name AS name, 1 AS ord FROM edges WHERE dst_name IS NOT NULL GROUP BY dst_name ORDER BY count(*) DESC, dst_name LIMIT 1), {_level(1)}, {_level(2)}, {_level(3)}"
+    + " UNION ALL ".join(f" SELECT name, {i} AS depth, file_path, {_CALLER} FROM l{i}" for i in (1, 2, 3))
 )
 def impact_depth(spark, sf):
-    """Names within three levels of the name most referred to."""
+    """Definitions within three levels of the name most referred to, each by its first discovery."""
     edges = table(spark, sf, "edges")
     top = edges.where(F.col("dst_name").isNotNull()).groupBy("dst_name").count().orderBy(F.desc("count"), "dst_name").first()
     return G.impact(edges, plain(spark, sf), top["dst_name"] if top else "", 3)
@@ -291,20 +335,29 @@ def graph_not_built(spark, sf):
     return table(spark, sf, "edges").agg((F.count("*") == 0).alias("not_built"))
 
 
-@query()
+@query(
+    f"WITH {_GRAPH}, {_RES}, {_CALLEES} SELECT src_id, '  ' || CASE WHEN resolved THEN file_path || ':' || start_line || ' ' || CASE WHEN parent <> '' THEN parent || '.' ELSE '' END || name ELSE ref_file || ':' || line || ' ' || CASE WHEN qualifier <> '' THEN qualifier || '.' ELSE '' END || name || ' (external)' END || CASE WHEN kind IN ('', 'call') THEN '' ELSE ' (' || kind || ')' END AS line_text FROM ce"
+)
 def ref_format(spark, sf):
     return G.formatted(G.callees(table(spark, sf, "edges"), plain(spark, sf), table(spark, sf, "imports"))).select("src_id", "line_text")
 
 
 _CUR = "cur AS (SELECT path, r[1] AS indexed_at, r[2] AS content_hash, r[3] AS mtime, r[4] AS size FROM (SELECT path, max((indexed_at, content_hash, mtime, size)) AS r FROM files WHERE path IS NOT NULL GROUP BY path) t)"
-_DISK = "disk AS (SELECT path, r[3] AS op, lower(r[4]) AS content_hash, r[5] AS mtime, r[6] AS size FROM (SELECT path, max((seen_at, scan_id, op, coalesce(content_hash, ''), mtime, size)) AS r FROM file_scans WHERE path IS NOT NULL AND op IS NOT NULL AND seen_at IS NOT NULL AND mtime IS NOT NULL AND size IS NOT NULL GROUP BY path) t)"
+#: What is known of each path: its newest observation that is a removal or could be read.
+_SEEN = "sn AS (SELECT path, op, lower(content_hash) AS content_hash, mtime, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, scan_id DESC) AS rn FROM file_scans WHERE path IS NOT NULL AND seen_at IS NOT NULL AND (op = 'remove' OR (op IS NOT NULL AND content_hash IS NOT NULL AND mtime IS NOT NULL AND size IS NOT NULL))) t WHERE rn = 1)"
+_DISK = f"{_SEEN}, disk AS (SELECT path, content_hash, mtime, size FROM sn WHERE op <> 'remove')"
+
+
+def seen(spark, sf) -> DataFrame:
+    """Of each path the newest observation that is a removal or could be read."""
+    rows = table(spark, sf, "file_scans").where("path IS NOT NULL AND seen_at IS NOT NULL AND (op = 'remove' OR (op IS NOT NULL AND content_hash IS NOT NULL AND mtime IS NOT NULL AND size IS NOT NULL))")
+    got = rows.groupBy("path").agg(F.max_by(F.struct("op", "content_hash", "mtime", "size"), F.struct("seen_at", "scan_id")).alias("r"))
+    return got.select("path", "r.op", F.lower("r.content_hash").alias("content_hash"), "r.mtime", "r.size")
 
 
 def disk(spark, sf) -> DataFrame:
-    """The newest readable observation of each path."""
-    rows = table(spark, sf, "file_scans").where("path IS NOT NULL AND op IS NOT NULL AND seen_at IS NOT NULL AND mtime IS NOT NULL AND size IS NOT NULL")
-    got = rows.groupBy("path").agg(F.max(F.struct("seen_at", "scan_id", "op", "content_hash", "mtime", "size")).alias("r"))
-    return got.select("path", "r.op", F.lower(F.coalesce("r.content_hash", F.lit(""))).alias("content_hash"), "r.mtime", "r.size")
+    """The files that are there: path, content_hash, mtime, size of those not seen removed last."""
+    return seen(spark, sf).where("op <> 'remove'").drop("op")
 
 
 @query(f"WITH {_CUR}, {_DISK} SELECT path, CASE WHEN cur.path IS NULL THEN 'create' WHEN disk.path IS NULL THEN 'remove' ELSE 'write' END AS op FROM cur FULL JOIN disk USING (path) WHERE cur.path IS NULL OR disk.path IS NULL OR disk.mtime > cur.mtime")
@@ -318,27 +371,44 @@ def stale_files(spark, sf):
     return I.stale(cur, cur, disk(spark, sf))
 
 
-@query(f"WITH {_CUR}, {_DISK} SELECT path FROM cur WHERE path NOT IN (SELECT path FROM disk WHERE op <> 'remove')")
+@query(f"WITH {_CUR}, {_SEEN} SELECT path FROM cur WHERE path IN (SELECT path FROM sn WHERE op = 'remove') OR path NOT IN (SELECT path FROM sn)")
 def deleted_files(spark, sf):
-    return I.deleted(I.current_files(table(spark, sf, "files")), disk(spark, sf).where("op <> 'remove'")).select("path")
+    return I.deleted(I.current_files(table(spark, sf, "files")), disk(spark, sf)).select("path")
 
 
-@query(f"WITH {_CUR}, {_DISK} SELECT disk.path FROM disk LEFT JOIN cur USING (path) WHERE disk.content_hash IS DISTINCT FROM cur.content_hash")
+@query(f"WITH {_CUR}, {_DISK} SELECT disk.path, disk.content_hash FROM disk LEFT JOIN cur USING (path) WHERE disk.content_hash IS DISTINCT FROM cur.content_hash")
 def changed_files(spark, sf):
-    return I.changed(I.current_files(table(spark, sf, "files")), disk(spark, sf)).select("path")
+    return I.changed(I.current_files(table(spark, sf, "files")), disk(spark, sf)).select("path", "content_hash")
+
+
+_BAD = "bad AS (SELECT file_path FROM chunks WHERE embedding IS NULL OR len(embedding) <> 64)"
 
 
-@query("SELECT file_path, count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> 64) AS failures FROM chunks GROUP BY file_path HAVING count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> 64) > 0")
+@query(f"WITH {_BAD} SELECT id, file_path, true AS kept, NULL::BIGINT AS failures FROM chunks WHERE file_path NOT IN (SELECT file_path FROM bad) UNION ALL SELECT NULL, file_path, false, count(*) FROM bad GROUP BY file_path")
 def failure_isolation(spark, sf):
-    rows = table(spark, sf, "chunks").select("file_path", (F.col("embedding").isNull() | (F.size("embedding") != 64)).alias("failed"))
-    return I.isolate_failures(rows, "failed")[1]
+    """The chunks that go on, and the files that are kept out with their number of failures."""
+    rows = table(spark, sf, "chunks").select("id", "file_path", (F.col("embedding").isNull() | (F.size("embedding") != 64)).alias("failed"))
+    good, bad = I.isolate_failures(rows, "failed")
+    null = lambda kind: F.lit(None).cast(kind)
+    return good.select("id", "file_path", F.lit(True).alias("kept"), null("bigint").alias("failures")).unionByName(bad.select(null("string").alias("id"), "file_path", F.lit(False).alias("kept"), "failures"))
 
 
-@query(f"WITH {_CUR}, {_DISK}, n AS (SELECT path FROM disk WHERE op <> 'remove') SELECT path, content_hash FROM cur WHERE path NOT IN (SELECT path FROM n) UNION ALL SELECT path, content_hash FROM disk WHERE op <> 'remove'")
+@query(
+    f"""WITH {_CUR}, {_SEEN}, t AS (SELECT 'files' AS what, path AS file_path, content_hash AS value FROM cur UNION ALL SELECT 'chunks', file_path, id FROM chunks UNION ALL SELECT 'edges', file_path, dst_name FROM edges UNION ALL SELECT 'imports', file_path, module FROM imports)
+SELECT what, file_path, value, count(*) AS n FROM (SELECT * FROM t WHERE file_path IS NULL OR file_path NOT IN (SELECT path FROM sn) UNION ALL SELECT 'files', path, content_hash FROM sn WHERE op <> 'remove'
+UNION ALL SELECT what, file_path, value FROM t WHERE what <> 'files' AND file_path IN (SELECT path FROM sn WHERE op <> 'remove') AND file_path NOT IN (SELECT sn.path FROM sn LEFT JOIN cur USING (path) WHERE sn.content_hash IS DISTINCT FROM cur.content_hash)) u GROUP BY ALL"""
+)
 def replace_by_files(spark, sf):
-    new = disk(spark, sf).where("op <> 'remove'").select("path", "content_hash")
-    cur = I.current_files(table(spark, sf, "files")).select("path", "content_hash")
-    return I.replace_by_files({"files": cur}, {"files": new})["files"]
+    """All tables after the files seen took the place of the stored ones: what is removed is gone,
+    what changed has no chunks, edges and imports any more, what is unchanged keeps its own."""
+    cur, now = I.current_files(table(spark, sf, "files")), seen(spark, sf)
+    stored = {"files": cur.select("path", "content_hash"), "chunks": table(spark, sf, "chunks").select("file_path", "id"), "edges": table(spark, sf, "edges").select("file_path", "dst_name"), "imports": table(spark, sf, "imports").select("file_path", "module")}
+    there = now.where("op <> 'remove'").select("path", "content_hash")
+    same = there.join(I.changed(cur, there).select("path"), "path", "left_anti").select(F.col("path").alias("file_path"))
+    new = {"files": there} | {n: stored[n].join(same, "file_path", "left_semi") for n in ("chunks", "edges", "imports")}
+    out = I.replace_by_files(stored, new, gone=now.select("path"))
+    parts = [df.select(F.lit(n).alias("what"), F.col(df.columns[0]).alias("file_path"), F.col(df.columns[1]).alias("value")) for n, df in out.items()]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("what", "file_path", "value").agg(F.count("*").alias("n"))
 
 
 _SESSION = """WITH e AS (SELECT user_id AS path, event_type AS op, ts FROM events WHERE ts IS NOT NULL), b AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)),
@@ -360,10 +430,14 @@ def overflow_reindex(spark, sf):
     return E.coalesced(rows, "6 hours").select("path", "start", "reindex")
 
 
-@query("SELECT bucket, count(*) AS n FROM (SELECT least(512, 8 * pow(2, greatest(0, ceil(log2((1 + octet_length(encode(text)) // 4) / 8.0)))))::INT AS bucket FROM documents WHERE text IS NOT NULL) t GROUP BY bucket")
+@query(
+    """WITH b AS (SELECT doc_id, least(512, 8 * pow(2, greatest(0, ceil(log2((1 + octet_length(encode(text)) // 4) / 8.0)))))::INT AS bucket, doc_id % 64 AS part FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, bucket, part || '-' || (row_number() OVER (PARTITION BY bucket, part ORDER BY doc_id) - 1) // 32 AS batch FROM b"""
+)
 def bucketize(spark, sf):
+    """Every document in a batch of at most 32 of its padded length."""
     rows = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", (X.token_estimate(F.col("text")) + 1).alias("tokens"))
-    return I.bucketize(rows, "tokens", "doc_id").groupBy("bucket").agg(F.count("*").alias("n"))
+    return I.bucketize(rows, "tokens", "doc_id", spread=F.pmod("doc_id", F.lit(64)))
 
 
 @query()

@@ -105,3 +105,31 @@ def test_file_scans_in_ten_batches(spark, tmp_path):
     for end in ends:
         run.run(log.where(log.scan_id <= end), state)
     assert found(run.sink()) == found(C.pending(log, state))
+
+
+def test_query_goes_through_plan_batch_and_sink(spark, tmp_path):
+    """Late rows, removals and failed runs: the query gives what one pass over all rows gives."""
+    from tessera.plans.changes import p5_found
+
+    rows = [
+        (1, "kept", "aa", "create", at(1), at(1)),
+        (2, "late", "bb", "write", at(5), at(6)),
+        (3, "gone", "cc", "create", at(2), at(2)),
+        (4, "late", "b0", "write", at(3), at(20)),  # older, and in the second batch
+        (5, "gone", None, "remove", at(9), at(20)),
+        (6, "new", "DD", "create", at(10), at(21)),
+        (7, "kept", "ab", "write", at(11), at(21)),
+        (8, "unread", None, "write", at(11), None),
+    ]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "scan_id long, path string, content_hash string, op string, seen_at timestamp, arrived_at timestamp").write.parquet(f"{folder}/file_scans.parquet")
+    spark.createDataFrame([("kept", "AA", 1), ("gone", "cc", 1)], "path string, content_hash string, indexed_at long").write.parquet(f"{folder}/files.parquet")
+    runs = [(1, at(4), at(5), "ok"), (2, at(7), at(8), "ok"), (3, at(15), at(16), "failed"), (4, at(22), None, "running")]
+    spark.createDataFrame(runs, "run_id long, started_at timestamp, finished_at timestamp, status string").write.parquet(f"{folder}/index_runs.parquet")
+    assert {tuple(r) for r in p5_found(spark, folder).collect()} == {("late", "bb"), ("new", "dd"), ("kept", "ab")}
+    spark.createDataFrame(runs, "run_id long, started_at timestamp, finished_at timestamp, status string").limit(0).write.mode("overwrite").parquet(f"{folder}/index_runs.parquet")
+    assert p5_found(spark, folder).count() == 3
+    empty = f"file://{tmp_path}/none"
+    for name in ("file_scans", "files", "index_runs"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert p5_found(spark, empty).count() == 0

@@ -39,7 +39,9 @@ def test_index_search_and_graph(spark, tmp_path):
     assert {r["name"] for r in engine.callers("helper")} == {"run"}
     assert [(r["name"], r["resolved"], r["file_path"]) for r in engine.callees("run")] == [("helper", True, "lib/tools.py")]
     assert [(r["name"], r["depth"]) for r in engine.impact("helper", 3)] == [("run", 1), ("other", 2)]
-    assert "package lib" in engine.map() and "+ func helper" in engine.map()
+    assert "# package: lib (1 files, 2 symbols)" in engine.map() and "+ func helper" in engine.map()
+    cut = engine.callers("helper", 1)
+    assert not cut.truncated and cut.text == "1 callers of helper:\n  main.py:5 run\n"
     (root / "lib" / "tools.py").write_text("def helper(x):\n    return 2\n")
     assert engine.stale(["lib/tools.py", "main.py", "gone.py"]) == ["gone.py", "lib/tools.py"]
     (root / "main.py").unlink()

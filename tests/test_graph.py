@@ -75,27 +75,62 @@ def chunk(i, path, name, kind="function_declaration", parent="", line=1, languag
 def test_map(spark):
     rows = [chunk(1, "store/store.go", "Store", "interface_declaration"), chunk(2, "store/store.go", "Search", parent="Store", line=5), chunk(3, "indexer/indexer.go", "Index"), chunk(4, "CHANGELOG.md", "Title", language="markdown"), chunk(5, "indexer/indexer.go", "loose", parent="Missing", line=9), chunk(6, "store/b.go", "helper")]
     named = M.mapped_symbols(spark.createDataFrame(rows, CHUNK))
-    text = M.render(named, 0)
-    assert text.index("package store") < text.index("package indexer") and "CHANGELOG" not in text
-    assert "\n    + func Search:5-7" in text and "\n  + interface Store:1-3" in text and "\n  - func loose:9-11" in text
+    first = "# package: store (2 files, 3 symbols)\n\nstore/store.go\n  + interface Store:1-3\n    + func Search:5-7\n\n"
+    rest = "store/b.go\n  - func helper:1-3\n\n# package: indexer (1 files, 2 symbols)\n\nindexer/indexer.go\n  + func Index:1-3\n  - func loose:9-11\n\n"
+    assert M.render(named, 0) == first + rest == M.render(named, 1000)
     assert "CHANGELOG" in M.render(M.mapped_symbols(spark.createDataFrame(rows, CHUNK), code_only=False), 0)
-    short = M.render(named, 1)
-    assert "truncated" in short and "store.go" in short
-    many = spark.createDataFrame([chunk(i, "a.go", f"F{i}", "type_declaration" if i == 4 else "function_declaration") for i in range(5)], CHUNK)
-    assert M.kind_summary(M.mapped_symbols(many)).first()["summary"] == "4 func, 1 type"
+    # the first file is there whatever the budget, and the heading and blank lines count
+    assert M.render(named, 1) == first + "# ... 2 more files in 1 packages (truncated to ~1 tokens)\n"
+    room = -(-(len(first) + 32) // 4)
+    assert M.render(named, room) == first + f"store/b.go\n  - func helper:1-3\n\n# ... 1 more files in 1 packages (truncated to ~{room} tokens)\n"
     assert M.render(named.limit(0), 10) == ""
 
 
+def test_map_of_parents_summaries_and_languages(spark):
+    # a symbol with a parent is no parent itself; what is below it is listed at the end
+    rows = [chunk(1, "a.go", "T", "type_spec"), chunk(2, "a.go", "m", "method_declaration", "T", 4), chunk(3, "a.go", "inner", parent="m", line=5), chunk(4, "a.go", "T", "struct_type", line=20), chunk(5, "a.go", "F", "method_definition", line=30)]
+    named = M.mapped_symbols(spark.createDataFrame(rows, CHUNK))
+    assert {r["id"]: r["level"] for r in M.nested(named).collect()} == {"1": 0, "2": 1, "3": 0, "4": 0, "5": 0}
+    assert M.file_lines(named).first()["text"] == "a.go (3 func, 1 struct, 1 type)\n  + type T:1-3\n    - func m:4-6\n  + struct T:20-22\n    - func m:4-6\n  + func F:30-32\n  - func inner:5-7\n\n"
+    # the first symbol's language is the file's
+    mixed = [chunk(1, "b.x", "Up", language="go"), chunk(2, "b.x", "_p", language="python", line=9), chunk(3, "c.toml", "key", language="toml"), chunk(4, "d.yaml", "key", language="YAML"), chunk(5, "d.yaml", "g", language="go", line=7)]
+    named = M.mapped_symbols(spark.createDataFrame(mixed, CHUNK))
+    assert {(r["name"], r["mark"]) for r in named.collect()} == {("Up", "+"), ("_p", "-"), ("key", "")}
+
+
+def test_numbered(spark):
+    from tessera.operators.ordering import numbered
+
+    df = spark.range(1000).withColumn("k", F.pmod(F.col("id") * 7919, F.lit(1000)))
+    assert [r["k"] for r in numbered(df, [F.desc("k")], "n").orderBy("n").collect()] == list(range(999, -1, -1))
+    assert numbered(df.limit(0), [F.asc("k")], "n").count() == 0
+
+
 @pytest.mark.parametrize("paths, root", [(["/r/a/x", "/r/a/b/y", "/r/ab/z"], "/r"), (["x"], "."), (["a/x", "b/y"], ""), (["a/b/x", "a/b/y"], "a/b"), ([], "")])
 def test_common_root(spark, paths, root):
     assert M.common_root(spark.createDataFrame([(p,) for p in paths], "path string")).first()["root"] == root
 
 
 def test_formatted(spark):
-    c = defs(spark, ("1", "Run", "main.go", 1, 10), ("2", "Helper", "helper.go", 3, 8))
-    e = edges(spark, ("1", "main.go", "Run", "call", "Helper", "", 5), ("1", "main.go", "Run", "call", "Println", "fmt", 6))
-    got = {r["line_text"] for r in G.formatted(G.callees(e, c, none(spark))).select(F.col("line_text")).collect()}
-    assert got == {"Helper [call] helper.go:3 at main.go:5", "fmt.Println [call] (external) at main.go:6"}
+    c = spark.createDataFrame([("1", "Run", "main.go", "function_declaration", "", 1, 10, "go"), ("2", "Helper", "helper.go", "method_declaration", "Kit", 3, 8, "go")], CHUNK)
+    e = edges(spark, ("1", "main.go", "Run", "call", "Helper", "", 5), ("1", "main.go", "Run", "call", "Println", "fmt", 6), ("1", "main.go", "Run", "inherit", "Helper", "", 7))
+    got = {r["line_text"] for r in G.formatted(G.callees(e, c, none(spark))).collect()}
+    assert got == {"  helper.go:3 Kit.Helper", "  main.go:6 fmt.Println (external)", "  helper.go:3 Kit.Helper (inherit)"}
+    there = [r["line_text"] for r in G.formatted(G.callers(e, c).where("target = 'Helper'"), at_reference=True).collect()]
+    assert there == ["  main.go:5 Run"]
+    deep = [r["line_text"] for r in G.formatted(G.impact(e, c, "Helper", 2), at_reference=True, show_depth=True).collect()]
+    assert deep == ["  main.go:5 Run depth=1"]
+    assert G.listing(there, "callers of", "Helper") == "1 callers of Helper:\n  main.go:5 Run\n"
+    assert G.listing(["a", "b"], "callees of", "x", 1) == "1 callees of x:\na\n\n(truncated to 1; raise the limit to see more)\n"
+    assert G.listing([], "impact of", "x") == "No impact of x found.\n"
+
+
+def test_impact_tells_the_first_discovery(spark):
+    """Of one level the caller found first tells, and of its references the first."""
+    c = defs(spark, ("1", "B", "b.go", 1, 9), ("2", "A", "z.go", 1, 9), ("3", "C", "c.go", 1, 9))
+    e = edges(spark, ("1", "b.go", "B", "call", "T", "", 5), ("2", "z.go", "A", "call", "T", "", 1), ("3", "c.go", "C", "call", "A", "q", 2), ("3", "c.go", "C", "reference", "B", "", 8), ("3", "c.go", "C", "call", "B", "", 7))
+    got = {r["name"]: (r["depth"], r["line"], r["kind"], r["file_path"], r["node_kind"], r["end_line"]) for r in G.impact(e, c, "T", 3).collect()}
+    assert got == {"B": (1, 5, "call", "b.go", "function_declaration", 9), "A": (1, 1, "call", "z.go", "function_declaration", 9), "C": (2, 7, "call", "c.go", "function_declaration", 9)}
 
 
 def test_common_root_of_every_repository(spark):
