@@ -1,9 +1,10 @@
 """Subject areas of documents (problem 10).
 
 One interpolated n-gram model per subject is trained on labelled documents, and one background
-model on all documents. A word whose cross-entropy is clearly lower under a subject's model bears
-that subject; subjects with a calibrated share of a document's bearing words are accepted, so a
-document can have several or none.
+model on all documents. The cross-entropy of each word under every subject's model is compared with
+that under the background's, and what the best subject saves counts for it; subjects with a calibrated share of all
+a document's savings, which must be enough for its length, are accepted, so a document can have
+several or none.
 
 Labels are partly wrong: models are fitted on each half of the labelled documents, decide the
 other half, and are fitted again on what they decided. The bounds of acceptance are chosen on
@@ -67,7 +68,6 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, limit: i
     """
     described = sorted((r["subject"], r["description"] or "") for r in subjects.select("subject", "description").distinct().collect() if r["subject"])
     names = [s for s, _ in described]
-    alone = frozenset(s for s, d in described if "no other area" in d)
     sample = [(d, t & set(names)) for d, t in _sample(documents, labels, limit)]
     sample = [x for x in sample if x[0] and x[1]]
     if not names or not sample:
@@ -78,7 +78,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, limit: i
 
     def fit(which: list[int], said: list[set[str]]) -> Models:
         per = [counts([docs[i] for i in which if s in said[i]] + ([words(described[k][1])] * 2)) for k, s in enumerate(names)]
-        return Models.fit(names, per, background, total, alone)
+        return Models.fit(names, per, background, total)
 
     halves = [list(range(0, len(docs), 2)), list(range(1, len(docs), 2))]
     decided = list(truth)
@@ -86,7 +86,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, limit: i
         model = fit(mine, truth)
         model.calibrate([docs[i] for i in other], [truth[i] for i in other])
         for i in other:
-            decided[i] = set(model.accept(model.bearing(docs[i]), len(docs[i]))) or truth[i]
+            decided[i] = set(model.accept(model.gains(docs[i]), len(docs[i]))) or truth[i]
     half = fit(halves[0], decided)
     half.calibrate([docs[i] for i in halves[1]], [truth[i] for i in halves[1]])
     final = fit(list(range(len(docs))), decided)
@@ -114,7 +114,7 @@ def areas(documents: DataFrame, models: Models | None) -> DataFrame:
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text:
                     doc = words(text)
-                    for s in m.accept(m.bearing(doc), len(doc)):
+                    for s in m.accept(m.gains(doc), len(doc)):
                         at.append(i)
                         got.append(s)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(got, pa.string())], ["doc_id", "subject"])

@@ -9,6 +9,7 @@ skipped when they come up. A piece of n bytes costs O(n log n), however long it
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -169,6 +170,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(4)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a vocabulary file, built once on a driver."""
+    return Encoder(read_ranks(path))
+
+
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """Columns key and ids of every row: the token ids of its text, without special tokens.
 
@@ -176,7 +183,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f
     other columns are dropped. The vocabulary (read once on the driver, some 3 MB) is broadcast.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(Encoder(read_ranks(path)))
+    shared = spark.sparkContext.broadcast(encoder_of(path))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

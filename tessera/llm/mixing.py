@@ -6,22 +6,30 @@ marginals by topic, language and source until they settle; the source step comes
 every cell below its cap of repeats, handing what is cut off to the source's other cells. A
 cell's weight over its tokens is the number of times each of its documents is drawn: the whole
 part for certain, the rest by systematic sampling in random order.
+
+The corpus is read and tokenized once; areas and sizes are written to the shared folder, and cells,
+draw and report go by that table.
 """
 
 from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.areas import areas, train
-from tessera.llm.bpe import encode
+from tessera.llm.areas import train
+from tessera.llm.bpe import TOKENIZERS, encoder_of
+from tessera.llm.subject_models import Models, words
 from tessera.session import checkpointed
 from tessera.sources.tables import table
 
-SEED, ROUNDS, STRATUM, RARE = 17, 60, 50_000, 0.001
+SEED, ROUNDS, STRATUM = 17, 60, 50_000
 
 #: Other ways to write a language.
 LANGUAGES = {"eng": "en", "english": "en", "ger": "de", "deu": "de", "german": "de", "spa": "es", "spanish": "es", "": "und", "unknown": "und"}
@@ -33,12 +41,24 @@ def source_name(c: Column) -> Column:
 
 
 def language_name(c: Column) -> Column:
+    """A code of two letters, or ``und`` for what is neither one nor a known name of one."""
     plain = F.regexp_extract(F.lower(F.trim(F.coalesce(c, F.lit("")))), "^([a-z]*)", 1)
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.coalesce(known[plain], plain)
+    return F.coalesce(known[plain], F.when(F.length(plain) == 2, plain), F.lit("und"))
+
+
+@dataclass(frozen=True)
+class Raked:
+    """Copies of each document by cell, the shares aimed at by axis and value, rounds gone, and by what share
+    of the mix the last round still moved a cell."""
+
+    rate: dict[tuple, float]
+    shares: list[dict]
+    rounds: int
+    moved: float
 
 
-def rake(cells: dict[tuple, float], targets: dict[str, tuple[float, int]], total: float | None = None, rounds: int = ROUNDS) -> dict[tuple, float]:
+def rake(cells: dict[tuple, float], targets: dict[str, tuple[float, int]], total: float | None = None, rounds: int = ROUNDS) -> Raked:
     """Copies of each document by cell (source, then any number of further marginals).
 
     ``cells`` holds tokens, ``targets`` share and greatest repeats by source. Shares are scaled
@@ -48,7 +68,7 @@ def rake(cells: dict[tuple, float], targets: dict[str, tuple[float, int]], total
     """
     cells = {c: n for c, n in cells.items() if n > 0 and c[0] in targets and targets[c[0]][0] > 0 and targets[c[0]][1] > 0}
     if not cells:
-        return {}
+        return Raked({}, [], 0, 0.0)
     have: dict[str, float] = {}
     for c, n in cells.items():
         have[c[0]] = have.get(c[0], 0) + n
@@ -64,7 +84,7 @@ def rake(cells: dict[tuple, float], targets: dict[str, tuple[float, int]], total
             sums[c[axis]] = sums.get(c[axis], 0) + n
         marginals.append((axis, {k: n / corpus * total for k, n in sums.items()}))
     weight = {c: n * total / corpus for c, n in cells.items()}
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):  # noqa: B007
         before = dict(weight)
         for axis, target in reversed(marginals):
             sums = {}
@@ -86,31 +106,58 @@ def rake(cells: dict[tuple, float], targets: dict[str, tuple[float, int]], total
                 goal -= sum(cap[c] for c in full)
                 open_ -= full
             weight.update(left)
-        if max(abs(weight[c] - before[c]) for c in weight) <= 1e-9 * total:
+        moved = max(abs(weight[c] - before[c]) for c in weight) / total
+        if moved <= 1e-9:
             break
-    return {c: weight[c] / cells[c] for c in cells}
+    shares = [want, *({k: n / total for k, n in target.items()} for _, target in marginals)]
+    return Raked({c: weight[c] / cells[c] for c in cells}, shares, turn, moved)
+
+
+def measured(documents: DataFrame, models: Models | None, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """doc_id, source, lang, tokens, topic (all areas, joined by ``+``, or ``none``) of documents with tokens
+    and a source, in one pass over the texts, whole."""
+    sc = documents.sparkSession.sparkContext
+    shared, known = sc.broadcast(encoder_of(path)), sc.broadcast(models)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, m = shared.value, known.value
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            sizes = [len(ids) for ids in encoder.encode(texts)]
+            docs = [words(t) if t and m is not None else [] for t in texts]
+            topics = ["+".join(sorted(m.accept(m.gains(d), len(d)))) or "none" if d else "none" for d in docs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(topics)], ["doc_id", "source", "lang", "tokens", "topic"])
+
+    rows = documents.where(F.col("source").isNotNull() & (F.col("text") != "")).select("doc_id", source_name(F.col("source")).alias("source"), language_name(F.col("lang")).alias("lang"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, lang string, tokens int, topic string").where(F.col("tokens") > 0)
 
 
-def draw(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
-    """Documents drawn: doc_id, source, tokens, copies (1 or more, at most the source's cap).
+@dataclass(frozen=True)
+class Mix:
+    """``drawn``: doc_id, source, lang, topic, tokens, copies (1 or more, at most the source's cap)."""
+
+    drawn: DataFrame
+    raked: Raked
+    targets: dict[str, tuple[float, int]]
+
+
+def mix(documents: DataFrame, targets: DataFrame, models: Models | None = None, topics: DataFrame | None = None, total: float | None = None, seed: int = SEED) -> Mix:
+    """Draw documents so that sources hold their target shares of tokens.
 
     Documents without tokens (null or empty text), without a source, or of a source without a
     target are not drawn; of a target given more than once the least cap and share hold. The
-    same seed gives the same draw. Only sums by cell reach the driver: languages below a
-    thousandth of the tokens are one, so there are at most sources x 1000 x sets of subjects that
-    occur (of ten subjects at most 1024, of which few do).
+    same seed gives the same draw. Topics are those the models give or, without models, those of
+    a table (doc_id, subject). Only sums by cell reach the driver: of the sources with a target, 677
+    languages and the sets of subjects that occur (of ten subjects at most 1024, of which few do).
 
     Sampling runs within strata of about ``STRATUM`` documents by hash, so no source, however
     large, is one task's.
     """
-    sizes = encode(documents.select("doc_id", "text")).select("doc_id", F.size("ids").alias("tokens")).where(F.col("tokens") > 0)
-    named = documents.select("doc_id", source_name(F.col("source")).alias("source"), language_name(F.col("lang")).alias("lang")).where(F.col("source").isNotNull())
-    docs = named.join(sizes, "doc_id")
+    docs = measured(documents, models)
     if topics is not None:
         sets = topics.where(F.col("subject").isNotNull()).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("subject")), "+").alias("topic"))
-        docs = docs.join(sets, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("none")))
-    else:
-        docs = docs.withColumn("topic", F.lit("none"))
+        docs = docs.drop("topic").join(sets, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("none")))
     docs = checkpointed(docs)
     goal = {
         r["source"]: (r["share"], r["repeats"])
@@ -118,14 +165,10 @@ def draw(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = No
         if r["source"] is not None and r["share"] is not None and r["repeats"] is not None
     }
     eligible = docs.where(F.col("source").isin(*goal)) if goal else docs.limit(0)
-    summed = eligible.groupBy("lang").agg(F.sum("tokens").alias("n"))
-    whole = summed.agg(F.sum("n")).first()[0] or 0
-    frequent = [r["lang"] for r in summed.where(F.col("n") >= RARE * whole).collect()]
-    eligible = eligible.withColumn("lang", F.when(F.col("lang").isin(*frequent), F.col("lang")).otherwise("other"))
     rows = eligible.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect()
-    rate = rake({(r["source"], r["lang"], r["topic"]): float(r["n"]) for r in rows}, goal, total)
+    raked = rake({(r["source"], r["lang"], r["topic"]): float(r["n"]) for r in rows}, goal, total)
     spark = documents.sparkSession
-    rates = spark.createDataFrame([(*c, float(w), goal[c[0]][1]) for c, w in rate.items()], "source string, lang string, topic string, rate double, cap int")
+    rates = spark.createDataFrame([(*c, float(w), goal[c[0]][1]) for c, w in raked.rate.items()], "source string, lang string, topic string, rate double, cap int")
     strata = max(1, round(sum(r["docs"] for r in rows) / STRATUM))
     chance = F.xxhash64("doc_id", F.lit(seed))
     cell = ["source", "lang", "topic", "stratum"]
@@ -140,35 +183,51 @@ def draw(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = No
     offset = F.pmod(F.xxhash64(*cell, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
     upto = lambda place: F.floor(F.col("rate") * place + offset + 1e-9)
     copies = F.least(upto(F.col("place")) - upto(F.col("place") - 1), F.col("cap")).cast("int")
-    return drawn.select("doc_id", "source", "tokens", copies.alias("copies")).where(F.col("copies") > 0)
-
-
-def report(drawn: DataFrame, targets: DataFrame) -> DataFrame:
-    """Reached shares by source with a target: source, target_share, reached_share, tokens,
-    documents, copies. Sources of which nothing was drawn have zeros."""
-    sums = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.sum("copies").alias("copies"))
-    total = sums.agg(F.sum("tokens").alias("all")).first()["all"] or 0
-    goal = targets.where(F.col("source").isNotNull()).groupBy(source_name(F.col("source")).alias("source")).agg(F.min("target_share").alias("target_share"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return goal.join(sums, "source", "left").select(
-        "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.lit(max(total, 1))).alias("reached_share"), zero("tokens"), zero("documents"), zero("copies")
-    )
+    drawn = drawn.select("doc_id", "source", "lang", "topic", "tokens", copies.alias("copies")).where(F.col("copies") > 0)
+    return Mix(drawn, raked, goal)
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+REPORT = "axis string, value string, target_share double, aimed_share double, reached_share double, tokens long, documents long, copies long, rounds int, moved double"
+
+
+def report(mixed: Mix) -> DataFrame:
+    """Shares of the mix by source, language and topic: axis, value, target_share (as asked for, of sources alone),
+    aimed_share (with targets that have no documents left out; for languages and topics the
+    corpus's own), reached_share, tokens, documents, copies, and of the raking rounds and moved (see ``Raked``).
+
+    Sources with a target of which nothing was drawn have zeros. The draw is run once; what reaches the
+    driver is one row for each cell, as for the raking.
+    """
+    n = F.sum(F.col("tokens").cast("bigint") * F.col("copies"))
+    cells = mixed.drawn.groupBy("source", "lang", "topic").agg(n.alias("n"), F.count("*").alias("docs"), F.sum("copies").alias("copies")).collect()
+    total = sum(r["n"] for r in cells) or 1
+    rows = []
+    for at, axis in enumerate(("source", "lang", "topic")):
+        aimed = mixed.raked.shares[at] if mixed.raked.shares else {}
+        sums: dict = {v: [0, 0, 0] for v in ([*mixed.targets] if axis == "source" else aimed)}
+        for r in cells:
+            for i, x in enumerate((r["n"], r["docs"], r["copies"])):
+                sums[r[axis]][i] += x
+        for value, (tokens, docs, copies) in sorted(sums.items()):
+            asked = mixed.targets[value][0] if axis == "source" else None
+            rows.append((axis, value, asked, float(aimed.get(value, 0.0)), tokens / total, tokens, docs, copies, mixed.raked.rounds, float(mixed.raked.moved)))
+    return mixed.drawn.sparkSession.createDataFrame(rows, REPORT)
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> Mix:
     documents = table(spark, sf_dir, "documents")
     models = train(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects"))
-    return draw(documents, table(spark, sf_dir, "mix_targets"), areas(documents, models))
+    return mix(documents, table(spark, sf_dir, "mix_targets"), models)
 
 
 def p9_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix and how often each is in it."""
-    return _drawn(spark, sf_dir)
+    return _mix(spark, sf_dir).drawn.select("doc_id", "source", "tokens", "copies")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached shares of the mix by source."""
-    return report(_drawn(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    """Target, aimed and reached shares of the mix by source, language and topic."""
+    return report(_mix(spark, sf_dir))
 
 
 QUERIES = {"p9_draw": p9_draw, "p9_shares": p9_shares}

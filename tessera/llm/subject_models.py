@@ -12,8 +12,9 @@ import numpy as np
 
 #: Weights of the bigram, unigram and background part of a model, and what is added to counts.
 BIGRAM, UNIGRAM, ADDED = 0.35, 0.55, 0.5
-#: A word bears a subject if its model gives it this many times the background's probability.
-BEARS = 2.5
+#: A word bears a subject if its model gives it this many times the background's probability; no
+#: word is worth more nats than MOST, and a subject needs LEAST of them.
+BEARS, MOST, LEAST = 2.0, 2.0, 1.8
 WORDS = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-ZÀ-Þ]?[a-zß-ÿ]+|[^\W\d_a-zA-ZÀ-ÿ]+")
 #: Sequences that a text has that was read as Latin-1 though it was UTF-8.
 MOJIBAKE = re.compile(r"[Â-Ã][\u0080-¿‐-™Œ-ƒˆ˜]")
@@ -47,13 +48,11 @@ class Models:
     subjects: list[str]
     one: dict[str, np.ndarray]
     two: dict[tuple[str, str], np.ndarray]
-    share: float = 0.3
-    density: float = 0.06
-    few: int = 2
-    alone: frozenset[str] = frozenset()
+    share: float = 0.26
+    density: float = 0.13
 
     @classmethod
-    def fit(cls, subjects: list[str], per_subject: list[Counter], background: Counter, total: int, alone: frozenset[str] = frozenset()) -> Models:
+    def fit(cls, subjects: list[str], per_subject: list[Counter], background: Counter, total: int) -> Models:
         size = len(subjects)
         n = np.array([sum(v for k, v in c.items() if isinstance(k, str)) for c in per_subject], float)
         vocabulary = {w for c in per_subject for w in c if isinstance(w, str)}
@@ -80,12 +79,16 @@ class Models:
             q = BIGRAM * behind + (1 - BIGRAM) * bg[b]
             two[a, b] = np.log(p / q)
         assert all(len(x) == size for x in one.values())
-        return cls(subjects, one, two, alone=alone)
+        return cls(subjects, one, two)
 
-    def bearing(self, doc: list[str]) -> np.ndarray:
-        """How many words of a document bear each subject: those whose cross-entropy under the
-        subject's model is lower than under the background's by log BEARS, given to the best."""
-        n = np.zeros(len(self.subjects))
+    def gains(self, doc: list[str]) -> np.ndarray:
+        """By how many nats each subject's model lowers the cross-entropy of a document's words.
+
+        A word's cross-entropy under a subject's model, given the word before, is compared with
+        that under the background's. It counts for the subject that lowers it most, if by log
+        ``BEARS`` or more: what is about several subjects has words of each.
+        """
+        gained = [0.0] * len(self.subjects)
         need = math.log(BEARS)
         one, two = self.one, self.two
         last = None
@@ -97,21 +100,17 @@ class Models:
             if r is not None:
                 s = r.argmax()
                 if r[s] >= need:
-                    n[s] += 1
-        return n
+                    gained[s] += min(r[s], MOST)
+        return np.array(gained)
 
-    def accept(self, n: np.ndarray, length: int) -> list[str]:
-        """Subjects with a share of all bearing words, if those are dense enough in the text.
+    def _accepted(self, gained: np.ndarray, length: np.ndarray, share: float, density: float) -> np.ndarray:
+        """Subjects with a share of all nats gained, of documents that gain enough for their length."""
+        total = gained.sum(axis=1, keepdims=True)
+        return (gained >= LEAST) & (gained >= share * total) & (total >= density * length[:, None])
 
-        A subject that is only itself where no other is (``alone``, as its description may say)
-        is left out beside others.
-        """
-        total = n.sum()
-        if total < max(self.few, self.density * length):
-            return []
-        good = (n >= self.few) & (n >= self.share * total)
-        got = [s for s, g in zip(self.subjects, good) if g]
-        return [s for s in got if s not in self.alone] or got
+    def accept(self, gained: np.ndarray, length: int) -> list[str]:
+        good = self._accepted(gained[None, :], np.array([length]), self.share, self.density)[0]
+        return [s for s, g in zip(self.subjects, good) if g]
 
     def calibrate(self, docs: list[list[str]], labels: list[set[str]]) -> float:
         """Choose share and density that fit the labels best (F1 over document and subject).
@@ -121,17 +120,13 @@ class Models:
         """
         if not docs:
             return 0.0
-        n = np.array([self.bearing(d) for d in docs])
+        gained = np.array([self.gains(d) for d in docs])
         length = np.array([len(d) for d in docs])
         truth = np.array([[s in t for s in self.subjects] for t in labels])
-        lone = np.array([s in self.alone for s in self.subjects])
-        total = n.sum(axis=1)
         best = (-1.0, self.share, self.density)
         for share in np.arange(0.12, 0.46, 0.02):
-            good = (n >= self.few) & (n >= share * total[:, None])
-            good &= ~(lone & (good & ~lone).any(axis=1)[:, None])
-            for density in (0.05, 0.065, 0.08, 0.1, 0.13, 0.16):
-                said = good & (total >= np.maximum(self.few, density * length))[:, None]
+            for density in (0.08, 0.1, 0.13, 0.16, 0.2, 0.25):
+                said = self._accepted(gained, length, share, density)
                 f = 2 * (said & truth).sum() / max(1, said.sum() + truth.sum())
                 if f > best[0] + 1e-9:
                     best = (f, float(share), density)

@@ -1,7 +1,10 @@
+import math
 import random
 
+import numpy as np
+
 from tessera.llm import areas as A
-from tessera.llm.subject_models import Models, counts, words
+from tessera.llm.subject_models import BEARS, MOST, Models, counts, words
 
 TERMS = {"law": "court judge plaintiff verdict statute".split(), "sport": "goal referee match stadium league".split(), "software": "compiler debugger linker stack thread".split()}
 FILL = "the page now shows every row next to this one and keeps it for a while".split()
@@ -56,5 +59,14 @@ def test_none(spark):
 def test_model_is_interpolated():
     own = counts([["court", "judge"]] * 5)
     m = Models.fit(["law", "sport"], [own, counts([["goal", "judge"]] * 5)], counts([["court", "judge", "goal"]] * 50), 150)
-    assert m.bearing(["court", "judge", "unseen"]).tolist()[1] == 0
-    assert m.one["court"][0] > 0 > m.one["court"][1]
+    gained = m.gains(["court", "judge", "unseen", "court"])
+    # each word saves the difference of its cross-entropies, here under the law model alone
+    saved = [m.one["court"], m.two["court", "judge"], m.one["court"]]
+    assert gained[1] == 0 and np.isclose(gained[0], sum(min(r[0], MOST) for r in saved if r[0] >= math.log(BEARS)))
+
+
+def test_acceptance_by_share_and_density():
+    m = Models(["law", "sport", "art"], {}, {}, share=0.3, density=0.1)
+    assert m.accept(np.array([10.0, 8.0, 1.0]), 100) == ["law", "sport"]
+    assert m.accept(np.array([10.0, 8.0, 1.0]), 1000) == [] == m.accept(np.array([2.0, 0, 0]), 3)
+    assert m.accept(np.array([10.0, 0, 0]), 90) == ["law"]
