@@ -3,8 +3,9 @@
 Vendored copies are found by winnowing: the token stream of a file (comments and blanks left
 out) is hashed in windows of ``GRAM`` tokens, and of every ``WINDOW`` neighbouring hashes the
 least is kept as a fingerprint. A file is a copy if at least ``SHARE`` of its fingerprints are
-those of chunks released upstream, or recur in ``REPOS`` or more repositories. A borrowed
-function in a file of one's own stays below the share; a copy with some lines changed above it.
+those of chunks released upstream, or if nearly all (``MOST``) of many (``MANY``) recur in many
+repositories: ``REPOS`` of them, and ``REPO_SHARE`` of all. What more than half of all repositories have is boilerplate and counts neither way,
+unless it was released. A borrowed function in a file of one's own stays below the share; a copy with some lines changed above it.
 
 The other kinds show in a file by itself: a generator's note in the comments before the first
 code, a token stream made up of one short pattern over and over, very long lines without blanks,
@@ -26,7 +27,8 @@ from tessera.llm.languages import language_of
 from tessera.session import checkpointed
 from tessera.sources.tables import table
 
-GRAM, WINDOW, SHARE, REPOS, SALTS, PATTERN = 20, 12, 0.5, 3, 8, 0.6
+GRAM, WINDOW, SALTS, PATTERN = 20, 12, 8, 0.6
+SHARE, MOST, MANY, REPOS, REPO_SHARE = 0.5, 0.75, 8, 3, 0.05
 
 #: Folders of third-party and of generated code, and names that generators give.
 THIRD_PARTY = re.compile(r"(?i)(?:^|/)(?:vendor|third[-_]?party|node_modules|bower_components|jspm_packages|godeps|site-packages|external|externals|extern|deps)/(?=[^/]+/)")
@@ -144,22 +146,26 @@ def file_kinds(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
 
     Fingerprints move as two long numbers each. Their counts by repository are combined on the
     map side; the join back to the files is salted, as one fingerprint may be in any number of
-    files.
+    files. The number of repositories, one row, reaches the driver.
     """
     released = upstream.select("content_hash").where(F.col("content_hash").isNotNull()).distinct().withColumn("upstream", F.lit(True))
     marked = chunks.select("file_path", "start_line", "content", "content_hash").join(released, "content_hash", "left")
     files = per_file(marked, ["start_line", "content", "upstream"], _features, "file_path string, repo string, kind string, prints array<long>, known array<long>")
     files = files.withColumn("file", F.xxhash64("file_path"))
     files = checkpointed(files)
+    repos = files.agg(F.count_distinct("repo").alias("n")).first()["n"]
     prints = files.select("file", F.hash("repo").alias("repo"), F.explode("prints").alias("print"))
     spread = prints.groupBy("print", "repo").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count("*").alias("repos"))
-    shared = spread.where(F.col("repos") >= REPOS).select("print").union(files.select(F.explode("known").alias("print"))).distinct()
-    salted = shared.select("print", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    hits = prints.withColumn("salt", F.pmod("file", F.lit(SALTS)).cast("int")).join(salted, ["print", "salt"]).groupBy("file").agg(F.count("*").alias("hits"))
-    copied = F.coalesce("hits", F.lit(0)) >= SHARE * F.size("prints")
-    return files.join(hits, "file", "left").select(
-        "file_path", F.coalesce("kind", F.when((F.size("prints") > 2) & copied, F.lit("vendored"))).alias("kind")
-    )
+    known = files.select(F.explode("known").alias("print")).distinct().withColumn("up", F.lit(True))
+    marks = spread.where(F.col("repos") >= max(REPOS, REPO_SHARE * repos)).join(known, "print", "full_outer").select("print", F.coalesce("up", F.lit(False)).alias("up"), (F.col("up").isNull() & (2 * F.col("repos") > max(2 * REPOS, repos))).alias("boiler"))
+    salted = marks.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    hits = (
+        prints.withColumn("salt", F.pmod("file", F.lit(SALTS)).cast("int")).join(salted, ["print", "salt"])
+        .groupBy("file").agg(F.count(F.when(F.col("up"), 1)).alias("up"), F.count(F.when(~F.col("boiler"), 1)).alias("recur"), F.count(F.when(F.col("boiler"), 1)).alias("boiler"))
+    )
+    of = F.size("prints") - F.col("boiler")
+    copied = (of > 2) & ((F.col("up") >= SHARE * of) | (F.col("recur") >= MOST * of) & (of >= MANY))
+    return files.join(hits, "file", "left").select("file_path", F.coalesce("kind", F.when(copied, F.lit("vendored"))).alias("kind"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

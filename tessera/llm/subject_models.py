@@ -89,20 +89,29 @@ class Models:
         ``BEARS`` or more: what is about several subjects has words of each.
         """
         gained = [0.0] * len(self.subjects)
-        need = math.log(BEARS)
-        one, two = self.one, self.two
+        one, two = self._best()
         last = None
         for w in doc:
-            r = two.get((last, w))
-            if r is None:
+            r = two.get((last, w), 0)
+            if r == 0:
                 r = one.get(w)
             last = w
-            if r is not None:
-                s = r.argmax()
-                if r[s] >= need:
-                    gained[s] += min(r[s], MOST)
+            if r:
+                gained[r[0]] += r[1]
         return np.array(gained)
 
+    def _best(self) -> tuple[dict, dict]:
+        """Of each word and pair the subject that saves most and how much, or None if that is too little."""
+        found = self.__dict__.get("_found")
+        if found is None:
+            need = math.log(BEARS)
+            told = lambda r: (int(r.argmax()), min(float(r.max()), MOST)) if r.max() >= need else None
+            found = self._found = tuple({w: told(r) for w, r in table.items()} for table in (self.one, self.two))
+        return found
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_found"}
+
     def _accepted(self, gained: np.ndarray, length: np.ndarray, share: float, density: float) -> np.ndarray:
         """Subjects with a share of all nats gained, of documents that gain enough for their length."""
         total = gained.sum(axis=1, keepdims=True)

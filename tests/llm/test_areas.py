@@ -68,5 +68,5 @@ def test_model_is_interpolated():
 def test_acceptance_by_share_and_density():
     m = Models(["law", "sport", "art"], {}, {}, share=0.3, density=0.1)
     assert m.accept(np.array([10.0, 8.0, 1.0]), 100) == ["law", "sport"]
-    assert m.accept(np.array([10.0, 8.0, 1.0]), 1000) == [] == m.accept(np.array([2.0, 0, 0]), 3)
+    assert m.accept(np.array([10.0, 8.0, 1.0]), 1000) == [] == m.accept(np.array([1.5, 0, 0]), 3)
     assert m.accept(np.array([10.0, 0, 0]), 90) == ["law"]
