@@ -31,6 +31,7 @@ class Config:
     include: tuple[str, ...] | None = None
     exclude: tuple[str, ...] | None = None
     ignore: tuple[str, ...] | None = None
+    ignore_files: tuple[str, ...] | None = None
     max_file_size: int | None = None
     embedding_model: str | None = None
     embedding_width: int | None = None
@@ -84,7 +85,7 @@ class Config:
 
 
 DEFAULTS = Config(
-    extensions=(), include=(), exclude=(), ignore=(), max_file_size=1 << 20, embedding_model="hashing", embedding_width=64, query_prefix="", graph=True,
+    extensions=(), include=(), exclude=(), ignore=(), ignore_files=(".gitignore",), max_file_size=1 << 20, embedding_model="hashing", embedding_width=64, query_prefix="", graph=True,
     non_code=NON_CODE, debounce="500ms", poll_interval="5s", stale_refresh=10, reindex_cooldown="30s", map_tokens=2000,
 )
 

@@ -67,17 +67,3 @@ def index_terms(text: str | None) -> list[str]:
                 got = _terms[w] = tuple(t for token in _word(w) for t in parted(token))
             out += got
     return out
-
-
-def occurrences(terms: list[str], phrase: list[str]) -> int:
-    """How often a phrase is in a list of terms, overlaps counted."""
-    if len(phrase) == 1:
-        return terms.count(phrase[0])
-    n, first, found, at = len(phrase), phrase[0], 0, 0
-    while True:
-        try:
-            at = terms.index(first, at)
-        except ValueError:
-            return found
-        found += terms[at : at + n] == phrase
-        at += 1

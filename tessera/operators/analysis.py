@@ -1,7 +1,8 @@
 """Chunks, edges and vectors of source texts, in Arrow batches on the workers.
 
-The chunker takes Python apart by its syntax tree and other texts by paragraphs; both it and the
-embedder are plain callables and can be exchanged.
+The chunker takes Python apart by its syntax tree, Go, JavaScript, TypeScript, C and C++ by their
+declarations (see ``islands``) and other texts by paragraphs; both it and the embedder are plain
+callables and can be exchanged.
 """
 
 from __future__ import annotations
@@ -17,9 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, record_id
+from tessera.operators.islands import FAMILY, island_chunks
 
-#: Language by extension.
-LANGUAGES = {".py": "python", ".go": "go", ".js": "javascript", ".ts": "typescript", ".c": "c", ".h": "c", ".md": "markdown", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".java": "java", ".rs": "rust", ".rb": "ruby", ".sh": "bash", ".tsx": "tsx"}
+#: Extensions of each language.
+EXTENSIONS = {
+    "go": (".go",), "python": (".py", ".pyw"), "javascript": (".js", ".mjs", ".cjs", ".jsx"), "typescript": (".ts", ".mts"), "tsx": (".tsx",),
+    "ruby": (".rb",), "c": (".c", ".h"), "cpp": (".cpp", ".cc", ".cxx", ".hpp"), "bash": (".sh", ".bash"), "html": (".html", ".htm"), "css": (".css",),
+    "markdown": (".md", ".markdown"), "json": (".json",), "yaml": (".yaml", ".yml"), "vue": (".vue",),
+}
+LANGUAGES = {e: language for language, extensions in EXTENSIONS.items() for e in extensions}
 
 
 class Unsupported(ValueError):
@@ -37,6 +44,8 @@ def analyse(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
             return _python(text)
         except SyntaxError:
             pass
+    if language in FAMILY:
+        return island_chunks(text, language)
     chunks, lines, begin = [], text.split("\n"), None
     for i, line in enumerate([*lines, ""]):
         if line.strip() and begin is None:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.globs import ignored, matches_any
-from tessera.functions.text import extension
+from tessera.functions.globs import ignore_rule, ignored, matches_any
+from tessera.functions.text import extension, package_of
+from tessera.sources.tree import listed, read, stated
 
 
 class BadWidth(ValueError):
@@ -93,30 +96,79 @@ def replace_by_files(tables: dict[str, DataFrame], new: dict[str, DataFrame], wi
     return out
 
 
-def candidates(paths: DataFrame, rules: list[str], include: list[str] = (), exclude: list[str] = (), extensions: list[str] = (), path: str = "path") -> DataFrame:
-    """Paths the walker would give: ignore rules, then excluded and included globs (by name or
-    whole path), then extensions; version-control folders are never entered."""
+#: Names of ignore files, and folders that are never entered.
+IGNORE_FILES, SKIPPED = (".gitignore",), (".git", ".tessera")
+RULES = "dir string, no int, regex string, negated boolean, folders_only boolean"
+
+
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """The rules of ignore files (path, content), see ``RULES``: dir is the file's folder (a dot for the root).
+
+    Of several files in one folder those of the later name follow; a line that is no rule is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for folder, contents in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = [line for text in contents for line in (text or "").replace("\r\n", "\n").split("\n")]
+                rows += [(folder, n, r.regex, r.negated, r.folders_only) for n, r in enumerate(map(ignore_rule, lines)) if r]
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["dir", "no", "regex", "negated", "folders_only"])
+
+    name = F.element_at(F.split("path", "/"), -1)
+    each = files.groupBy(package_of(F.col("path")).alias("dir")).agg(F.transform(F.array_sort(F.collect_list(F.struct(name.alias("name"), "content"))), lambda f: f["content"]).alias("contents"))
+    return each.mapInArrow(run, RULES)
+
+
+def not_ignored(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """Paths that the rules of their folders let through.
+
+    A rule applies below its folder, to paths relative to it. For each folder on a path and the
+    path itself the last matching rule of the deepest folder with one decides; nothing below an
+    ignored folder comes back. Folders are looked up once, however many files are in them.
+    """
+    parts = F.split(F.col("_p"), "/")
+    rows = paths.select(F.col(path).alias("_p")).distinct()
+    steps = rows.select("_p", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n")).select("_p", F.array_join(F.slice(parts, F.lit(1), F.col("n")), "/").alias("at"), (F.col("n") < F.size(parts)).alias("folder"))
+    own = F.split("at", "/")
+    layers = steps.select("at", "folder").distinct().select("at", "folder", F.explode(F.sequence(F.lit(0), F.size(own) - 1)).alias("depth"))
+    layers = layers.select("at", "folder", "depth", F.when(F.col("depth") == 0, ".").otherwise(F.array_join(F.slice(own, F.lit(1), F.col("depth")), "/")).alias("dir"), F.array_join(F.slice(own, F.col("depth") + 1, F.size(own)), "/").alias("rel"))
+    hits = layers.join(rules, "dir").where((F.col("folder") | ~F.col("folders_only")) & F.regexp("rel", F.col("regex")))
+    bad = hits.groupBy("at", "folder").agg(F.max_by("negated", F.struct("depth", "no")).alias("negated")).where(~F.col("negated"))
+    gone = steps.join(bad, ["at", "folder"], "left_semi").select("_p").distinct()
+    return paths.join(gone.withColumnRenamed("_p", path), path, "left_anti")
+
+
+def candidates(paths: DataFrame, rules: list[str], include: list[str] = (), exclude: list[str] = (), extensions: list[str] = (), path: str = "path", below: DataFrame | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """Paths the walker would give: no ignore files themselves, no ignored paths, then excluded and
+    included globs (by name or whole path), then extensions; ``SKIPPED`` folders are never entered.
+
+    ``rules`` are those of the root; ``below`` are rules of folders (see ``RULES``).
+    """
     p = F.col(path)
     name = F.element_at(F.split(p, "/"), -1)
-    keep = ~ignored(p, [*rules, ".git/"])
+    keep = ~ignored(p, [*rules, *(f"{s}/" for s in SKIPPED)]) & ~name.isin(*ignore_files)
     if exclude:
         keep = keep & ~(matches_any(p, list(exclude)) | matches_any(name, list(exclude)))
     if include:
         keep = keep & (matches_any(p, list(include)) | matches_any(name, list(include)))
     if extensions:
         keep = keep & extension(p).isin(*[e.lower() for e in extensions])
-    return paths.where(keep)
+    kept = paths.where(keep)
+    return kept if below is None else not_ignored(kept, below, path)
+
 
+def walk(spark: SparkSession, root: str, max_size: int = 1 << 20, only: list[str] | None = None, choose: Callable[[DataFrame], DataFrame] = lambda files: files) -> DataFrame:
+    """Files below a folder: path (relative), content, content_hash, mtime (s), size.
 
-def walk(spark: SparkSession, root: str, max_size: int = 1 << 20) -> DataFrame:
-    """Files below a folder: path (relative), content, content_hash, mtime (s), size. Contents
-    over the limit are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_size)
-    base = root.removeprefix("file://").rstrip("/")
-    return files.select(
-        F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{base}/", "").alias("path"), F.decode("content", "UTF-8").alias("content"),
-        F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").cast("long").alias("mtime"), F.col("length").alias("size"),
-    )
+    Files over the size limit and those ``choose`` leaves out (it is given path, mtime, size) are not
+    read. With ``only`` those relative paths are looked at, and nothing else is.
+    """
+    files = listed(spark, root, SKIPPED) if only is None else stated(spark, root, only)
+    files = read(choose(files.where(F.col("size") <= max_size)), root)
+    return files.select("path", F.decode("data", "UTF-8").alias("content"), F.sha2("data", 256).alias("content_hash"), "mtime", "size")
 
 
 def length_bucket(tokens, longest: int = 512):
@@ -136,12 +188,17 @@ def bucketize(rows: DataFrame, tokens: str, key: str, most: int = 32, longest: i
 
 
 class Store:
-    """Index tables in versioned snapshots; a pointer file names the current one.
+    """Index tables in versioned snapshots.
 
-    A snapshot is written whole and then pointed to, so readers see the old or the new state and
-    a failed write leaves the old one.
+    A version is a small file ``versions/N.json``, written under another name and renamed; the
+    greatest counts, so there is no moment without one, and a failed write leaves the old one. It
+    names for each table the folders its rows are in: a write adds one folder with the rows of the files it brings, and
+    names the paths whose older rows no longer hold. What is in no version
+    kept is deleted. After ``FOLDERS`` writes, or where ``compact`` asks for it, a table is written whole.
     """
 
+    FOLDERS, KEPT = 16, 2
+
     def __init__(self, spark: SparkSession, root: str, model: str = "", width: int = 0):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
@@ -151,42 +208,93 @@ class Store:
             raise ValueError(f"the index was made by {meta['model']!r} with width {meta['width']}")
         self.model, self.width = (meta["model"], meta["width"]) if meta else (model, width)
 
-    def metadata(self) -> dict | None:
-        at = self._path(f"{self.root}/current.json")
+    def _numbers(self, folder: str) -> list[int]:
+        at = self._path(f"{self.root}/{folder}")
         if not self._fs.exists(at):
+            return []
+        names = [s.getPath().getName().removesuffix(".json") for s in self._fs.listStatus(at)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def metadata(self, version: int | None = None) -> dict | None:
+        """The present version's, or a given one's: version, model, width, tables, notes."""
+        numbers = self._numbers("versions")
+        if not numbers:
             return None
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._path(f"{self.root}/versions/{version or numbers[-1]}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def read(self, name: str) -> DataFrame:
+        """A table of the present version: of each path the rows of the last write that brought or removed it."""
         meta = self.metadata()
         if meta is None:
             raise LookupError("the index is empty")
-        return self.spark.read.parquet(f"{self.root}/v{meta['version']}/{name}")
+        return self._read(meta, name)
 
-    def write(self, tables: dict[str, DataFrame]) -> int:
+    def _read(self, meta: dict, name: str) -> DataFrame:
+        key = "path" if name == "files" else "file_path"
+        out = None
+        for n in meta["tables"][name]:
+            part = self.spark.read.parquet(f"{self.root}/data/{n}/{name}")
+            if out is None:
+                out = part
+            else:
+                gone = self.spark.read.parquet(f"{self.root}/data/{n}/gone").select(F.col("path").alias(key))
+                out = out.join(gone, key, "left_anti").unionByName(part, allowMissingColumns=True)
+        return out
+
+    def write(self, tables: dict[str, DataFrame], gone: DataFrame | None = None, notes: dict | None = None) -> int:
+        """Add rows to the tables; ``gone`` (path) are the files whose older rows they replace or which
+        were removed. Without it, or after many writes, the tables become those given or the whole."""
         meta = self.metadata()
         version = meta["version"] + 1 if meta else 1
+        at = f"{self.root}/data/{max([version - 1, *self._numbers('data')]) + 1}"
+        number = int(at.rpartition("/")[2])
+        known = meta["tables"] if meta else {}
+        whole = gone is None or not known
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-        tmp, at = self._path(f"{self.root}/current.json.tmp"), self._path(f"{self.root}/current.json")
+            df.write.mode("overwrite").parquet(f"{at}/{name}")
+        if not whole:
+            gone.select("path").distinct().write.mode("overwrite").parquet(f"{at}/gone")
+        listed = {n: [number] if whole or n not in known else [*known[n], number] for n in tables} | {n: x for n, x in known.items() if n not in tables}
+        meta = {"version": version, "model": self.model, "width": self.width, "tables": listed, "notes": {**(meta or {}).get("notes", {}), **(notes or {})}}
+        if not whole and any(len(x) > self.FOLDERS for x in listed.values()):
+            for name in listed:
+                self._read(meta, name).write.mode("overwrite").parquet(f"{self.root}/data/{number + 1}/{name}")
+            meta["tables"] = {n: [number + 1] for n in listed}
+        self._commit(version, meta)
+        self._clean()
+        return version
+
+    def _commit(self, version: int, meta: dict) -> None:
+        tmp, to = self._path(f"{self.root}/versions/{version}.tmp"), self._path(f"{self.root}/versions/{version}.json")
+        self._fs.mkdirs(to.getParent())
         stream = self._fs.create(tmp, True)
         try:
-            stream.write(bytearray(json.dumps({"version": version, "model": self.model, "width": self.width}).encode()))
+            stream.write(bytearray(json.dumps(meta).encode()))
         finally:
             stream.close()
-        self._fs.delete(at, False)
-        if not self._fs.rename(tmp, at):
-            raise OSError(f"cannot point to version {version}")
-        return version
+        if not self._fs.rename(tmp, to):
+            raise OSError(f"version {version} was written by someone else")
+
+    def note(self, **notes) -> None:
+        """Set notes of the index, a version of its own with the same tables."""
+        meta = self.metadata()
+        if meta is None:
+            raise LookupError("the index is empty")
+        self._commit(meta["version"] + 1, meta | {"version": meta["version"] + 1, "notes": {**meta.get("notes", {}), **notes}})
+
+    def _clean(self) -> None:
+        """Delete versions but the last ones, and data none of those names."""
+        numbers = self._numbers("versions")
+        held = {n for v in numbers[-self.KEPT :] for x in self.metadata(v)["tables"].values() for n in x}
+        for v in numbers[: -self.KEPT]:
+            self._fs.delete(self._path(f"{self.root}/versions/{v}.json"), False)
+        for n in self._numbers("data"):
+            if n not in held:
+                self._fs.delete(self._path(f"{self.root}/data/{n}"), True)
 
     def reset(self) -> None:
         self._fs.delete(self._path(self.root), True)
-
-
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in a given order."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

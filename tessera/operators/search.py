@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import posixpath
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.globs import matches_any
-from tessera.functions.terms import index_terms, occurrences, parted, search_tokens
 from tessera.functions.text import token_estimate
+from tessera.operators.fulltext import COLUMNS, phrases_of, postings
+from tessera.operators.fulltext import bm25 as ranked_text
 from tessera.session import checkpointed
 
-RRF, K1, B, BLOCK = 60, 1.2, 0.75, 1024
+RRF, BLOCK, STEP = 60, 65_536, 1024
 
 
 def squared_distance(vector: Column, query: list[float]) -> Column:
@@ -39,35 +41,58 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "id", vec
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", width: int = 64) -> DataFrame:
     """The k nearest rows of every query: qid, key, rn; ties by key.
 
-    Queries are taken in blocks of ``BLOCK`` (at most a quarter of a megabyte, so their size is
-    bounded), and each block goes once over the vectors: a task compares its rows in one product
-    of matrices and keeps k rows of a query, and what it kept is ranked.
+    Queries go to the tasks by broadcast, ``BLOCK`` of them (32 MB at width 64) in one pass over
+    the vectors; more take more passes. A task compares its rows with ``STEP`` queries in one product of
+    matrices and keeps k rows of each, and what the tasks kept is ranked.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    good = lambda df: df.where((F.size(vector) == width) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)))
-
-    def run_for(ids: list, q: np.ndarray) -> Callable:
-        sq = (q * q).sum(1)
+    good = lambda df: df.where((F.size(vector) == width) & ~F.array_contains(vector, F.lit(float("nan")).cast("float")))
+    rows, asked = good(vectors.select(key, F.col(vector).cast("array<float>").alias(vector))), good(queries.select(key, F.col(vector).cast("array<float>").alias(vector)))
+    sc = vectors.sparkSession.sparkContext
 
+    def run_for(shared) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            sq = (q * q).sum(1)
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, distance, key
+            worst, kept, arrow = np.full(len(q), np.inf), 0, pa.string()
+
+            def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                at, d, keys = (np.concatenate(z) for z in zip(*held))
+                order = np.lexsort((keys, d, at))
+                at, d, keys = at[order], d[order], keys[order]
+                begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
+                return at[rank < k], d[rank < k], keys[rank < k]
+
             for batch in batches:
                 if not batch.num_rows:
                     continue
+                names, arrow = np.array(batch.column(0).to_pylist()), batch.column(0).type
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-                d = sq[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
-                kk = min(k, d.shape[1])
-                cut = np.partition(d, kk - 1, axis=1)[:, kk - 1 : kk] + 1e-9
-                r, c = np.nonzero(d <= cut)
-                exact = ((q[r] - x[c]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r.tolist()]).cast(batch.column(0).type), batch.column(0).take(pa.array(c)), pa.array(exact)], ["qid", key, "d"])
+                own = (x * x).sum(1)[None]
+                for lo in range(0, len(q), STEP):
+                    part = q[lo : lo + STEP]
+                    d = sq[lo : lo + STEP, None] + own - 2 * part @ x.T
+                    kk = min(k, d.shape[1])
+                    if kk == k:
+                        worst[lo : lo + STEP] = np.minimum(worst[lo : lo + STEP], np.partition(d, kk - 1, axis=1)[:, kk - 1])
+                    r, c = np.nonzero(d <= worst[lo : lo + STEP, None] + 1e-9)
+                    held.append((r + lo, ((part[r] - x[c]) ** 2).sum(1), names[c]))
+                    kept += len(r)
+                if kept > 4 * k * len(q) + 100_000:
+                    held[:] = [best()]
+                    kept = len(held[0][0])
+            if held:
+                at, d, keys = best()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at.tolist()]).cast(arrow), pa.array(keys.tolist()).cast(arrow), pa.array(d)], ["qid", key, "d"])
 
         return run
 
-    rows = good(vectors.select(key, vector))
     out = None
-    for block in _blocks(good(queries.select(key, vector)).orderBy(key).toLocalIterator(), BLOCK):
-        q = np.array([r[vector] for r in block], np.float64)
-        part = rows.mapInArrow(run_for([r[key] for r in block], q), f"qid {kind}, {key} {kind}, d double")
+    for block in _blocks(asked.orderBy(key).toLocalIterator(), BLOCK):
+        shared = sc.broadcast(([r[key] for r in block], np.array([r[vector] for r in block], np.float64)))
+        part = rows.mapInArrow(run_for(shared), f"qid {kind}, {key} {kind}, d double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return vectors.limit(0).select(F.col(key).alias("qid"), key, F.lit(0).alias("rn"))
@@ -86,52 +111,16 @@ def _blocks(rows: Iterator, size: int) -> Iterator[list]:
         yield held
 
 
-# ---------------------------------------------------------------- BM25
-
-
-def phrases_of(text: str) -> list[list[str]]:
-    """The phrases of a query: each search token's terms, empty ones left out."""
-    return [p for p in map(parted, search_tokens(text)) if p]
-
-
-def counted(chunks: DataFrame, phrases: list[list[str]], keep: Column, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """key, keep, dl (terms of all columns), f (occurrences of each phrase) of every row: one pass
-    over the texts, after which only these numbers move."""
-    kind = chunks.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, found = [], []
-            for texts in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                terms = [index_terms(t) for t in texts]
-                length.append(sum(map(len, terms)))
-                found.append([sum(occurrences(t, p) for t in terms) for p in phrases])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(length, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["key", "keep", "dl", "f"])
+def bm25(chunks: DataFrame, text: str, filters: Column | None = None, key: str = "id", columns: tuple[str, ...] = COLUMNS, index: DataFrame | None = None) -> DataFrame:
+    """Rows that hold every phrase in some column: key, score (see ``fulltext.bm25``).
 
-    rows = chunks.select(F.col(key).alias("key"), F.coalesce(keep, F.lit(False)).alias("keep"), *columns)
-    return rows.mapInArrow(run, f"key {kind}, keep boolean, dl long, f array<int>")
-
-
-def bm25(chunks: DataFrame, text: str, filters: Column | None = None, key: str = "id", columns: tuple[str, ...] = ("content", "name", "parent")) -> DataFrame:
-    """Rows that hold every phrase in some column: key, score (less is better).
-
-    Statistics are those of all rows, filters or not; idf of a phrase in half of the rows or more
-    is 1e-6. No phrase, no rows. The counts are written once to the shared folder; one row of
-    sums reaches the driver.
+    Without an index the postings of the query's terms are made in one pass over the texts and
+    written once to the shared folder.
     """
-    phrases = phrases_of(text)
-    if not phrases:
-        return chunks.limit(0).select(key, F.lit(0.0).alias("score"))
-    rows = checkpointed(counted(chunks, phrases, filters if filters is not None else F.lit(True), key, columns))
-    f = [F.col("f")[j].cast("double") for j in range(len(phrases))]
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count(F.when(x > 0, 1)).alias(f"n{j}") for j, x in enumerate(f)]).first()
-    score = F.lit(0.0)
-    for j, x in enumerate(f):
-        idf = float(np.log((stats["n"] - stats[f"n{j}"] + 0.5) / (stats[f"n{j}"] + 0.5)))
-        idf = idf if idf > 0 else 1e-6
-        score = score - F.lit(idf) * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avg"] or 1.0)))
-    every = functools.reduce(lambda a, b: a & b, [x > 0 for x in f])
-    return rows.where(every & F.col("keep")).select(F.col("key").alias(key), score.alias("score"))
+    if index is None:
+        terms = frozenset(t for p in phrases_of(text) for t in p)
+        index = checkpointed(postings(chunks, key, columns, terms)) if terms else postings(chunks, key, columns, terms)
+    return ranked_text(index, text, chunks.where(filters).select(key) if filters is not None else None, key)
 
 
 # ---------------------------------------------------------------- fusion
@@ -150,14 +139,14 @@ class Query:
     node_kinds: tuple[str, ...] = ()
     package: str = ""
     metadata_only: bool = False
-    columns: tuple[str, ...] = field(default=("content", "name", "parent"))
+    columns: tuple[str, ...] = field(default=COLUMNS)
 
     def checked(self) -> Query:
         """With bounds applied; ValueError for what cannot be asked."""
         if not self.text and not self.embedding:
             raise ValueError("a query is required")
-        package = self.package.strip("/") if not self.package.startswith("/") else self.package
-        if package in (".", "..") or package.startswith(("/", "../")) or "/../" in package:
+        package = posixpath.normpath(self.package) if self.package else ""
+        if package in (".", "..") or package.startswith(("/", "../")):
             raise ValueError("package must be a folder within the project")
         for p in self.paths:
             if p.startswith("/") or ".." in p.split("/") or "**" in (p[:-3] if p.endswith("/**") else p):
@@ -182,31 +171,42 @@ class Query:
         return bool(self.languages or self.names or self.node_kinds or self.globs())
 
 
-def fused(chunks: DataFrame, q: Query, fetch: int) -> DataFrame:
-    """Candidates by reciprocal ranks: id, score. Each side gives its best ``fetch`` rows; the
-    vector side is filtered before its cut only by one language, the text side by all attributes."""
-    sides = []
+def sides(chunks: DataFrame, q: Query, fetch: int, index: DataFrame | None = None) -> DataFrame:
+    """The best ``fetch`` rows of each side: id, rn (place on its side).
+
+    The vector side is filtered before its cut only by one language, the text side by all attributes.
+    """
+    found = []
     if q.embedding:
         rows = chunks.where(F.col("language") == q.languages[0]) if len(q.languages) == 1 else chunks
-        sides.append(nearest(rows, list(q.embedding), fetch))
+        found.append(nearest(rows, list(q.embedding), fetch))
     if q.text:
-        ranked = bm25(chunks, q.text, q.attributes(), columns=q.columns).orderBy("score", "id").limit(fetch)
-        sides.append(ranked.withColumn("rn", F.row_number().over(W.orderBy("score", "id"))).select("id", "rn"))
-    both = functools.reduce(lambda a, b: a.unionByName(b), sides)
+        some = q.attributes() if q.languages or q.names or q.node_kinds else None
+        ranked = bm25(chunks, q.text, some, columns=q.columns, index=index).orderBy("score", "id").limit(fetch)
+        found.append(ranked.withColumn("rn", F.row_number().over(W.orderBy("score", "id"))).select("id", "rn"))
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
+def fused(chunks: DataFrame, q: Query, fetch: int, index: DataFrame | None = None, ranked: DataFrame | None = None) -> DataFrame:
+    """Candidates by reciprocal ranks: id, score; of each side its best ``fetch`` rows. ``ranked``
+    are the sides, if they are known to that depth."""
+    both = (sides(chunks, q, fetch, index) if ranked is None else ranked).where(F.col("rn") <= fetch)
     return both.groupBy("id").agg(F.sum(1.0 / (RRF + F.col("rn"))).cast("float").alias("score"))
 
 
-def search(chunks: DataFrame, q: Query) -> DataFrame:
+def search(chunks: DataFrame, q: Query, index: DataFrame | None = None) -> DataFrame:
     """One page of results with rank ``rn`` and ``score``, best first.
 
     The fetch starts at three times what the page needs; while filters leave the page short it is
-    tripled, at most twice, as fused scores depend on the cut. Ids must be unique.
+    tripled, at most twice, as fused scores depend on the cut. The sides are ranked once, to the
+    greatest depth that may be asked for. Ids must be unique. ``index`` are stored postings.
     """
     q = q.checked()
     fetch = (q.limit + q.offset) * 3
     wanted = [c for c in chunks.columns if not (q.metadata_only and c in ("content", "content_hash")) and c not in ("score", "rn")]
+    ranked = checkpointed(sides(chunks, q, fetch * 9 if q.filtered() else fetch, index))
     for turn in range(3):
-        hits = fused(chunks, q, fetch)
+        hits = fused(chunks, q, fetch, ranked=ranked)
         kept = chunks.select(*wanted).join(F.broadcast(hits), "id").where(q.attributes() & matches_any(F.col("file_path"), q.globs()))
         order = W.orderBy(F.desc("score"), "id")
         page = kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn").between(q.offset + 1, q.offset + q.limit)).withColumn("rn", F.col("rn") - q.offset)

@@ -16,6 +16,8 @@ from tessera.operators import graph as G
 from tessera.operators import indexing as I
 from tessera.operators import repomap as M
 from tessera.operators import search as S
+from tessera.operators.fulltext import postings
+from tessera.session import checkpointed
 from tessera.sources.tables import table
 from tessera.streaming import watch as E
 
@@ -38,6 +40,9 @@ def query(sql: str | None = None):
 #: Repeated rows of an id are told apart by these, greatest first, and then by having a vector.
 _ORDER = [f"coalesce({c}, '')" for c in ("language", "name", "parent", "file_path", "node_kind")] + ["coalesce(start_line, 0)", "coalesce(end_line, 0)"]
 
+_ONE = f"""c AS (SELECT id, file_path, lower(nullif(language, '')) AS language, content, content_hash, node_kind, nullif(name, '') AS name, nullif(parent, '') AS parent, start_line, end_line, embedding
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(f'{o} DESC' for o in _ORDER)}, (embedding IS NOT NULL) DESC) AS one FROM chunks WHERE id IS NOT NULL) t WHERE one = 1)"""
+
 
 def plain(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """One row per chunk id, the first by ``_ORDER``: language in lower case, and null for the empty
@@ -90,62 +95,116 @@ def tokenize_identifiers(spark, sf):
     return names.select("name", F.array_join(X.words_of(F.col("name")), " ").alias("tokens"))
 
 
-@query()
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Search tokens of distinct words (table dw of words w).
+_TOKENS = r"""wp AS (SELECT w, regexp_extract(w, '^([^\p{L}\p{Nd}_]*)', 1) AS head, regexp_replace(regexp_replace(w, '^[^\p{L}\p{Nd}_]+', ''), '[^\p{L}\p{Nd}_]+$', '') AS nm FROM dw),
+wsn AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(nm, '([^\p{Lu}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '_'), lambda x: x <> '') AS snake FROM wp),
+wpa AS (SELECT *, flatten(list_transform(snake, lambda x: list_concat([lower(replace(x, ' ', ''))], list_filter(list_transform(string_split(x, ' '), lambda y: lower(y)), lambda y: y <> '')))) AS parts FROM wsn),
+wu AS (SELECT *, list_filter(parts, lambda x, i: list_position(parts, x) = i) AS uniq FROM wpa),
+wt AS (SELECT w, CASE WHEN NOT regexp_matches(w, '\p{L}') THEN [w] ELSE list_concat(CASE WHEN head <> '' THEN [head] ELSE [] END, CASE WHEN len(uniq) <= 1 THEN [lower(nm)] ELSE list_concat([lower(nm)], list_filter(uniq, lambda x: x <> lower(nm))) END) END AS toks FROM wu)"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), ww AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{_BLANK}')) AS w, generate_subscripts(regexp_split_to_array(text, '{_BLANK}'), 1) AS i FROM d),
+dw AS (SELECT DISTINCT w FROM ww WHERE w <> ''), {_TOKENS} SELECT d.doc_id, coalesce(any_value(t.tokens), []) AS tokens FROM d LEFT JOIN (SELECT doc_id, flatten(list(toks ORDER BY i)) AS tokens FROM ww JOIN wt USING (w) GROUP BY doc_id) t USING (doc_id) GROUP BY d.doc_id"""
+)
 def tokenize_text(spark, sf):
-    """Search tokens of all texts by source."""
+    """The search tokens of every text."""
 
     def run(batches):
         for batch in batches:
-            n = [len(terms.search_tokens(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["source", "n"])
+            tokens = [terms.search_tokens(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "tokens"])
+
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<string>")
+
 
-    counts = table(spark, sf, "documents").select("source", "text").mapInArrow(run, "source string, n long")
-    return counts.groupBy("source").agg(F.sum("n").alias("tokens"))
+def _bm25_sql(words: list[str], where: str = "true") -> str:
+    """SQL of the table bm (id, score) for one-word phrases, by the definition of the score."""
+    each = range(len(words))
+    return f"""tx AS (SELECT id, content AS t FROM c UNION ALL SELECT id, name FROM c UNION ALL SELECT id, parent FROM c), ww AS (SELECT id, unnest(regexp_split_to_array(t, '{_BLANK}')) AS w FROM tx WHERE t IS NOT NULL),
+dw AS (SELECT DISTINCT w FROM ww WHERE w <> ''), {_TOKENS}, wm AS (SELECT w, flatten(list_transform(toks, lambda x: list_filter(regexp_split_to_array(strip_accents(lower(x)), '[^\\p{{L}}\\p{{N}}]+'), lambda y: y <> ''))) AS ts FROM wt),
+ct AS (SELECT ww.id, sum(len(ts)) AS dl, {', '.join(f"sum(len(list_filter(ts, lambda x: x = '{w}'))) AS f{j}" for j, w in enumerate(words))} FROM ww JOIN wm USING (w) GROUP BY ww.id),
+al AS (SELECT c.*, coalesce(dl, 0) AS dl, {', '.join(f"coalesce(f{j}, 0)::DOUBLE AS f{j}" for j in each)} FROM c LEFT JOIN ct USING (id)),
+st AS (SELECT count(*) AS n, avg(dl) AS av, {', '.join(f"count(*) FILTER (WHERE f{j} > 0) AS n{j}" for j in each)} FROM al),
+bm AS (SELECT id, {' '.join(f"- (CASE WHEN ln((n - n{j} + 0.5) / (n{j} + 0.5)) > 0 THEN ln((n - n{j} + 0.5) / (n{j} + 0.5)) ELSE 1e-6 END) * f{j} * 2.2 / (f{j} + 1.2 * (0.25 + 0.75 * dl / av))" for j in each)} AS score FROM al, st WHERE {' AND '.join(f"f{j} > 0" for j in each)} AND {where})"""
 
 
-@query()
+@query(f"WITH {_ONE}, {_bm25_sql(['return', 'total'])} SELECT id, round(score, 9) AS score FROM bm")
 def bm25_search(spark, sf):
     hits = S.bm25(chunks(spark, sf), "return total")
     return hits.select("id", F.round("score", 9).alias("score"))
 
 
-@query()
+_SOME = "language IN ('go', 'python') AND node_kind = 'function_declaration'"
+
+
+@query(f"WITH {_ONE}, {_bm25_sql(['return', 'total'], _SOME)} SELECT id, round(score, 9) AS score FROM bm")
 def bm25_filtered(spark, sf):
     hits = S.bm25(chunks(spark, sf), "return total", F.col("language").isin("go", "python") & (F.col("node_kind") == "function_declaration"))
     return hits.select("id", F.round("score", 9).alias("score"))
 
 
+@query(f"WITH {_ONE}, {_bm25_sql(['return', 'total'])} SELECT id, round(score, 9) AS score FROM bm")
+def bm25_indexed(spark, sf):
+    """The same over all postings, as an index stores them."""
+    c = chunks(spark, sf)
+    return S.bm25(c, "return total", index=checkpointed(postings(c))).select("id", F.round("score", 9).alias("score"))
+
+
 def _vector(spark, sf) -> tuple[float, ...]:
     """The vector of the least chunk id that has one."""
     row = table(spark, sf, "chunks").where(F.size("embedding") == 64).where(F.forall("embedding", lambda x: ~F.isnan(x))).agg(F.min_by("embedding", "id").alias("e")).first()
     return tuple(row["e"] or [0.0] * 64)
 
 
-@query()
+_KNN = """qv AS (SELECT arg_min(embedding, id) AS q FROM chunks WHERE len(embedding) = 64 AND NOT list_contains(embedding, 'nan'::FLOAT) AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+kd AS (SELECT id, list_sum(list_transform(list_zip(q, embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM c, qv WHERE len(embedding) = 64 AND NOT list_contains(embedding, 'nan'::FLOAT)),
+kr AS (SELECT id, row_number() OVER (ORDER BY round(d, 12), id) AS rn FROM kd WHERE d IS NOT NULL), br AS (SELECT id, row_number() OVER (ORDER BY round(score, 12), id) AS rn FROM bm)"""
+
+
+def _rrf(fetch: str) -> str:
+    return f"SELECT id, sum(1.0::DOUBLE / (60 + rn))::FLOAT AS score FROM (SELECT * FROM kr WHERE rn <= {fetch} UNION ALL SELECT * FROM br WHERE rn <= {fetch}) t GROUP BY id"
+
+
+@query(f"WITH {_ONE}, {_bm25_sql(['emittrace', 'emit', 'trace'])}, {_KNN} SELECT id, round(score::DOUBLE, 9) AS score FROM ({_rrf('30')})")
 def rrf_hybrid(spark, sf):
     return S.fused(chunks(spark, sf), S.Query("emitTrace", _vector(spark, sf)), 30).select("id", F.round(F.col("score").cast("double"), 9).alias("score"))
 
 
-@query()
+@query(f"WITH {_ONE}, {_bm25_sql(['return', 'total'])}, {_KNN} SELECT rn - 10 AS rn, id, file_path FROM (SELECT h.id, c.file_path, row_number() OVER (ORDER BY h.score DESC, h.id) AS rn FROM ({_rrf('60')}) h JOIN c USING (id)) t WHERE rn BETWEEN 11 AND 20")
 def hybrid_paged(spark, sf):
     return S.search(chunks(spark, sf), S.Query("return total", _vector(spark, sf), limit=10, offset=10)).select("rn", "id", "file_path")
 
 
-@query()
+_WANTED = "language IN ('go', 'c') AND node_kind IN ('function_declaration', 'function_definition')"
+
+
+@query(
+    f"WITH {_ONE}, {_bm25_sql(['total'], _WANTED)}, {_KNN}, hs AS ({' UNION ALL '.join(f'SELECT {n} AS reach, * FROM ({_rrf(str(n))})' for n in (60, 180, 540))}),"
+    f" kp AS (SELECT reach, h.id, c.language, row_number() OVER (PARTITION BY reach ORDER BY h.score DESC, h.id) AS rn FROM hs h JOIN c USING (id) WHERE {_WANTED} AND c.file_path LIKE 'fernhollow/%'),"
+    " ch AS (SELECT coalesce(min(reach), 540) AS reach FROM (SELECT reach FROM kp GROUP BY reach HAVING count(*) >= 20)) SELECT rn, id, language FROM kp JOIN ch USING (reach) WHERE rn <= 20"
+)
 def hybrid_deepening(spark, sf):
     q = S.Query("total", _vector(spark, sf), limit=20, languages=("go", "c"), node_kinds=("function_declaration", "function_definition"), paths=("fernhollow/**",))
     return S.search(chunks(spark, sf), q).select("rn", "id", "language")
 
 
+@query(
+    f"WITH {_ONE}, {_bm25_sql(['return', 'total'], 'true')}, {_KNN}, pg AS (SELECT h.id, c.content, row_number() OVER (ORDER BY h.score DESC, h.id) AS rn FROM ({_rrf('90')}) h JOIN c USING (id) WHERE c.file_path LIKE 'fernhollow/%' OR regexp_matches(c.file_path, '^[^/]*/core/[^/]*$'))"
+    " SELECT rn, id FROM (SELECT *, sum(octet_length(encode(content)) // 4) OVER (ORDER BY rn) AS spent FROM pg WHERE rn <= 30) t WHERE rn = 1 OR spent <= 500"
+)
+def hybrid_package(spark, sf):
+    """A page of what is in a package or matches a pattern, without deepening beyond the first fetch that fills it, under 500 tokens."""
+    q = S.Query("return total", _vector(spark, sf), limit=30, paths=("*/core/*",), package="fernhollow", max_tokens=500)
+    return S.search(chunks(spark, sf), q).select("rn", "id")
+
+
 @query("SELECT path FROM (SELECT DISTINCT path FROM files) f WHERE regexp_matches(path, '^[^/]*/core/[^/]*\\.go$|^fernhollow/.*$|^[^/]*/src/model/[a-m][^/]*\\.py$')")
 def path_glob_filter(spark, sf):
     return table(spark, sf, "files").select("path").distinct().where(matches_any(F.col("path"), GLOBS))
 
 
-_ONE = f"""c AS (SELECT id, file_path, lower(nullif(language, '')) AS language, content, content_hash, node_kind, nullif(name, '') AS name, nullif(parent, '') AS parent, start_line, end_line, embedding
-FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(f'{o} DESC' for o in _ORDER)}, (embedding IS NOT NULL) DESC) AS one FROM chunks WHERE id IS NOT NULL) t WHERE one = 1)"""
-
-
 @query(
     f"""
 WITH {_ONE}, r AS (SELECT id, content, split_part(file_path, '/', 1) AS repo, row_number() OVER (PARTITION BY split_part(file_path, '/', 1) ORDER BY file_path, start_line, id) AS rn FROM c)
@@ -440,10 +499,24 @@ def bucketize(spark, sf):
     return I.bucketize(rows, "tokens", "doc_id", spread=F.pmod("doc_id", F.lit(64)))
 
 
-@query()
+#: Rules of the root and of folders, and the same as (folder, number, pattern, negated, folders only) for SQL.
+_LAYERS = {"fernhollow": ["!*.min.js", "src/", "*_test.go"], "fernhollow/src": ["!model"], "quarrystone/lib": ["*", "!query/", "!*.py"]}
+_RULES = r"""(VALUES ('.', 0, '^(.*/)?[^/]*\.min\.js$', false, false), ('.', 1, '^(.*/)?vendor$', false, true), ('.', 2, '^larkspur-ui/api$', false, false), ('.', 3, '^(.*/)?build_[^/]*$', false, false), ('.', 4, '^(.*/)?build_info$', true, false),
+('.', 5, '^(.*/)?node_modules$', false, true), ('.', 6, '^gen/.*$', false, false), ('.', 8, '^report/[^a-k][^/]*\.json$', false, false),
+('fernhollow', 0, '^(.*/)?[^/]*\.min\.js$', true, false), ('fernhollow', 1, '^(.*/)?src$', false, true), ('fernhollow', 2, '^(.*/)?[^/]*_test\.go$', false, false), ('fernhollow/src', 0, '^(.*/)?model$', true, false),
+('quarrystone/lib', 0, '^(.*/)?[^/]*$', false, false), ('quarrystone/lib', 1, '^(.*/)?query$', true, true), ('quarrystone/lib', 2, '^(.*/)?[^/]*\.py$', true, false)) AS r(dir, no, rx, neg, fo)"""
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT path, string_split(path, '/') AS x FROM files), s AS (SELECT path, array_to_string(x[:i], '/') AS pre, i < len(x) AS folder FROM (SELECT path, x, unnest(range(1, len(x) + 1)) AS i FROM p)),
+st AS (SELECT s.path, pre, folder, arg_max(neg, (CASE WHEN dir = '.' THEN 0 ELSE len(string_split(dir, '/')) END, no)) AS neg FROM s JOIN {_RULES} ON (dir = '.' OR starts_with(pre, dir || '/')) AND (folder OR NOT fo) AND regexp_matches(CASE WHEN dir = '.' THEN pre ELSE substr(pre, len(dir) + 2) END, rx) GROUP BY ALL)
+SELECT path FROM p WHERE path NOT IN (SELECT path FROM st WHERE NOT neg) AND NOT regexp_matches(path, '\.yaml$') AND regexp_matches(lower(path), '\.(py|go|js|ts|c|json)$')"""
+)
 def ignore_rules(spark, sf):
+    """Paths that the ignore files of their folders and of the root, globs and extensions let through."""
     paths = table(spark, sf, "files").select("path").distinct()
-    return I.candidates(paths, IGNORES, exclude=["*.yaml"], extensions=[".py", ".go", ".js", ".ts", ".c", ".json"])
+    files = spark.createDataFrame([(f"{d}/.gitignore", "\n".join(lines)) for d, lines in _LAYERS.items()] + [(".gitignore", "\n".join(IGNORES))], "path string, content string")
+    return I.candidates(paths, [], exclude=["*.yaml"], extensions=[".py", ".go", ".js", ".ts", ".c", ".json"], below=I.ignore_rules(files))
 
 
 @query("SELECT DISTINCT e.file_path FROM edges e WHERE e.dst_name IS NOT NULL")
