@@ -219,9 +219,8 @@ class Engine:
         name, limit = symbol(name, limit)
         t = self.tables()
         G.require_graph(t["edges"])
-        ids = G.symbols(self.symbols()).where(F.col("name") == name).select(F.col("id").alias("src_id"))
-        mine = t["edges"].join(ids, "src_id", "left_semi")
-        return self._refs(G.callees(mine, self.symbols(), t["imports"]), name, limit, ["ref_file", "line", "name"], "callees of")
+        mine = G.edges_of(t["edges"], self.symbols(), name)
+        return self._refs(G.callees(mine, self.symbols(), G.imports_of(t["imports"], mine)), name, limit, ["ref_file", "line", "name"], "callees of")
 
     def impact(self, name: str, depth: int = G.DEPTH, limit: int = 50) -> References:
         name, limit = symbol(name, limit)

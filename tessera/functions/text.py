@@ -91,3 +91,23 @@ def line_range(start: Column, end: Column) -> Column:
 
 def project_hash(path: Column) -> Column:
     return F.sha1(F.trim(path, F.lit("/")))
+
+
+def path_tail(path: Column, width: int) -> Column:
+    """The last signs of a path with an ellipsis before them, if it has more than ``width``; none for no width."""
+    if width <= 0:
+        return F.when(path.isNotNull(), F.lit(""))
+    return F.when(F.char_length(path) <= width, path).otherwise(F.concat(F.lit("…"), F.substring(path, -(width - 1), width - 1) if width > 1 else F.lit("")))
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes in units of 1024, with one decimal from a KiB on."""
+    out = F.format_string("%.1f PiB", n / F.lit(2.0**50))
+    for power, unit in ((40, "TiB"), (30, "GiB"), (20, "MiB"), (10, "KiB")):
+        out = F.when(n < F.lit(2 ** (power + 10)), F.format_string(f"%.1f {unit}", n / F.lit(2.0**power))).otherwise(out)
+    return F.when(n < 1024, F.format_string("%d B", n)).otherwise(out)
+
+
+def truncated(tokens: Column, most: int = 512) -> Column:
+    """The leading tokens an embedder takes."""
+    return F.slice(tokens, 1, most)

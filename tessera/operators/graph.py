@@ -48,6 +48,16 @@ def attribute(edges: DataFrame, chunks: DataFrame, step: int = 64) -> DataFrame:
     return edges.join(hits, ["file_path", "line"], "left").select(*edges.columns, "chunk_id")
 
 
+def edges_of(edges: DataFrame, chunks: DataFrame, name: str) -> DataFrame:
+    """The edges that begin in definitions of a name."""
+    return edges.join(symbols(chunks).where(F.col("name") == name).select(F.col("id").alias("src_id")), "src_id", "left_semi")
+
+
+def imports_of(imports: DataFrame, edges: DataFrame) -> DataFrame:
+    """The imports of the files that edges are in."""
+    return imports.join(edges.select("file_path").distinct(), "file_path", "left_semi")
+
+
 def module_tail(module: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(module, "/+$", ""), "([^/]*)$", 1)
 

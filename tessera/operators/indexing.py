@@ -141,6 +141,11 @@ def not_ignored(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataF
     return paths.join(gone.withColumnRenamed("_p", path), path, "left_anti")
 
 
+def delete_by_file(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the rows of some files (path)."""
+    return {n: t.join(gone.select(F.col("path").alias(k)).distinct(), k, "left_anti") for n, t in tables.items() for k in ["path" if n == "files" else "file_path"]}
+
+
 def candidates(paths: DataFrame, rules: list[str], include: list[str] = (), exclude: list[str] = (), extensions: list[str] = (), path: str = "path", below: DataFrame | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
     """Paths the walker would give: no ignore files themselves, no ignored paths, then excluded and
     included globs (by name or whole path), then extensions; ``SKIPPED`` folders are never entered.

@@ -16,7 +16,7 @@ from tessera.operators import graph as G
 from tessera.operators import indexing as I
 from tessera.operators import repomap as M
 from tessera.operators import search as S
-from tessera.operators.fulltext import postings
+from tessera.operators.fulltext import phrases_of, postings
 from tessera.session import checkpointed
 from tessera.sources.tables import table
 from tessera.streaming import watch as E
@@ -535,3 +535,79 @@ def upsert_files(spark, sf):
     new = table(spark, sf, "file_scans").where("content_hash IS NOT NULL AND path IS NOT NULL").select("path", "content_hash", "scan_id")
     cur = I.current_files(table(spark, sf, "files")).select("path", "content_hash")
     return I.upsert(cur, new, "path", "scan_id").select("path", "content_hash")
+
+
+# ---------------------------------------------------------------- scalars, look-ups and filters
+
+
+@query("SELECT DISTINCT path, '…' || right(path, 23) AS tail, sha1(trim(path, '/')) AS project, regexp_extract(lower(path), '(\\.[^./]*)$', 1) AS ext FROM files WHERE path IS NOT NULL AND length(path) > 24 UNION SELECT DISTINCT path, path, sha1(trim(path, '/')), regexp_extract(lower(path), '(\\.[^./]*)$', 1) FROM files WHERE length(path) <= 24")
+def path_labels(spark, sf):
+    """Paths as they are shown in 24 signs, their hash as a project's folder, and their extension."""
+    p = F.col("path")
+    return table(spark, sf, "files").where(p.isNotNull()).select("path", X.path_tail(p, 24).alias("tail"), X.project_hash(p).alias("project"), X.extension(p).alias("ext")).distinct()
+
+
+@query("SELECT DISTINCT doc_id, n_chars, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0) WHEN b < 1099511627776 THEN printf('%.1f GiB', b / 1073741824.0) ELSE printf('%.1f TiB', b / 1099511627776.0) END AS size FROM (SELECT doc_id, n_chars, n_chars::BIGINT * n_chars * 7 AS b FROM documents WHERE n_chars IS NOT NULL) t")
+def byte_labels(spark, sf):
+    """Numbers of bytes as they are shown; the square of a text's length, so that all units occur."""
+    rows = table(spark, sf, "documents").where("n_chars IS NOT NULL")
+    return rows.select("doc_id", "n_chars", X.human_bytes(F.col("n_chars") * F.col("n_chars") * 7).alias("size")).distinct()
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), ww AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{_BLANK}')) AS w, generate_subscripts(regexp_split_to_array(text, '{_BLANK}'), 1) AS i FROM d),
+dw AS (SELECT DISTINCT w FROM ww WHERE w <> ''), {_TOKENS} SELECT d.doc_id, coalesce(any_value(t.tokens), [])[:32] AS tokens FROM d LEFT JOIN (SELECT doc_id, flatten(list(toks ORDER BY i)) AS tokens FROM ww JOIN wt USING (w) GROUP BY doc_id) t USING (doc_id) GROUP BY d.doc_id"""
+)
+def truncated_tokens(spark, sf):
+    """What an embedder that takes 32 tokens gets of every text."""
+    return tokenize_text(spark, sf).select("doc_id", X.truncated(F.col("tokens"), 32).alias("tokens"))
+
+
+@query(
+    f"WITH dw AS (SELECT DISTINCT name AS w FROM chunks WHERE name <> '' AND NOT regexp_matches(name, '\\s')), {_TOKENS} SELECT w AS name, array_to_string(list_filter(list_transform(toks, lambda t: array_to_string(list_filter(regexp_split_to_array(strip_accents(lower(t)), '[^\\p{{L}}\\p{{N}}]+'), lambda y: y <> ''), ' ')), lambda z: z <> ''), '|') AS phrases FROM wt"
+)
+def query_phrases(spark, sf):
+    """The phrases a search for each name asks for."""
+
+    def run(batches):
+        for batch in batches:
+            got = ["|".join(" ".join(p) for p in phrases_of(n)) for n in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["name", "phrases"])
+
+    return table(spark, sf, "chunks").select("name").where("name <> ''").where(~F.col("name").rlike("\\s")).distinct().mapInArrow(run, "name string, phrases string")
+
+
+@query(f"WITH {_ONE} SELECT id, file_path, language, name, node_kind, start_line, end_line FROM c WHERE language IN ('go', 'python') AND node_kind IN ('function_declaration', 'function_definition') AND (regexp_matches(file_path, '^[^/]*/core/[^/]*$') OR file_path LIKE 'fernhollow/%')")
+def search_filters(spark, sf):
+    """What the filters of a query let through: attributes, and paths or package; without contents."""
+    q = S.Query("x", languages=("go", "python"), node_kinds=("function_declaration", "function_definition"), paths=("*/core/*",), package="fernhollow/").checked()
+    rows = plain(spark, sf).where(q.attributes() & matches_any(F.col("file_path"), q.globs()))
+    return rows.select("id", "file_path", "language", "name", "node_kind", "start_line", "end_line")
+
+
+@query(f"WITH {_ONE}, top AS (SELECT name FROM c WHERE name IS NOT NULL AND id IN (SELECT src_id FROM edges) GROUP BY name ORDER BY count(*) DESC, name LIMIT 1), e AS (SELECT * FROM edges WHERE src_id IN (SELECT id FROM c WHERE name = (SELECT name FROM top))) SELECT 'edge' AS what, file_path, dst_name AS value, line FROM e UNION ALL SELECT 'import', file_path, module, line FROM imports WHERE file_path IN (SELECT file_path FROM e)")
+def graph_lookups(spark, sf):
+    """The edges of the most frequent name that has some, and the imports of their files."""
+    c, edges = plain(spark, sf), table(spark, sf, "edges")
+    top = c.where("name IS NOT NULL").join(edges.select(F.col("src_id").alias("id")).distinct(), "id", "left_semi").groupBy("name").count().orderBy(F.desc("count"), "name").first()
+    mine = G.edges_of(edges, c, top["name"] if top else "")
+    imports = G.imports_of(table(spark, sf, "imports"), mine)
+    return mine.select(F.lit("edge").alias("what"), "file_path", F.col("dst_name").alias("value"), "line").unionByName(imports.select(F.lit("import").alias("what"), "file_path", F.col("module").alias("value"), "line"))
+
+
+@query(
+    f"WITH {_CUR}, {_SEEN}, gone AS (SELECT path FROM sn WHERE op = 'remove') SELECT what, file_path, count(*) AS n FROM (SELECT 'files' AS what, path AS file_path FROM cur UNION ALL SELECT 'chunks', file_path FROM chunks UNION ALL SELECT 'edges', file_path FROM edges UNION ALL SELECT 'imports', file_path FROM imports) t WHERE file_path NOT IN (SELECT path FROM gone) GROUP BY ALL"
+)
+def delete_by_file(spark, sf):
+    """Rows of each table and file after the removed files are gone."""
+    tables = {"files": I.current_files(table(spark, sf, "files")).select("path")} | {n: table(spark, sf, n).select("file_path") for n in ("chunks", "edges", "imports")}
+    left = I.delete_by_file(tables, seen(spark, sf).where("op = 'remove'"))
+    parts = [df.select(F.lit(n).alias("what"), F.col(df.columns[0]).alias("file_path")) for n, df in left.items()]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("what", "file_path").agg(F.count("*").alias("n"))
+
+
+@query("SELECT path, CASE WHEN bool_or(op = 'remove') THEN 'remove' WHEN bool_or(op = 'create') THEN 'create' ELSE 'write' END AS op FROM file_scans WHERE path IS NOT NULL AND op IN ('create', 'write', 'remove') GROUP BY path")
+def classified_events(spark, sf):
+    """One event of all that was seen of a path."""
+    bits = table(spark, sf, "file_scans").where("path IS NOT NULL").groupBy("path").agg(F.collect_set("op").alias("bits"))
+    return E.classify(bits).select("path", "op")
