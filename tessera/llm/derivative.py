@@ -257,6 +257,10 @@ class Grammar:
         self.pops[frame, link, bracket] = got
         return got
 
+    def remembered(self) -> int:
+        """Entries of the memo tables."""
+        return len(self.steps) + len(self.pushes) + len(self.pops) + len(self.frames) + len(self.links) + len(self.terms.nodes) + len(self.terms.derived)
+
     def accepts(self, frame: int) -> bool:
         return any(self.terms.nullable(v) for v in self.frames[frame][1])
 

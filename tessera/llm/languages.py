@@ -742,15 +742,45 @@ def _tools(language: str):
     }[language]
 
 
-def failure(text: str, language: str) -> str | None:
-    """None if the text parses, else what went wrong: ``token`` (no parse is left at some token)
-    or ``truncated`` (all tokens fit, but something is still open at the end)."""
+#: States and steps a worker remembers of a grammar before it forgets all.
+REMEMBERED = 2_000_000
+
+
+def place(text: str, language: str) -> tuple[str, int, int] | None:
+    """None if the text parses, else what went wrong and where: (``token``, its number, its line)
+    where no parse is left at some token, or (``truncated``, number of tokens, last line) where all
+    tokens fit, but something is still open at the end. Tokens count from 0, lines from 1.
+
+    The line is the first whose text, with what is before it, has the token.
+    """
     if language == "markdown":
         return None
     classes, source = _tools(language)
-    stream = classes(text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n") if language != "json" else text)
-    at = grammar(source).parse(stream)
-    return None if at < 0 else "truncated" if at == len(stream) else "token"
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n") if language != "json" else text
+    stream = classes(text)
+    rules = grammar(source)
+    at = rules.parse(stream)
+    if rules.remembered() > REMEMBERED:
+        grammar.cache_clear()
+    if at < 0:
+        return None
+    lines = text.split("\n")
+    if at == len(stream):
+        return "truncated", at, len(lines)
+    low, high = 1, len(lines)
+    while low < high:
+        middle = (low + high) // 2
+        if len(classes("\n".join(lines[:middle]))) > at:
+            high = middle
+        else:
+            low = middle + 1
+    return "token", at, low
+
+
+def failure(text: str, language: str) -> str | None:
+    """What went wrong (see ``place``), or None."""
+    got = place(text, language)
+    return got and got[0]
 
 
-__all__ = ["EXTENSIONS", "failure", "language_of", "OPENS", "CLOSES"]
+__all__ = ["EXTENSIONS", "failure", "place", "language_of", "OPENS", "CLOSES"]

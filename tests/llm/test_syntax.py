@@ -7,7 +7,7 @@ import pytest
 
 from tessera.llm.derivative import Grammar
 from tessera.llm.filetext import text_of
-from tessera.llm.languages import failure, language_of
+from tessera.llm.languages import failure, language_of, place
 from tessera.llm.syntax import file_syntax
 
 GOOD = {
@@ -137,3 +137,28 @@ def test_rows(spark):
     got = {r["file_path"]: (r["repo"], r["language"], r["problem"]) for r in file_syntax(df).collect()}
     assert got == {"r/a.py": ("r", "python", None), "r/b.js": ("r", "javascript", "truncated"), "r/c.md": ("r", "markdown", None), "e.json": ("e.json", "json", "truncated")}
     assert file_syntax(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "language, text, want",
+    [
+        ("python", "x = 1\ny = 2\nz = = 3\n", ("token", 3)),
+        ("python", "def f(:\n  pass\n", ("token", 1)),
+        ("javascript", "let a = 1;\n\nlet b = ;\n", ("token", 3)),
+        ("go", "package a\n\nfunc f() {\n\tx := 1\n", ("truncated", 5)),
+        ("json", '{"a": 1,\n "b": }', ("token", 2)),
+        ("c", "int x;\n<<<<<<< HEAD\nint y;\n", ("token", 2)),
+    ],
+)
+def test_place_of_the_failure(language, text, want):
+    problem, token, line = place(text, language)
+    assert (problem, line) == want and token >= 0
+    assert place("", "markdown") is None
+
+
+def test_memory_is_bounded(monkeypatch):
+    from tessera.llm import languages
+
+    monkeypatch.setattr(languages, "REMEMBERED", 0)
+    assert [failure(t, "json") for t in ("[1, 2]", "[1,", "[1, 2]")] == [None, "truncated", None]
+    assert languages.grammar.cache_info().currsize == 0
