@@ -85,7 +85,7 @@ class Config:
 
 
 DEFAULTS = Config(
-    extensions=(), include=(), exclude=(), ignore=(), ignore_files=(".gitignore",), max_file_size=1 << 20, embedding_model="hashing", embedding_width=64, query_prefix="", graph=True,
+    extensions=(), include=(), exclude=(), ignore=(), ignore_files=(".gitignore",), max_file_size=1 << 20, embedding_model="hashing", embedding_width=64, graph=True,
     non_code=NON_CODE, debounce="500ms", poll_interval="5s", stale_refresh=10, reindex_cooldown="30s", map_tokens=2000,
 )
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Config, duration, layered
+from tessera.models import lookup
 from tessera.operators import analysis as A
 from tessera.operators import graph as G
 from tessera.operators import indexing as I
@@ -47,7 +48,10 @@ class Engine:
         self.spark, self.config = prepare(spark), layered(config)
         if not self.config.root or not self.config.store:
             raise ValueError("root and store are required")
-        width = self.config.embedding_width
+        width, model = self.config.embedding_width, lookup(self.config.embedding_model)
+        if model.width and model.width != width:
+            raise ValueError(f"{self.config.embedding_model} has width {model.width}, not {width}")
+        self._prefix = model.query_prefix if self.config.query_prefix is None else self.config.query_prefix
         self.embed = embed or A.hashing_embedder(width)
         self.store = I.Store(spark, self.config.store, self.config.embedding_model, width)
         self._query_vector = functools.lru_cache(64)(self._embed_query)
@@ -156,7 +160,7 @@ class Engine:
     # ---- queries
 
     def _embed_query(self, text: str) -> tuple[float, ...]:
-        v = self.embed([self.config.query_prefix + text])[0]
+        v = self.embed([self._prefix + text])[0]
         if isinstance(v, Exception):
             raise v
         return tuple(float(x) for x in v)
@@ -200,9 +204,9 @@ class Engine:
             self._symbols = (version, checkpointed(slim))
         return self._symbols[1]
 
-    def map(self, max_tokens: int | None = None, code_only: bool = True) -> str:
+    def map(self, max_tokens: int | None = None, code_only: bool = True, summary: bool = True, marks: bool = True) -> str:
         named = M.mapped_symbols(self.symbols(), code_only, self.config.non_code)
-        return M.render(named, self.config.map_tokens if max_tokens is None else max_tokens)
+        return M.render(named, max(0, self.config.map_tokens if max_tokens is None else max_tokens), summary, marks)
 
     def _refs(self, rows: DataFrame, name: str, limit: int, order: list, relation: str, **how) -> References:
         got = [r.asDict() for r in G.formatted(rows, **how).orderBy(*order).limit(limit + 1).collect()]

@@ -87,13 +87,14 @@ def symbol_line(level: Column) -> Column:
     return F.concat(F.repeat(F.lit(" "), 2 + 2 * level), marked, "label", F.lit(" "), "name", "lines", F.lit("\n"))
 
 
-def file_lines(named: DataFrame) -> DataFrame:
+def file_lines(named: DataFrame, summary: bool = True, marks: bool = True) -> DataFrame:
     """Per file: package, file_path, symbols, text (its block of the map: path, summary of files
-    with many symbols, and symbols, those below another after it)."""
+    with many symbols, and symbols with their marks, those below another after it)."""
+    named = named if marks else named.withColumn("mark", F.lit(""))
     flat = _laid_out(named).select("package", "file_path", "id", F.struct("part", "at", "level", "start_line", "id", symbol_line(F.col("level")).alias("t")).alias("s"))
     blocks = flat.groupBy("package", "file_path").agg(F.countDistinct("id").alias("symbols"), F.array_sort(F.collect_list("s")).alias("l"))
     sums = kind_summary(named).select("file_path", F.concat(F.lit(" "), "summary").alias("summary"))
-    head = F.concat("file_path", F.coalesce("summary", F.lit("")), F.lit("\n"))
+    head = F.concat("file_path", F.coalesce("summary", F.lit("")) if summary else F.lit(""), F.lit("\n"))
     return blocks.join(sums, "file_path", "left").select("package", "file_path", "symbols", F.concat(head, F.array_join(F.transform("l", lambda x: x["t"]), ""), F.lit("\n")).alias("text"))
 
 
@@ -101,7 +102,7 @@ def package_header(package: Column, files: Column, symbols_: Column) -> Column:
     return F.concat(F.lit("# package: "), package, F.lit(" ("), files.cast("string"), F.lit(" files, "), symbols_.cast("string"), F.lit(" symbols)\n\n"))
 
 
-def budgeted(named: DataFrame, max_tokens: int) -> DataFrame:
+def budgeted(named: DataFrame, max_tokens: int, summary: bool = True, marks: bool = True) -> DataFrame:
     """The map's blocks in order, as far as the budget of four bytes a token goes: rn, package,
     file_path (null for the package's heading), symbols, text.
 
@@ -110,7 +111,7 @@ def budgeted(named: DataFrame, max_tokens: int) -> DataFrame:
     Every block has more than four bytes, so with a budget only its first ``max_tokens`` + 2 blocks
     are looked at in one task; without one they are numbered by ranges.
     """
-    files = file_lines(named)
+    files = file_lines(named, summary, marks)
     ranks = _packages(named).select("package", F.col("symbols").alias("all"), "files")
     heads = ranks.select("package", "all", F.lit(-1).cast("bigint").alias("less"), F.lit(None).cast("string").alias("file_path"), F.col("all").alias("symbols"), package_header(F.col("package"), F.col("files"), F.col("all")).alias("text"))
     blocks = heads.unionByName(files.join(ranks, "package").select("package", "all", F.lit(0).cast("bigint").alias("less"), "file_path", "symbols", "text"))
@@ -123,9 +124,9 @@ def budgeted(named: DataFrame, max_tokens: int) -> DataFrame:
     return out.where((F.col("rn") <= 2) | (F.col("spent") <= max_tokens * 4)).select("rn", "package", "file_path", "symbols", "text")
 
 
-def render(named: DataFrame, max_tokens: int) -> str:
+def render(named: DataFrame, max_tokens: int, summary: bool = True, marks: bool = True) -> str:
     """The map as text, with a closing line if files were left out."""
-    rows = budgeted(named, max_tokens).orderBy("rn").collect()
+    rows = budgeted(named, max_tokens, summary, marks).orderBy("rn").collect()
     text = "".join(r["text"] for r in rows)
     written = [r for r in rows if r["file_path"] is not None]
     total = named.agg(F.countDistinct("file_path").alias("f"), F.countDistinct("package").alias("p")).first()
