@@ -172,8 +172,7 @@ def walk(spark: SparkSession, root: str, max_size: int = 1 << 20, only: list[str
     read. With ``only`` those relative paths are looked at, and nothing else is.
     """
     files = listed(spark, root, SKIPPED) if only is None else stated(spark, root, only)
-    files = read(choose(files.where(F.col("size") <= max_size)), root)
-    return files.select("path", F.decode("data", "UTF-8").alias("content"), F.sha2("data", 256).alias("content_hash"), "mtime", "size")
+    return read(choose(files.where(F.col("size") <= max_size)), root).select("path", "content", "content_hash", "mtime", "size")
 
 
 def length_bucket(tokens, longest: int = 512):

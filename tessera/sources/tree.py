@@ -10,6 +10,7 @@ folders and links to nothing are left out.
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -98,23 +99,33 @@ def stated(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
 
 
 def read(files: DataFrame, root: str) -> DataFrame:
-    """Files (path, mtime, size) with their bytes, ``data``; those gone in the meantime are left out."""
+    """Files (path, mtime, size) with their text, ``content``, and the hash of their bytes, ``content_hash``.
+
+    What is no UTF-8 is replaced by the sign for it; files gone in the meantime are left out.
+    """
+    names = ["path", "mtime", "size", "content", "content_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _opened(root)
         for batch in batches:
-            at, data, size = [], [], 0
+            at, texts, hashes, size = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(texts, pa.string()), pa.array(hashes, pa.string())], names)  # noqa: B023
+
             for i, path in enumerate(batch.column(0).to_pylist()):
                 try:
                     with system.open_input_stream(f"{base}/{path}") as stream:
-                        data.append(stream.read())
+                        data = stream.read()
                 except FileNotFoundError:
                     continue
                 at.append(i)
-                size += len(data[-1])
+                texts.append(data.decode("utf-8", "replace"))
+                hashes.append(hashlib.sha256(data).hexdigest())
+                size += len(data)
                 if size >= BYTES:
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(data, pa.binary())], ["path", "mtime", "size", "data"])
-                    at, data, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(data, pa.binary())], ["path", "mtime", "size", "data"])
+                    yield made()
+                    at, texts, hashes, size = [], [], [], 0
+            yield made()
 
-    return files.select("path", "mtime", "size").mapInArrow(run, f"{LISTED}, data binary")
+    return files.select("path", "mtime", "size").mapInArrow(run, f"{LISTED}, content string, content_hash string")
