@@ -220,6 +220,9 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
             continue
         if any(a < end and begin < b for a, b in hidden):
             continue
+        plain = opaque(value)  # what is no secret by itself needs no name
+        if not plain and not ("-" in value or "_" in value or "." in value):
+            continue
         before = text[max(0, m.start() - 240) : m.start()]
         line = before.rpartition("\n")[2] if "\n" in before[-2:] else before[-240:]
         mark = re.search(r"(?<![\w])[rRbBuUfFL]{1,2}$", before)
@@ -230,7 +233,9 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
         if m[0][:1] == "`" and "${" in value:
             continue
         found = False
-        if known := FALLBACK.search(before):
+        if not plain:
+            pass
+        elif known := FALLBACK.search(before):
             named = next(g for g in known.groups() if g)
             left = re.search(r"([A-Za-z_$][\w$]*)\s*(?::\s*[\w\[\]<>|*.? ]{1,40})?(?::=|=|:)[^=\n]*$", before[: known.start()].rpartition("\n")[2] or before[: known.start()])
             found = secret(named, value) or bool(left) and secret(left[1], value)
