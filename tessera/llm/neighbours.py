@@ -2,7 +2,7 @@
 
 A bounded sample of the distinct vectors (``SAMPLE``, those of least hash) gives the mean, the
 principal axes and the plan; every vector is indexed. A vector is centred and turned to the
-principal axes. Its code has one digit for each level: the level's block of leading axes goes through
+principal axes. Its code has one digit for each level: the level's block of axes, the leading ones first, goes through
 a fast pseudo-rotation (three rounds of random signs and a Hadamard transform), and the digit is
 the nearest signed axis of the block's full cross-polytope. Each table has rotations of its own. A vector is stored under its
 nearest code and meets what is stored under its ``probes`` nearest ones; of two vectors it is
@@ -67,13 +67,14 @@ def pseudo_rotate(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
+#: Axes of the polytopes to choose from, by number of buckets.
+LADDER = ((8,), (16,), (32,), (8, 4), (8, 8), (16, 8), (16, 16), (8, 8, 8), (16, 16, 16), (32, 32, 32))
+
+
 def ladder(width: int) -> list[tuple[int, ...]]:
-    """Levels to choose from, by number of buckets: one polytope of up to 32 axes, then two, then three."""
+    """Levels to choose from; vectors of fewer than eight components have one polytope of them."""
     lead = 1 << int(math.log2(width))
-    one = [(d,) for d in (1, 2, 4, 8, 16, 32) if d <= lead]
-    one = [d for d in one if d[0] >= 8] or one[-1:]
-    two = [(one[-1][0], d) for d in (2, 4, 8, 16, 32) if d <= one[-1][0]]
-    return one + two + [(*two[-1], d[0]) for d in one if two]
+    return [levels for levels in LADDER if sum(levels) <= lead] or [(min(8, lead),)]
 
 
 @dataclass
@@ -99,7 +100,8 @@ class Hasher:
         for t in range(self.tables):
             code, loss = np.zeros((len(y), 1), np.int64), np.zeros((len(y), 1), np.float32)
             for level, dims in enumerate(self.levels):
-                r = pseudo_rotate(y[:, :dims], 1000 * t + level)
+                begin = sum(self.levels[:level])
+                r = pseudo_rotate(y[:, begin : begin + dims], 1000 * t + level)
                 v = np.concatenate([-r, r], axis=1)  # digit: axis, plus dims where positive
                 near = np.argsort(-v, axis=1, kind="stable")[:, : min(most, 2 * dims)]
                 v = np.take_along_axis(v, near, 1)
@@ -132,8 +134,8 @@ class Hasher:
             before, worse = least, worse + 1
             stored, wide = self._with(levels, TABLES), self._with(levels, TABLES)
             wide.probes = min(wide.buckets, PROBES) if len(levels) > 1 else wide.buckets
-            if worse > 2 or wide.buckets > max(4 * n, 4 * levels[0]):
-                break  # twice no better, or hardly a vector in a bucket
+            if worse > 3 or wide.buckets > max(4 * n, 4 * levels[0]):
+                break  # three times no better, or hardly a vector in a bucket
             first = np.full(len(q), wide.probes, np.int64)
             for t, (a, b, own) in enumerate(zip(wide.codes(queries), wide.codes(near), stored.codes(sample)), 1):
                 _, share = np.unique(own[:, 0], return_counts=True)

@@ -90,7 +90,7 @@ def test_levels_and_probes_follow_the_number():
 
 
 def test_every_bucket_is_reached_and_codes_are_distinct():
-    h = N.Hasher(np.zeros(8, np.float32), np.eye(8, dtype=np.float32), (8, 2), 2, 64)
+    h = N.Hasher(np.zeros(8, np.float32), np.eye(8, dtype=np.float32), (4, 4), 2, 64)
     for code in h.codes(vectors(30, 8)):
         assert all(len(set(row)) == 64 for row in code.tolist())
 
