@@ -26,30 +26,40 @@ DEFINES = re.compile(rb"[ \t]*(?:@|def |class |async |func |function |export |pu
 _TABLE = np.random.default_rng(2024).integers(0, 2**62, 256, dtype=np.uint64)
 
 
-def landmarks(data: bytes, span: int = SPAN, bits: int = BITS) -> np.ndarray:
+def landmarks(data: bytes, span: int = SPAN, bits: int = BITS, block: int = 1 << 20) -> np.ndarray:
     """Places where the rolling hash of the ``span`` bytes before has its low bits zero.
 
-    The hash is a buzhash: each byte's random word, turned by its age; computed for all places
-    at once as an exclusive-or of turned tables.
+    The hash is a buzhash: each byte's random word, turned by its age; computed for all places of
+    a block at once as an exclusive-or of turned tables, so memory is that of a block.
     """
-    x = _TABLE[np.frombuffer(data, np.uint8)]
-    n = len(x) - span + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for age in range(span):
-        turn = np.uint64(age % 64)
-        part = x[span - 1 - age : span - 1 - age + n]
-        h ^= (part << turn) | (part >> (np.uint64(64) - turn) if turn else part)
-    return np.flatnonzero((h & np.uint64((1 << bits) - 1)) == 0) + span
+    found = [np.zeros(0, np.int64)]
+    for lo in range(0, len(data) - span + 1, block):
+        x = _TABLE[np.frombuffer(data[lo : lo + block + span - 1], np.uint8)]
+        n = len(x) - span + 1
+        h = np.zeros(n, np.uint64)
+        for age in range(span):
+            turn = np.uint64(age % 64)
+            part = x[span - 1 - age : span - 1 - age + n]
+            h ^= (part << turn) | (part >> (np.uint64(64) - turn) if turn else part)
+        found.append(np.flatnonzero((h & np.uint64((1 << bits) - 1)) == 0) + span + lo)
+    return np.concatenate(found)
 
 
 def boundaries(data: bytes, prose: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places one may cut at (the beginning of what follows), sorted, and how natural each is."""
-    rank: dict[int, int] = {}
+    """Places one may cut at (the beginning of what follows), sorted, and how natural each is.
+
+    One byte is held for each byte of the data, besides the places found.
+    """
+    size = len(data)
+    rank = np.zeros(size + 1, np.int8)
+    raw = np.frombuffer(data, np.uint8)
+    gap = (raw == 32) | (raw == 9)
+    rank[np.flatnonzero(gap[:-1] & ~gap[1:] & (raw[1:] != 10)) + 1] = 1
+    pattern = rb"(?<=[.!?])[ \t]+(?=\S)" if prose else rb"(?<=[;,{}])[ \t]*(?=[^\s;,{}])"
+    for m in re.finditer(pattern, data):
+        rank[m.end()] = 2
     at = 0
     blank = False
-    size = len(data)
     while at < size:
         stop = data.find(b"\n", at)
         stop = size if stop < 0 else stop
@@ -63,13 +73,8 @@ def boundaries(data: bytes, prose: bool) -> tuple[np.ndarray, np.ndarray]:
                 rank[at] = 5 if depth == 0 or prose else 4 if depth <= 4 else 3
         blank = not bare
         at = stop + 1
-    pattern = rb"(?<=[.!?])[ \t]+(?=\S)" if prose else rb"(?<=[;,{}])[ \t]*(?=[^\s;,{}])"
-    for m in re.finditer(pattern, data):
-        rank.setdefault(m.end(), 2)
-    for m in re.finditer(rb"(?<=[ \t])(?=[^ \t\n])", data):
-        rank.setdefault(m.start(), 1)
-    places = np.array(sorted(rank), np.int64)
-    return places, np.array([rank[p] for p in places.tolist()], np.int64)
+    places = np.flatnonzero(rank)
+    return places, rank[places].astype(np.int64)
 
 
 def whole(data: bytes, at: int) -> int:
