@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how this vocabulary's texts are split before merging.
@@ -176,14 +176,19 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(read_ranks(path))
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+def vocabulary(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> str:
+    """The path of a vocabulary file: in the folder the session's ``spark.tessera.tokenizers`` names, else in ``TOKENIZERS``."""
+    return f"{spark.conf.get('spark.tessera.tokenizers', TOKENIZERS)}/{name}"
+
+
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Columns key and ids of every row: the token ids of its text, without special tokens.
 
     Null and empty texts get an empty list. Every row gives one row, repeated keys included;
-    other columns are dropped. The vocabulary (read once on the driver, some 3 MB) is broadcast.
+    other columns are dropped. ``path`` is the vocabulary's (see ``vocabulary``). The vocabulary (read once on the driver, some 3 MB) is broadcast.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(encoder_of(path))
+    shared = spark.sparkContext.broadcast(encoder_of(path or vocabulary(spark)))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.llm.areas import train
-from tessera.llm.bpe import TOKENIZERS, encoder_of
+from tessera.llm.bpe import encoder_of, vocabulary
 from tessera.llm.subject_models import Models, words
 from tessera.session import checkpointed
 from tessera.sources.tables import table
@@ -113,11 +113,11 @@ def rake(cells: dict[tuple, float], targets: dict[str, tuple[float, int]], total
     return Raked({c: weight[c] / cells[c] for c in cells}, shares, turn, moved)
 
 
-def measured(documents: DataFrame, models: Models | None, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+def measured(documents: DataFrame, models: Models | None) -> DataFrame:
     """doc_id, source, lang, tokens, topic (all areas, joined by ``+``, or ``none``) of documents with tokens
     and a source, in one pass over the texts, whole."""
     sc = documents.sparkSession.sparkContext
-    shared, known = sc.broadcast(encoder_of(path)), sc.broadcast(models)
+    shared, known = sc.broadcast(encoder_of(vocabulary(documents.sparkSession))), sc.broadcast(models)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
