@@ -40,15 +40,15 @@ def _background(documents: DataFrame, vocabulary: set) -> tuple[Counter, int]:
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared.value.__contains__
         seen: Counter = Counter()
         total = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 doc = words(text or "")
                 total += len(doc)
-                seen.update(w for w in doc if w in known)
-                seen.update(p for p in zip(doc, doc[1:]) if p in known)
+                seen.update(filter(known, doc))
+                seen.update(filter(known, zip(doc, doc[1:])))
         keys = ["", *(k if isinstance(k, str) else " ".join(k) for k in seen)]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([total, *seen.values()], pa.int64())], ["k", "n"])
 

@@ -53,33 +53,28 @@ class Models:
 
     @classmethod
     def fit(cls, subjects: list[str], per_subject: list[Counter], background: Counter, total: int) -> Models:
-        size = len(subjects)
-        n = np.array([sum(v for k, v in c.items() if isinstance(k, str)) for c in per_subject], float)
-        vocabulary = {w for c in per_subject for w in c if isinstance(w, str)}
-        v = len(vocabulary) + 1
-        bg = {w: (background.get(w, 0) + ADDED) / (total + ADDED * v) for w in vocabulary}
-        uni, one = {}, {}
-        for w in vocabulary:
-            seen = np.array([c.get(w, 0) for c in per_subject], float)
-            own = np.where(seen >= 2, seen, 0) / np.maximum(n, 1)
-            uni[w] = own
-            p = (UNIGRAM + BIGRAM) * own + (1 - UNIGRAM - BIGRAM) * bg[w]
-            one[w] = np.log(p / bg[w])
-        two = {}
-        pairs = Counter()
+        if not per_subject:
+            return cls(subjects, {}, {})
+        table = lambda keys: np.array([[c.get(k, 0) for c in per_subject] for k in keys], float).reshape(len(keys), len(per_subject))
+        words_ = list({w: None for c in per_subject for w in c if isinstance(w, str)})
+        seen = table(words_)
+        n = np.maximum(seen.sum(0), 1)
+        v = len(words_) + 1
+        bg = (np.array([background.get(w, 0) for w in words_], float) + ADDED) / (total + ADDED * v)
+        own = np.where(seen >= 2, seen, 0) / n
+        rest = 1 - UNIGRAM - BIGRAM
+        one = np.log(((UNIGRAM + BIGRAM) * own + rest * bg[:, None]) / bg[:, None])
+        place = {w: i for i, w in enumerate(words_)}
+        summed: Counter = Counter()
         for c in per_subject:
-            pairs.update({k: x for k, x in c.items() if not isinstance(k, str)})
-        for (a, b), seen in pairs.items():
-            if seen < 2:
-                continue
-            before = np.array([c.get(a, 0) for c in per_subject], float)
-            given = np.array([c.get((a, b), 0) for c in per_subject], float) / np.maximum(before, 1)
-            behind = background.get((a, b), 0) / max(background.get(a, 0), 1)
-            p = BIGRAM * given + UNIGRAM * uni[b] + (1 - UNIGRAM - BIGRAM) * bg[b]
-            q = BIGRAM * behind + (1 - BIGRAM) * bg[b]
-            two[a, b] = np.log(p / q)
-        assert all(len(x) == size for x in one.values())
-        return cls(subjects, one, two)
+            summed.update({k: x for k, x in c.items() if not isinstance(k, str)})
+        pairs = [k for k, x in summed.items() if x >= 2]
+        first, second = (np.array([place[k[i]] for k in pairs], int) for i in (0, 1))
+        given = table(pairs) / np.maximum(seen[first], 1)
+        behind = np.array([background.get(k, 0) / max(background.get(k[0], 0), 1) for k in pairs])
+        p = BIGRAM * given + UNIGRAM * own[second] + rest * bg[second][:, None]
+        q = BIGRAM * behind + (1 - BIGRAM) * bg[second]
+        return cls(subjects, dict(zip(words_, one)), dict(zip(pairs, np.log(p / q[:, None]))))
 
     def gains(self, doc: list[str]) -> np.ndarray:
         """By how many nats each subject's model lowers the cross-entropy of a document's words.
@@ -105,8 +100,15 @@ class Models:
         found = self.__dict__.get("_found")
         if found is None:
             need = math.log(BEARS)
-            told = lambda r: (int(r.argmax()), min(float(r.max()), MOST)) if r.max() >= need else None
-            found = self._found = tuple({w: told(r) for w, r in table.items()} for table in (self.one, self.two))
+
+            def told(table: dict) -> dict:
+                if not table:
+                    return {}
+                r = np.array(list(table.values()))
+                best, most = r.argmax(1).tolist(), r.max(1).tolist()
+                return {w: (s, min(m, MOST)) if m >= need else None for w, s, m in zip(table, best, most)}
+
+            found = self._found = (told(self.one), told(self.two))
         return found
 
     def __getstate__(self):
