@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import posixpath
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -22,77 +22,83 @@ from tessera.session import checkpointed
 RRF, BLOCK, STEP = 60, 65_536, 1024
 
 
-def squared_distance(vector: Column, query: list[float]) -> Column:
-    """Squared Euclidean distance to one query, in double precision."""
-    other = F.array(*[F.lit(float(x)) for x in query])
-    return F.aggregate(F.zip_with(vector, other, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+def _usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
+    """Keys and vectors of a width, without nulls and NaN (a search for NaN gives null where there are nulls)."""
+    good = (F.size(vector) == width) & ~F.array_contains(vector, F.lit(float("nan")).cast("float"))
+    return df.select(key, F.col(vector).cast("array<float>").alias(vector)).where(good)
+
+
+def _kept(rows: DataFrame, ids: list | None, queries: np.ndarray, k: int, key: str) -> DataFrame:
+    """What each task keeps of rows (key, vector) for some queries, k of each: key, d and, where
+    queries have ids, qid.
+
+    The queries go to the tasks by broadcast. A task compares its rows with ``STEP`` queries in one
+    product of matrices.
+    """
+    kind, width = rows.schema[key].dataType.simpleString(), queries.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        sq = (q * q).sum(1)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, distance, key
+        worst, kept, arrow = np.full(len(q), np.inf), 0, pa.string()
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at, d, keys = (np.concatenate(z) for z in zip(*held))
+            order = np.lexsort((keys, d, at))
+            at, d, keys = at[order], d[order], keys[order]
+            begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
+            return at[rank < k], d[rank < k], keys[rank < k]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, arrow = np.array(batch.column(0).to_pylist()), batch.column(0).type
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            own = (x * x).sum(1)[None]
+            for lo in range(0, len(q), STEP):
+                part = q[lo : lo + STEP]
+                d = sq[lo : lo + STEP, None] + own - 2 * part @ x.T
+                kk = min(k, d.shape[1])
+                if kk == k:
+                    worst[lo : lo + STEP] = np.minimum(worst[lo : lo + STEP], np.partition(d, kk - 1, axis=1)[:, kk - 1])
+                r, c = np.nonzero(d <= worst[lo : lo + STEP, None] + 1e-9)
+                held.append((r + lo, ((part[r] - x[c]) ** 2).sum(1), names[c]))
+                kept += len(r)
+            if kept > 4 * k * len(q) + 100_000:
+                held[:] = [best()]
+                kept = len(held[0][0])
+        if held:
+            at, d, keys = best()
+            cols = {key: pa.array(keys.tolist()).cast(arrow), "d": pa.array(d)}
+            if ids is not None:
+                cols["qid"] = pa.array([ids[i] for i in at.tolist()]).cast(arrow)
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return rows.mapInArrow(run, f"{key} {kind}, d double" + (f", qid {kind}" if ids is not None else ""))
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """The k rows nearest to one query: key, rn; ties by key. Vectors of another width, null or
-    with null or NaN take no part. A take-ordered: each task keeps k rows."""
-    if k <= 0:
+    with null or NaN take no part. Each task keeps k rows."""
+    if k <= 0 or not len(query):
         return vectors.limit(0).select(key, F.lit(0).alias("rn"))
-    d = F.when(F.size(vector) == len(query), squared_distance(F.col(vector), query))
-    top = vectors.select(key, d.alias("d")).where(F.col("d").isNotNull() & ~F.isnan("d")).orderBy("d", key).limit(k)
+    found = _kept(_usable(vectors, key, vector, len(query)), None, np.array([query], np.float64), k, key)
+    top = found.orderBy("d", key).limit(k)
     return top.withColumn("rn", F.row_number().over(W.orderBy("d", key))).select(key, "rn")
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", width: int = 64) -> DataFrame:
     """The k nearest rows of every query: qid, key, rn; ties by key.
 
-    Queries go to the tasks by broadcast, ``BLOCK`` of them (32 MB at width 64) in one pass over
-    the vectors; more take more passes. A task compares its rows with ``STEP`` queries in one product of
-    matrices and keeps k rows of each, and what the tasks kept is ranked.
+    Queries are taken ``BLOCK`` at a time (32 MB at width 64) in one pass over the vectors; more
+    take more passes. What the tasks kept is ranked.
     """
-    kind = vectors.schema[key].dataType.simpleString()
-    good = lambda df: df.where((F.size(vector) == width) & ~F.array_contains(vector, F.lit(float("nan")).cast("float")))
-    rows, asked = good(vectors.select(key, F.col(vector).cast("array<float>").alias(vector))), good(queries.select(key, F.col(vector).cast("array<float>").alias(vector)))
-    sc = vectors.sparkSession.sparkContext
-
-    def run_for(shared) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            sq = (q * q).sum(1)
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, distance, key
-            worst, kept, arrow = np.full(len(q), np.inf), 0, pa.string()
-
-            def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                at, d, keys = (np.concatenate(z) for z in zip(*held))
-                order = np.lexsort((keys, d, at))
-                at, d, keys = at[order], d[order], keys[order]
-                begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
-                return at[rank < k], d[rank < k], keys[rank < k]
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                names, arrow = np.array(batch.column(0).to_pylist()), batch.column(0).type
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-                own = (x * x).sum(1)[None]
-                for lo in range(0, len(q), STEP):
-                    part = q[lo : lo + STEP]
-                    d = sq[lo : lo + STEP, None] + own - 2 * part @ x.T
-                    kk = min(k, d.shape[1])
-                    if kk == k:
-                        worst[lo : lo + STEP] = np.minimum(worst[lo : lo + STEP], np.partition(d, kk - 1, axis=1)[:, kk - 1])
-                    r, c = np.nonzero(d <= worst[lo : lo + STEP, None] + 1e-9)
-                    held.append((r + lo, ((part[r] - x[c]) ** 2).sum(1), names[c]))
-                    kept += len(r)
-                if kept > 4 * k * len(q) + 100_000:
-                    held[:] = [best()]
-                    kept = len(held[0][0])
-            if held:
-                at, d, keys = best()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at.tolist()]).cast(arrow), pa.array(keys.tolist()).cast(arrow), pa.array(d)], ["qid", key, "d"])
-
-        return run
-
-    out = None
-    for block in _blocks(asked.orderBy(key).toLocalIterator(), BLOCK):
-        shared = sc.broadcast(([r[key] for r in block], np.array([r[vector] for r in block], np.float64)))
-        part = rows.mapInArrow(run_for(shared), f"qid {kind}, {key} {kind}, d double")
+    rows, out = _usable(vectors, key, vector, width), None
+    for block in _blocks(_usable(queries, key, vector, width).orderBy(key).toLocalIterator(), BLOCK):
+        part = _kept(rows, [r[key] for r in block], np.array([r[vector] for r in block], np.float64), k, key)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return vectors.limit(0).select(F.col(key).alias("qid"), key, F.lit(0).alias("rn"))

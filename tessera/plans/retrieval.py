@@ -106,11 +106,14 @@ wt AS (SELECT w, CASE WHEN NOT regexp_matches(w, '\p{L}') THEN [w] ELSE list_con
 
 @query(
     f"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), ww AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{_BLANK}')) AS w, generate_subscripts(regexp_split_to_array(text, '{_BLANK}'), 1) AS i FROM d),
-dw AS (SELECT DISTINCT w FROM ww WHERE w <> ''), {_TOKENS} SELECT d.doc_id, coalesce(any_value(t.tokens), []) AS tokens FROM d LEFT JOIN (SELECT doc_id, flatten(list(toks ORDER BY i)) AS tokens FROM ww JOIN wt USING (w) GROUP BY doc_id) t USING (doc_id) GROUP BY d.doc_id"""
+dw AS (SELECT DISTINCT w FROM ww WHERE w <> ''), {_TOKENS} SELECT d.doc_id, array_to_string(coalesce(any_value(t.tokens), []), ' ') AS tokens FROM d LEFT JOIN (SELECT doc_id, flatten(list(toks ORDER BY i)) AS tokens FROM ww JOIN wt USING (w) GROUP BY doc_id) t USING (doc_id) GROUP BY d.doc_id"""
 )
 def tokenize_text(spark, sf):
-    """The search tokens of every text."""
+    """The search tokens of every text, with blanks between."""
+    return _tokens(spark, sf).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
+
+def _tokens(spark, sf) -> DataFrame:
     def run(batches):
         for batch in batches:
             tokens = [terms.search_tokens(t) for t in batch.column(1).to_pylist()]
@@ -443,13 +446,12 @@ def changed_files(spark, sf):
 _BAD = "bad AS (SELECT file_path FROM chunks WHERE embedding IS NULL OR len(embedding) <> 64)"
 
 
-@query(f"WITH {_BAD} SELECT id, file_path, true AS kept, NULL::BIGINT AS failures FROM chunks WHERE file_path NOT IN (SELECT file_path FROM bad) UNION ALL SELECT NULL, file_path, false, count(*) FROM bad GROUP BY file_path")
+@query(f"WITH {_BAD} SELECT id, file_path, true AS kept, 0 AS failures FROM chunks WHERE file_path NOT IN (SELECT file_path FROM bad) UNION ALL SELECT '', file_path, false, count(*) FROM bad GROUP BY file_path")
 def failure_isolation(spark, sf):
     """The chunks that go on, and the files that are kept out with their number of failures."""
     rows = table(spark, sf, "chunks").select("id", "file_path", (F.col("embedding").isNull() | (F.size("embedding") != 64)).alias("failed"))
     good, bad = I.isolate_failures(rows, "failed")
-    null = lambda kind: F.lit(None).cast(kind)
-    return good.select("id", "file_path", F.lit(True).alias("kept"), null("bigint").alias("failures")).unionByName(bad.select(null("string").alias("id"), "file_path", F.lit(False).alias("kept"), "failures"))
+    return good.select("id", "file_path", F.lit(True).alias("kept"), F.lit(0).alias("failures")).unionByName(bad.select(F.lit("").alias("id"), "file_path", F.lit(False).alias("kept"), "failures"))
 
 
 @query(
@@ -556,11 +558,11 @@ def byte_labels(spark, sf):
 
 @query(
     f"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), ww AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{_BLANK}')) AS w, generate_subscripts(regexp_split_to_array(text, '{_BLANK}'), 1) AS i FROM d),
-dw AS (SELECT DISTINCT w FROM ww WHERE w <> ''), {_TOKENS} SELECT d.doc_id, coalesce(any_value(t.tokens), [])[:32] AS tokens FROM d LEFT JOIN (SELECT doc_id, flatten(list(toks ORDER BY i)) AS tokens FROM ww JOIN wt USING (w) GROUP BY doc_id) t USING (doc_id) GROUP BY d.doc_id"""
+dw AS (SELECT DISTINCT w FROM ww WHERE w <> ''), {_TOKENS} SELECT d.doc_id, array_to_string(coalesce(any_value(t.tokens), [])[:32], ' ') AS tokens FROM d LEFT JOIN (SELECT doc_id, flatten(list(toks ORDER BY i)) AS tokens FROM ww JOIN wt USING (w) GROUP BY doc_id) t USING (doc_id) GROUP BY d.doc_id"""
 )
 def truncated_tokens(spark, sf):
     """What an embedder that takes 32 tokens gets of every text."""
-    return tokenize_text(spark, sf).select("doc_id", X.truncated(F.col("tokens"), 32).alias("tokens"))
+    return _tokens(spark, sf).select("doc_id", F.array_join(X.truncated(F.col("tokens"), 32), " ").alias("tokens"))
 
 
 @query(
