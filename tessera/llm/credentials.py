@@ -1,7 +1,7 @@
 """Credentials embedded in source code (problem 3).
 
-Code is tokenized lexically: strings and comments are told from the rest, and of each string
-the identifier it is assigned to, or the call it is passed to, is read off the tokens before it.
+Code is tokenized lexically, and of each string the identifier it is assigned to, or the call it
+is passed to, is read off the tokens before it, however far away.
 A literal is a credential if that identifier is credential-named and the value is no stand-in,
 reference, digest with its algorithm, or plain word. Values that carry their kind with them
 (addresses with a password, authorization headers, connection strings, private keys, signed
@@ -55,10 +55,16 @@ LEXERS = {
     "slash": re.compile(f"[^\"'`/]++|{_SLASHES}|{_STRING}|[\\s\\S]"),
 }
 
-ASSIGNED = re.compile(r"([A-Za-z_$][\w$\-]*)(?:\[\s*\d*\s*\])?[\"'`]?\s*(?:\]\s*)?(?::\s*[\w\[\]<>|*.? ]{1,40})?(?::=|=|:)\s*(?:\(\s*|&|new\s+\w+\(\s*|\[\]byte\(\s*|String\(\s*)?$")
-DEFINED = re.compile(r"#\s*define\s+(\w+)\s+$")
-FALLBACK = re.compile(r"(?i)(?:(?:get_?env|env\w*\.get|env_?or\w*|lookup_?env\w*|get_?or_?default|get_?config|setdefault|\.get)\s*\(\s*[\"'`]([\w.\-]+)[\"'`]\s*,\s*$|(?:process\.env|import\.meta\.env|os\.environ|ENV)(?:\.(\w+)|\[\s*[\"'](\w+)[\"']\s*\])\s*(?:\|\||\?\?|or)\s*$)")
-PASSED = re.compile(r"([A-Za-z_][\w.]*)\s*\(\s*([^()\n]{0,200},)?\s*$")
+#: Tokens besides strings and comments: names (a hyphen within them is of configuration), numbers, signs.
+_REST = r"(?P<w>[A-Za-z_$][\w$]*(?:-[\w$]+)*)|(?P<n>\d[\w.]*)|(?P<s>:=|=>|==|!=|<=|>=|->|::|\|\||\?\?|&&|\[\]|[^\s\w])|\s+|[\s\S]"
+TOKENS = {"hash": re.compile(f"{_HASHES}|{_STRING}|{_REST}"), "slash": re.compile(f"{_SLASHES}|{_STRING}|{_REST}")}
+#: What may stand before a string and belongs to it, calls that wrap a value, signs of types, calls
+#: that look up a name and take a value in its place, and what joins such a value.
+MARKS = re.compile(r"(?i)^(?:r|b|u|f|l|rb|br|fr|rf|u8)$")
+WRAPPERS = {"String", "byte", "bytes", "str", "Buffer"}
+TYPE_SIGNS = {".", "[", "]", "[]", "<", ">", "|", "*", "?", "&"}
+LOOKUP = re.compile(r"(?i)(?:^|_|\.|(?<=[a-z]))(?:get_?env|env\w*\.get|env_?or\w*|lookup_?env\w*|get_?or_?default|get_?config|setdefault)$|\.get$")
+OTHERWISE = {"||", "??", "or"}
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\\)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?(?=[\"'`])")
 
 ADDRESS = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://[^\s:/@\"'`<>]{1,80}:([^\s@/\"'`<>]{3,})@[\w.\-\[]")
@@ -108,6 +114,125 @@ def opaque(value: str) -> bool:
     return letter and (digit or odd or cases)
 
 
+class Tokens:
+    """The lexical tokens of a text, and what a literal among them is assigned or passed to."""
+
+    def __init__(self, text: str, style: str):
+        self.text = text
+        self.found = [m for m in TOKENS[style].finditer(text) if m.lastgroup and m.lastgroup != "c"]
+        self.at = {m.start(): i for i, m in enumerate(self.found)}
+
+    def __getitem__(self, i: int) -> str:
+        return self.found[i][0] if 0 <= i < len(self.found) else ""
+
+    def kind(self, i: int) -> str:
+        return self.found[i].lastgroup if 0 <= i < len(self.found) else ""
+
+    def name(self, i: int) -> str:
+        """The name that ends at a token: a word, or what is in a string or between brackets."""
+        if self[i] == "[]":
+            i -= 1
+        elif self[i] == "]":
+            if self.kind(i - 1) == "q" and self[i - 2] == "[":
+                return self.inner(i - 1)
+            if self.kind(i - 1) == "n" and self[i - 2] == "[":
+                i -= 3
+        return self[i] if self.kind(i) == "w" else self.inner(i) if self.kind(i) == "q" else ""
+
+    def inner(self, i: int) -> str:
+        lo, hi = inner_span(self[i])
+        return self[i][lo:hi]
+
+    def before(self, i: int) -> int:
+        """The token before a literal, without the letters that belong to it."""
+        i -= 1
+        if self.kind(i) == "w" and MARKS.match(self[i]) and self.found[i].end() == self.found[i + 1].start():
+            i -= 1
+        return i
+
+    def assigned(self, i: int) -> str:
+        """The name a value that begins after token i is assigned to, as target, key or default."""
+        if self[i] == "&":
+            i -= 1
+        elif self[i] == "(":
+            if self[i - 1] in WRAPPERS:
+                i -= 3 if self[i - 2] == "[]" else 2
+            elif self[i - 2] == "new":
+                i -= 3
+            else:
+                i -= 1
+        if self[i] not in (":=", "=", ":"):
+            return self[i] if self.kind(i) == "w" and self[i - 1] == "define" and self[i - 2] == "#" else ""
+        sign, i = self[i], i - 1
+        if sign == "=":
+            k, inside = i, 0
+            while k > i - 40 and (self.kind(k) == "w" or self[k] in TYPE_SIGNS or inside and self[k] == ","):
+                inside += {">": 1, "<": -1}.get(self[k], 0)
+                k -= 1
+            if self[k] == ":" and k < i and (typed := self.name(k - 1)):
+                return typed
+            if self.kind(i) == "w" and self.kind(i - 1) == "w" and self[i - 2] in ("var", "const"):
+                return self[i - 1]
+        return self.name(i)
+
+    def passed(self, i: int) -> tuple[str, int, int]:
+        """(called name with what it is of, number of arguments before, the bracket) of the call a
+        value that begins after token i is an argument of; an empty name if it is of none."""
+        commas = depth = 0
+        while i >= 0:
+            t = self[i]
+            if t in (")", "]", "}"):
+                depth += 1
+            elif t in ("(", "[", "{"):
+                if depth == 0:
+                    break
+                depth -= 1
+            elif not depth and t == ",":
+                commas += 1
+            elif not depth and t in (";", "=", ":=", ":", "=>"):
+                return "", 0, -1
+            i -= 1
+        if self[i] != "(" or self.kind(i - 1) != "w":
+            return "", 0, -1
+        k, called = i - 1, self[i - 1]
+        while self[k - 1] == "." and self.kind(k - 2) == "w":
+            called, k = f"{self[k - 2]}.{called}", k - 2
+        return called, commas, i
+
+    def looked_up(self, i: int) -> tuple[str, int] | None:
+        """(name, first token) of the look-up whose place the value after token i takes, if nothing is found."""
+        if self[i] in OTHERWISE:
+            if self[i - 1] == "]" and self.kind(i - 2) == "q" and self[i - 3] == "[" and self[i - 4] in ("env", "environ", "ENV"):
+                return self.inner(i - 2), i - 4
+            if self.kind(i - 1) == "w" and self[i - 2] == "." and self[i - 3] in ("env", "environ", "ENV"):
+                return self[i - 1], i - 3
+            return None
+        called, earlier, bracket = self.passed(i)
+        if earlier == 1 and LOOKUP.search(called) and self.kind(bracket + 1) == "q":
+            return self.inner(bracket + 1), bracket
+        return None
+
+    def target(self, i: int) -> str:
+        """The name that what token i is part of is assigned to, on its line."""
+        begin = self.text.rfind("\n", 0, self.found[i].start()) + 1
+        while i >= 0 and self.found[i].start() >= begin:
+            if self[i] in ("=", ":=", ":"):
+                return self.assigned(i)
+            i -= 1
+        return ""
+
+    def secret(self, i: int, value: str) -> bool:
+        """Whether the value of literal i goes to a name of a credential."""
+        at = self.before(i)
+        if known := self.looked_up(at):
+            return secret(known[0], value) or secret(self.target(known[1]), value)
+        if name := self.assigned(at):
+            return secret(name, value)
+        called, earlier, _ = self.passed(at)
+        last = called.rpartition(".")[2]
+        return bool(LOGIN_CALLS.search(last) and (earlier or re.search(r"(?i)password|token|secret|key|credential|bearer", last)) and opaque(value))
+
+
 def inner_span(literal: str) -> tuple[int, int]:
     """Where the value of a string literal begins and ends within it."""
     width = 3 if literal[:3] in ('"""', "'''") and len(literal) >= 6 else 1
@@ -191,7 +316,9 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
         for m in PLAIN_ENTRY.finditer(text):
             if secret(m[1], m[2]):
                 spans.add(m.span(2))
-    tokens = [m for m in LEXERS["hash" if language in ("python", "yaml") else "slash"].finditer(text) if m.lastgroup] if any(q in text for q in "\"'`#/") else []
+    style = "hash" if language in ("python", "yaml") else "slash"
+    lexed: Tokens | None = None
+    tokens = [m for m in LEXERS[style].finditer(text) if m.lastgroup] if any(q in text for q in "\"'`#/") else []
     joined = 0
     for i, m in enumerate(tokens):
         if m.lastgroup == "c":
@@ -223,28 +350,14 @@ def find(text: str, path: str) -> list[tuple[int, int]]:
         plain = opaque(value)  # what is no secret by itself needs no name
         if not plain and not ("-" in value or "_" in value or "." in value):
             continue
-        before = text[max(0, m.start() - 240) : m.start()]
-        line = before.rpartition("\n")[2] if "\n" in before[-2:] else before[-240:]
-        mark = re.search(r"(?<![\w])[rRbBuUfFL]{1,2}$", before)
-        if mark:
-            before, line = before[: mark.start()], line[: len(line) - len(mark[0])]
-            if "f" in mark[0].lower() and "{" in value:
-                continue  # put together when it runs
+        if "{" in value and re.search(r"(?i)(?<!\w)(?:f|fr|rf)$", text[max(0, m.start() - 3) : m.start()]):
+            continue  # put together when it runs
         if m[0][:1] == "`" and "${" in value:
             continue
         found = False
-        if not plain:
-            pass
-        elif known := FALLBACK.search(before):
-            named = next(g for g in known.groups() if g)
-            left = re.search(r"([A-Za-z_$][\w$]*)\s*(?::\s*[\w\[\]<>|*.? ]{1,40})?(?::=|=|:)[^=\n]*$", before[: known.start()].rpartition("\n")[2] or before[: known.start()])
-            found = secret(named, value) or bool(left) and secret(left[1], value)
-        elif known := DEFINED.search(before) or ASSIGNED.search(before):
-            found = secret(known[1], value)
-        elif known := PASSED.search(line):
-            callee, earlier = known[1].rpartition(".")[2], known[2]
-            if LOGIN_CALLS.search(callee) and (earlier is not None or re.search(r"(?i)password|token|secret|key|credential|bearer", callee)):
-                found = opaque(value)
+        if plain:
+            lexed = lexed or Tokens(text, style)
+            found = m.start() in lexed.at and lexed.secret(lexed.at[m.start()], value)
         if not found and ("-" in value or "_" in value or "." in value):
             issued = ISSUED.match(value) and mixed(re.split(r"[-_.]", value)[-1])
             found = bool(issued or SIGNED.match(value) and mixed(value)) and not REFERENCE.search(value)

@@ -89,3 +89,33 @@ def test_long_values_are_found_whole(path, text, value):
 def test_long_data_is_no_credential():
     for text in (f'token = "iVBORw0KGgo{LONG}"', f'logo = "{LONG}"', f'secret_image = "{LONG}"', f'secret_seed = "{LONG}"', f'SecretSeed = "{LONG}"'):
         assert C.find(text, "a.py") == []
+
+
+@pytest.mark.parametrize(
+    "path, text",
+    [
+        ("a.go", 'var dbPassword string = "aB3dE6gH9"'),
+        ("a.ts", "const apiKey: Record<string, string | undefined>[] = 'aB3dE6gH9';"),
+        ("a.py", "password = (\n" + "    # a remark\n" * 40 + "    'aB3dE6gH9'\n)"),
+        ("a.py", "client.login(user(1, (2, 3)), 'aB3dE6gH9')"),
+        ("a.py", "config['api_key'] = 'aB3dE6gH9'"),
+        ("a.js", "const k = process.env['API_KEY'] ?? 'aB3dE6gH9';"),
+        ("a.js", "x.setToken('aB3dE6gH9')"),
+        ("a.c", 'static const char auth_token[] = "aB3dE6gH9";'),
+        ("a.py", "secret_key = os.environ.get('OTHER', 'aB3dE6gH9')"),
+        ("a.go", 'token := []byte("aB3dE6gH9")'),
+    ],
+)
+def test_names_are_read_off_the_tokens(path, text):
+    assert [text[a:b] for a, b in C.find(text, path)] == ["aB3dE6gH9"]
+
+
+@pytest.mark.parametrize(
+    "path, text",
+    [
+        ("a.py", "if password == 'aB3dE6gH9': pass"), ("a.js", "password = f(x); g = 'aB3dE6gH9';"), ("a.py", "password = load('aB3dE6gH9')"), ("a.go", 'x := map[string]int{"aB3dE6gH9": token}'),
+        ("a.py", "f(password, 'aB3dE6gH9')"), ("a.js", "token ? 'aB3dE6gH9' : x"),
+    ],
+)
+def test_other_places_are_no_names(path, text):
+    assert C.find(text, path) == []
