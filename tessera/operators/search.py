@@ -19,7 +19,8 @@ from tessera.operators.fulltext import COLUMNS, phrases_of, postings
 from tessera.operators.fulltext import bm25 as ranked_text
 from tessera.session import checkpointed
 
-RRF, BLOCK, STEP = 60, 65_536, 1024
+#: Candidates a side beyond which they are no longer broadcast.
+RRF, BLOCK, STEP, FETCHED = 60, 65_536, 1024, 10_000
 
 
 def _usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
@@ -213,7 +214,7 @@ def search(chunks: DataFrame, q: Query, index: DataFrame | None = None) -> DataF
     ranked = checkpointed(sides(chunks, q, fetch * 9 if q.filtered() else fetch, index))
     for turn in range(3):
         hits = fused(chunks, q, fetch, ranked=ranked)
-        kept = chunks.select(*wanted).join(F.broadcast(hits), "id").where(q.attributes() & matches_any(F.col("file_path"), q.globs()))
+        kept = chunks.select(*wanted).join(F.broadcast(hits) if fetch <= FETCHED else hits, "id").where(q.attributes() & matches_any(F.col("file_path"), q.globs()))
         order = W.orderBy(F.desc("score"), "id")
         page = kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn").between(q.offset + 1, q.offset + q.limit)).withColumn("rn", F.col("rn") - q.offset)
         if not q.filtered() or turn == 2 or page.count() >= q.limit:

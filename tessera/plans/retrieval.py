@@ -510,7 +510,7 @@ _RULES = r"""(VALUES ('.', 0, '^(.*/)?[^/]*\.min\.js$', false, false), ('.', 1,
 
 
 @query(
-    f"""WITH p AS (SELECT DISTINCT path, string_split(path, '/') AS x FROM files), s AS (SELECT path, array_to_string(x[:i], '/') AS pre, i < len(x) AS folder FROM (SELECT path, x, unnest(range(1, len(x) + 1)) AS i FROM p)),
+    rf"""WITH p AS (SELECT DISTINCT path, string_split(path, '/') AS x FROM files), s AS (SELECT path, array_to_string(x[:i], '/') AS pre, i < len(x) AS folder FROM (SELECT path, x, unnest(range(1, len(x) + 1)) AS i FROM p)),
 st AS (SELECT s.path, pre, folder, arg_max(neg, (CASE WHEN dir = '.' THEN 0 ELSE len(string_split(dir, '/')) END, no)) AS neg FROM s JOIN {_RULES} ON (dir = '.' OR starts_with(pre, dir || '/')) AND (folder OR NOT fo) AND regexp_matches(CASE WHEN dir = '.' THEN pre ELSE substr(pre, len(dir) + 2) END, rx) GROUP BY ALL)
 SELECT path FROM p WHERE path NOT IN (SELECT path FROM st WHERE NOT neg) AND NOT regexp_matches(path, '\.yaml$') AND regexp_matches(lower(path), '\.(py|go|js|ts|c|json)$')"""
 )
