@@ -280,7 +280,7 @@ class Store:
             stream.write(bytearray(json.dumps(meta).encode()))
         finally:
             stream.close()
-        if not self._fs.rename(tmp, to):
+        if self._fs.exists(to) or not self._fs.rename(tmp, to):
             raise OSError(f"version {version} was written by someone else")
 
     def note(self, **notes) -> None:

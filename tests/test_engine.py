@@ -166,3 +166,13 @@ def test_listing_goes_on_in_rounds(spark, tmp_path, monkeypatch):
             (tmp_path / f"a{i}" / f"b{j}" / "f").write_text("x")
     monkeypatch.setattr(tree, "ENTRIES", 3)
     assert tree.listed(spark, str(tmp_path)).count() == 20
+
+
+def test_a_version_is_not_overwritten(spark, tmp_path):
+    from tessera.operators.indexing import Store
+
+    one, other = Store(spark, f"file://{tmp_path}/s"), Store(spark, f"file://{tmp_path}/s")
+    one.write({"files": spark.createDataFrame([("a", "1")], "path string, content_hash string")})
+    with pytest.raises(OSError):
+        other._commit(1, {"version": 1})
+    assert one.read("files").count() == 1
