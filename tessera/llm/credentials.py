@@ -26,7 +26,7 @@ from tessera.sources.tables import table
 
 #: Words of credential names, words that qualify ``key``, and words after which a
 #: name means something about a credential rather than one.
-SECRET_WORDS = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passcode", "secret", "secrets", "token", "credential", "credentials", "apikey", "authtoken", "hmac", "pat", "psk"}
+SECRET_WORDS = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passcode", "secret", "secrets", "token", "credential", "credentials", "apikey", "auth", "authtoken", "hmac", "pat", "psk"}
 KEY_WORDS = {"api", "access", "secret", "private", "signing", "webhook", "encryption", "master", "service", "client", "auth", "ssh", "storage", "account", "license", "deploy", "hmac", "session", "shared", "app", "admin", "root", "cipher", "crypto", "jwt", "aes", "rsa"}
 ABOUT_WORDS = {"hint", "kind", "ref", "reference", "name", "path", "file", "filename", "url", "uri", "id", "ids", "type", "field", "label", "env", "var", "header", "prefix", "suffix", "length", "len", "count", "size", "ttl", "expiry", "expires", "policy", "rule", "rules", "regex", "pattern", "format", "algo", "algorithm", "hash", "digest", "checksum", "fingerprint", "public", "pub", "placeholder", "prompt", "message", "msg", "error", "help", "title", "text", "description", "desc", "column", "param", "arg", "location", "endpoint", "class", "mode", "status", "example", "raw", "image", "lut", "blob", "table", "data", "version", "scope", "issuer"}
 LOGIN_CALLS = re.compile(r"(?i)(?:^|_|(?<=[a-z.]))(?:log_?in|sign_?in|authenticate|auth|basic_?auth|set_?(?:password|token|secret|api_?key|credentials)|with_?(?:password|token|secret|api_?key|credentials?)|connect)$")
@@ -69,7 +69,7 @@ JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\\)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?(?=[\"'`
 
 ADDRESS = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://[^\s:/@\"'`<>]{1,80}:([^\s@/\"'`<>]{3,})@[\w.\-\[]")
 HEADER = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?\s*[:=,]\s*[\"']?(basic|bearer|token|digest|apikey)\s+([^\s\"'`,;\\]{6,})")
-KEYED_HEADER = re.compile(r"(?i)\bx-(?:api-key|auth-token|access-token|secret|vault-token)[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;\\]{6,})")
+KEYED_HEADER = re.compile(r"(?i)(?<![\w-])x-([a-z][\w-]{1,40})[\"']?\]?\s*[:=,]\s*[\"']?([^\s\"'`,;\\]{6,})")
 CONNECTION = re.compile(r"(?i)(?:[;?&\"'`]|^)\s*(?:pwd|password|accountkey|sharedaccesskey|access_token|api_key|apikey|auth_token|sig|secret)\s*=\s*([^\s;&\"'`]{4,})")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:[A-Za-z0-9+/=\s,:\-\\\"']|\\[nr])*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)")
 PROSE = re.compile(
@@ -98,8 +98,10 @@ def secret(name: str, value: str) -> bool:
 
 
 def mixed(value: str) -> bool:
-    """Letters of both cases and digits, as random text over an alphabet has."""
-    return any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)
+    """Letters of both cases and digits, as random text over an alphabet has, or so many letters of both without words."""
+    if not (any(c.islower() for c in value) and any(c.isupper() for c in value)):
+        return False
+    return any(c.isdigit() for c in value) or len(value) >= 18 and not re.fullmatch(r"(?:[A-Z]?[a-z]++|[A-Z]++(?![a-z]))+", value)
 
 
 def opaque(value: str) -> bool:
@@ -265,8 +267,8 @@ def _carried(text: str) -> Iterator[tuple[int, int]]:
                 yield m.span(2)
     if "x-" in low:
         for m in KEYED_HEADER.finditer(text):
-            if opaque(m[1]):
-                yield m.span(1)
+            if (names_secret(m[1]) or not {"auth", "authorization"}.isdisjoint(re.split(r"[-_]", m[1].lower()))) and opaque(m[2]):
+                yield m.span(2)
     if "=" in text and any(w in low for w in ("pwd", "password", "key", "token", "sig=", "secret")):
         for m in CONNECTION.finditer(text):
             v = m[1]

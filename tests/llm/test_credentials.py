@@ -119,3 +119,21 @@ def test_names_are_read_off_the_tokens(path, text):
 )
 def test_other_places_are_no_names(path, text):
     assert C.find(text, path) == []
+
+
+@pytest.mark.parametrize(
+    "path, text, value",
+    [
+        ("a.md", "curl -H 'X-Auth: otter-tempo-1116' https://x.invalid/v2", "otter-tempo-1116"),
+        ("a.js", "headers['x-service-token'] = 'aB3dE6gH9';", "aB3dE6gH9"),
+        ("a.yaml", 'auth_w5l: "winter-meter-1440#7"\n', "winter-meter-1440#7"),
+        ("a.ts", 'const gauge = "qlm_live_jnFMUKskmqfMpOFYkCSnT";', "qlm_live_jnFMUKskmqfMpOFYkCSnT"),
+    ],
+)
+def test_headers_keys_and_issued_tokens(path, text, value):
+    test_found_and_blanked(path, text, value)
+
+
+@pytest.mark.parametrize("text", ["curl -H 'X-Request-Id: 4aa0b0d5177740f7'", "curl -H 'X-Idempotency-Key: aB3dE6gH9'", "curl -H 'X-Auth: $TOKEN'", 'x = "some_module_TheGreatBigClassName"', "auth_url: https://x.invalid/a1"])
+def test_other_headers_and_names(text):
+    assert C.find(text, "a.md") == []
