@@ -197,7 +197,7 @@ def _kth_of_rows(d: np.ndarray, k: int) -> np.ndarray:
     return np.partition(least, k - 1, axis=1)[:, k - 1]
 
 
-def block_pairs(vid: np.ndarray, stored: np.ndarray, side: np.ndarray, x: np.ndarray, err: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_pairs(stored: np.ndarray, side: np.ndarray, x: np.ndarray, err: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates (row of, row near, distance of the rounded vectors) among what met in one cell.
 
     Stored rows meet all others, rows that probe meet the stored ones. Rows of side 0 meet each
@@ -464,7 +464,7 @@ def _compare(placed: DataFrame, width: int, k: int) -> DataFrame:
             held.clear()
             x = rec["x"].astype(np.float32) * rec["scale"][:, None]
             err = off_by(rec["scale"], width)
-            of, near, d = block_pairs(rec["vid"], rec["role"] % 2 == 1, rec["role"] // 2, x, err, k)
+            of, near, d = block_pairs(rec["role"] % 2 == 1, rec["role"] // 2, x, err, k)
             if len(of):
                 out = np.zeros(len(of), _FOUND)
                 out["vid"], out["d"], out["own"] = rec["vid"][near], d, rec["own"][near]
